@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.llm import line_rules, mixing
+from quillspar.llm import licenses, line_rules, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,20 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *line_rules.MEASURES, "base_failed", "removed_words", "kept")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_frequency": op3_line_frequency, "op7_source_mix": op7_source_mix}
+    return {"op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
