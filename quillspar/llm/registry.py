@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.llm import licenses, line_rules, mixing, warc
+from quillspar.llm import licenses, line_rules, mixing, near_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), 3, 85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *line_rules.MEASURES, "base_failed", "removed_words", "kept")
@@ -32,7 +36,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan}
+    return {"op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
