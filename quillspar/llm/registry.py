@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.llm import licenses, line_rules, mixing, near_dedup, warc
+from quillspar.llm import licenses, line_rules, mixing, near_dedup, repeats, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,7 +40,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan}
+    return {"op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op6_suffix_dedup": op6_suffix_dedup, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
