@@ -55,10 +55,16 @@ def drop_table(df: DataFrame) -> None:
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of at most some 50 bytes; a side beyond it is joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: A written table beyond either bound is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table of narrow rows is small enough to be sent to every executor."""
+def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table is small enough to be sent to every executor, by its files' bytes and its counted rows."""
+    path = getattr(table, "_quill_path", None)
+    if path:
+        jvm, jsc = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(jsc.hadoopConfiguration()).getContentSummary(at).getLength() > max_bytes:
+            return False
     return table.limit(max_rows + 1).count() <= max_rows
