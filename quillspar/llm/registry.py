@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.llm import licenses, line_rules, mixing, near_dedup, repeats, warc
+from quillspar.llm import context_mixing, licenses, line_rules, mixing, near_dedup, repeats, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op6_suffix_dedup": op6_suffix_dedup, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan}
+    return {"op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op5_warc_round_trip": op5_warc_round_trip, "op6_suffix_dedup": op6_suffix_dedup, "op7_source_mix": op7_source_mix, "op9_license_scan": op9_license_scan, "op10_context_mixing": op10_context_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
