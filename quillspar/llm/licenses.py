@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quillspar.llm.common import Words, column, sized_batches
+from quillspar.llm.common import Words, column, plain_words, sized_batches
 
 BATCH_BYTES = 8 << 20
 #: Fixed values of the contract: phrase and label.
@@ -197,20 +197,8 @@ def places(text: str, phrase: str) -> list[int]:
     return found
 
 
-#: Bytes that end a word become a space, A-Z become a-z; bytes from 0x80 on belong to words.
-_TABLE = np.array([32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
-
-
-def normalised(texts: pa.Array) -> pa.Array:
-    """Texts with their words in lower case and everything else turned into spaces, by one table look-up a byte."""
-    texts = pa.concat_arrays([pc.fill_null(texts, "")])
-    _, offsets, data = texts.buffers()
-    fresh = _TABLE[np.frombuffer(data, np.uint8)] if data is not None and data.size else np.zeros(0, np.uint8)
-    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, pa.py_buffer(fresh)], offset=texts.offset)
-
-
 def scan_batch(texts: pa.Array) -> dict[str, list]:
-    plain = normalised(texts)
+    plain = plain_words(texts)
     words = Words(plain, lower=False)
     gates = set(rules_by_keyword()) | {w for phrase, _ in BASE for w in phrase.split()}
     flagged = np.flatnonzero(pc.is_in(words.vocabulary, pa.array(sorted(gates), pa.string())).to_numpy(zero_copy_only=False))
