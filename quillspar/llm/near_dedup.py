@@ -7,10 +7,10 @@ order) are neighbours. Regions of more than `REGION` neighbours are cut deeper,
 they fit. Pairs whose signatures agree in too few places for the threshold are left out by a bound that loses about one
 pair in 10^5 at the threshold itself; the others are confirmed on their full sets.
 
-Two passes over candidates keep pairs few without losing any. First each region gives a spanning forest of its candidate
-pairs, best estimates first, which links nearly all of a group of copies. Then every neighbourhood, also those cut
-before, that still holds several components gives all candidate pairs between them: the members outside its largest
-component are met with all members, block by block.
+Two passes keep pairs few without losing any link. First each region gives a spanning forest of its candidate pairs,
+best estimates first; confirmed, it links nearly all of a group of copies. Then every neighbourhood, also those cut
+before, that still holds several components is looked at whole: the members outside its largest component meet all
+members, block by block, with their full sets, and a block gives only confirmed links, one between two components.
 
 Null or empty text: an empty set, linked with nothing. Fewer words than the shingle's width: the whole sequence is one
 shingle. Repeated rows fall in one class. Null doc_id: takes part in links, but is never the smallest id, and its row is
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from quillspar.llm.common import U64, Words, column, grams, hash_strings, locate
 from quillspar.llm.components import components
 from quillspar.session import write_table
 
-SIGNATURE, DEPTH, REGION, MISS = 128, 4, 128, 1e-5
+SIGNATURE, DEPTH, REGION, MEETING, MISS = 128, 4, 128, 256, 1e-5
 BATCH_BYTES = 8 << 20
 _RANDOM = np.random.RandomState(20240501)
 _A = (_RANDOM.randint(0, 1 << 31, SIGNATURE, np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -134,11 +135,10 @@ def turned(signature: str, tree: str | Column, values: int) -> Column:
 
 
 class _Forest:
-    """Union-find over the rows of one region."""
+    """Union-find."""
 
-    def __init__(self, labels: list):
-        first: dict = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -152,25 +152,20 @@ class _Forest:
         return i != j
 
 
-def _pairs(least: int, spanning: bool):
-    """Candidate pairs of each region (rows region, node, part, minor, signature): all between parts, or a spanning forest."""
+def _spanning(least: int):
+    """A spanning forest of each region's candidate pairs (rows region, node, signature, by region)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "region"):
             region = column(table, "region").to_numpy()
-            nodes, parts = column(table, "node").to_pylist(), column(table, "part").to_pylist()
-            minor = column(table, "minor").to_numpy(zero_copy_only=False)
+            nodes = column(table, "node").to_pylist()
             signs = np.frombuffer(b"".join(column(table, "signature").to_pylist()), np.uint32).reshape(len(nodes), SIGNATURE)
-            codes = {p: i for i, p in enumerate(dict.fromkeys(parts))}
-            part = np.array([codes[p] for p in parts])
             left, right, score = [], [], []
-            ends = np.searchsorted(region, region, "right") if len(region) else region
-            step = 1
-            while True:
+            ends = np.searchsorted(region, region, "right")
+            for step in range(1, len(region)):
                 i = np.flatnonzero(np.arange(len(region)) + step < ends)
                 if not len(i):
                     break
-                i = i[(minor[i] | minor[i + step]) & (part[i] != part[i + step])]
                 for a in range(0, len(i), 8192):
                     x = i[a : a + 8192]
                     same = (signs[x] == signs[x + step]).sum(axis=1)
@@ -178,25 +173,63 @@ def _pairs(least: int, spanning: bool):
                     left.append(x[keep])
                     right.append(x[keep] + step)
                     score.append(same[keep])
-                step += 1
             if not left:
                 continue
             left, right, score = map(np.concatenate, (left, right, score))
-            if spanning:
-                forest = _Forest(list(range(len(nodes))))
-                picked = [k for k in np.argsort(-score, kind="stable").tolist() if forest.join(int(left[k]), int(right[k]))]
-            else:
-                picked = range(len(left))
-            a, b = [nodes[left[k]] for k in picked], [nodes[right[k]] for k in picked]
-            low, high = [min(x) for x in zip(a, b, strict=True)], [max(x) for x in zip(a, b, strict=True)]
-            yield from pa.table([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["u", "v"]).to_batches(8192)
+            forest = _Forest(len(nodes))
+            picked = [k for k in np.argsort(-score, kind="stable").tolist() if forest.join(int(left[k]), int(right[k]))]
+            yield from _edges([(nodes[left[k]], nodes[right[k]]) for k in picked])
 
     return run
 
 
-def _region_pairs(rows: DataFrame, least: int, spanning: bool) -> DataFrame:
-    rows = rows.select("region", "node", "part", "minor", "signature").repartition("region").sortWithinPartitions("region", "signature", "node")
-    return rows.mapInArrow(_pairs(least, spanning), "u binary, v binary").distinct()
+def _edges(pairs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    table = pa.table([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["u", "v"])
+    yield from table.to_batches(8192)
+
+
+COLUMNS = 4096
+
+
+def common_items(items: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """How many items each of the given rows' sets shares with every set, as products of 0/1 matrices by blocks of items."""
+    lengths = np.diff(items.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(items)), lengths)
+    _, place, often = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = often > 1  # an item of one set only is common to none
+    place, owner = (np.cumsum(shared) - 1)[place[shared[place]]], owner[shared[place]]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(rows), len(items)), np.float64)
+    for a in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(place, (a, a + COLUMNS))
+        dense = np.zeros((len(items), COLUMNS), np.float32)
+        dense[owner[lo:hi], place[lo:hi] - a] = 1
+        out += dense[rows] @ dense.T
+    return out.astype(np.int64)
+
+
+def _confirmed(percent: int):
+    """Confirmed links between the components of each region (rows region, node, part, minor, items, by region)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for several in whole_groups(batches, "region"):
+            region = column(several, "region").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                table = several.slice(a, b - a)
+                nodes = column(table, "node").to_pylist()
+                part = pc.dictionary_encode(column(table, "part")).indices.to_numpy()
+                rows = np.flatnonzero(column(table, "minor").to_numpy(zero_copy_only=False))
+                items = pa.concat_arrays([column(table, "items")])
+                sizes = pc.list_value_length(items).to_numpy().astype(np.int64)
+                both = common_items(items.take(pa.array(np.arange(len(items)))), rows)
+                linked = both * 100 >= (sizes[rows][:, None] + sizes[None, :] - both) * percent
+                x, y = np.nonzero(linked & (part[rows][:, None] != part[None, :]))
+                forest = _Forest(int(part.max()) + 1)
+                yield from _edges([(nodes[rows[i]], nodes[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True) if forest.join(int(part[rows[i]]), int(part[j]))])
+
+    return run
 
 
 def neighbours(classes: DataFrame, n_trees: int) -> DataFrame:
@@ -224,12 +257,12 @@ def regions(held: DataFrame, most: int = REGION) -> DataFrame:
         sizes = write_table(large.groupBy("region").agg(F.count("*").alias("members")), "sizes")
         cut = large.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / most)))
         done = done.union(cut.select(F.xxhash64("region", "block").alias("region"), "node", "signature"))
-    return done.withColumns({"part": F.col("node"), "minor": F.lit(True)})
+    return done
 
 
-def left_over(held: DataFrame, labels: DataFrame, most: int = REGION) -> DataFrame:
+def left_over(held: DataFrame, labels: DataFrame, most: int = MEETING) -> DataFrame:
     """Neighbourhoods that hold several components: their smaller ones' members met with all members, in blocks."""
-    parted = write_table(narrow_join(held, labels, ["node"], "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parted")
+    parted = write_table(narrow_join(held.select("key", "node"), labels, ["node"], "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "parted")
     mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     mixed = write_table(mixed, "mixed")
     parted = write_table(narrow_join(parted, mixed, ["key"], "inner"), "mixed-rows")
@@ -243,7 +276,7 @@ def left_over(held: DataFrame, labels: DataFrame, most: int = REGION) -> DataFra
     met = rows.filter("minor").withColumns({"chunk": F.pmod(F.shiftright("h", 20), "chunks"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     met = met.filter(F.col("block") != F.pmod("h", "blocks"))
     both = own.withColumn("minor", F.col("minor") & (F.pmod(F.shiftright("h", 20), "chunks") == F.col("chunk"))).unionByName(met)
-    return both.select(F.xxhash64("key", "block", "chunk").alias("region"), "node", "part", "minor", "signature")
+    return both.select(F.xxhash64("key", "block", "chunk").alias("region"), "node", "part", "minor")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,10 +287,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("u", "v").distinct()
 
 
-def full_sets(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(node, items) for the nodes of the pairs, from the text of one row of each class."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = write_table(wanted, "wanted")
+def full_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, items) for the distinct nodes given, from the text of one row of each class."""
+    wanted = write_table(nodes.select("node").distinct(), "wanted")
     one = narrow_join(signed.select("node", "_file", "_row"), wanted, ["node"], "inner").groupBy("node").agg(F.min(F.struct("_file", "_row")).alias("x"))
     one = write_table(one.select("node", "x._file", "x._row"), "one")
     rows = narrow_join(located(docs, ["text"]).drop("_block"), one, ["_file", "_row"], "inner")
@@ -273,13 +305,14 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = write_table(classes, "classes")
     held = neighbours(classes, trees(percent / 100))
     least = least_agreement(percent / 100)
-    pairs = write_table(_region_pairs(regions(held), least, True), "pairs")
-    links = write_table(confirm(pairs, full_sets(docs, signed, pairs, width), percent), "links")
-    rest = write_table(_region_pairs(left_over(held, write_table(components(links), "labels")), least, False), "rest")
-    rest = write_table(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
+    spread = regions(held).repartition("region").sortWithinPartitions("region", "signature", "node")
+    pairs = write_table(spread.mapInArrow(_spanning(least), "u binary, v binary").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    links = write_table(confirm(pairs, full_sets(docs, signed, ends, width), percent), "links")
+    rest = write_table(left_over(held, write_table(components(links), "labels")), "left-over")
     if not rest.isEmpty():
-        more = confirm(rest, full_sets(docs, signed, rest, width), percent)
-        links = write_table(links.union(more), "links")
+        meeting = rest.join(full_sets(docs, signed, rest, width), "node").repartition("region").sortWithinPartitions("region")
+        links = write_table(links.union(meeting.select("region", "node", "part", "minor", "items").mapInArrow(_confirmed(percent), "u binary, v binary")), "links")
     labels = write_table(components(links), "labels")
     named = write_table(narrow_join(classes.select("node", "doc_id"), labels, ["node"], "left").withColumn("root", F.coalesce("root", "node")), "named")
     ids = write_table(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
