@@ -98,7 +98,7 @@ def export_coverage(spark, sf_dir):
     return parsing.coverage(parsing.exports(corpus(spark).filter("ord IN (1, 2)")))
 
 
-@query(golden([("schema.graphql", "query", "Query", "user"), ("schema.graphql", "type", "User", "id,name"), ("schema.graphql", "enum", "Role", "ADMIN,USER"), ("schema.graphql", "union", "Any", "User,Role"), ("schema.graphql", "scalar", "Date", ""), ("schema.graphql", "directive", "auth", ""), ("schema.graphql", "input", "In", "")], "path, kind, name, members"))
+@query(golden([("schema.graphql", "query", "Query", "user"), ("schema.graphql", "type", "User", "id,name"), ("schema.graphql", "enum", "Role", "ADMIN,USER"), ("schema.graphql", "union", "Any", "User,Role"), ("schema.graphql", "scalar", "Date", ""), ("schema.graphql", "directive", "auth", ""), ("schema.graphql", "input", "In", "a")], "path, kind, name, members"))
 def schema_members(spark, sf_dir):
     return parsing.schema_members(corpus(spark).filter("ord = 7"))
 

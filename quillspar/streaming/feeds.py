@@ -14,9 +14,9 @@ from quillspar.operators.changes import Bucket
 
 
 def debounced(changes: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """One row for each burst of changes (ts, path), node_modules left out; the watermark delays a burst by `late`."""
+    """One row for each burst of changes (root, ts, path) of a root, node_modules left out; the watermark delays a burst by `late`."""
     kept = changes.filter(~F.col("path").contains("node_modules")).withWatermark("ts", late)
-    return kept.groupBy(F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("ts").alias("last")).drop("session_window")
+    return kept.groupBy("root", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("ts").alias("last")).drop("session_window")
 
 
 def rate_limited(calls: DataFrame, key: str, most: int, window_ms: int) -> DataFrame:
