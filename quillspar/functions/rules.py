@@ -218,3 +218,22 @@ CHATTY = (
     r"(?im)^(?:[-*]\s*)?(?:would you like|do you want)[^.\n]*[.\n]",
     r"(?im)^(?:[-*]\s*)?(?:here is|here's) (?:a |the )?(?:summary|overview|breakdown)[^.\n]*:\s*$",
 )
+#: Key, audience, how far generated text may go (yes, hybrid, no), of each document of the plan.
+DOCUMENTS = (
+    ("executive_summary", "non-technical", "yes"), ("system_overview", "mixed", "yes"), ("business_domains", "mixed", "yes"), ("architecture_overview", "technical", "yes"),
+    ("module_catalog", "technical", "hybrid"), ("route_map", "mixed", "hybrid"), ("api_surface", "technical", "hybrid"), ("data_flows", "mixed", "yes"), ("arch_diff", "mixed", "yes"),
+    ("system_map", "mixed", "hybrid"), ("developer_onboarding", "technical", "yes"), ("graphql_schema", "technical", "no"), ("type_graph", "technical", "no"), ("dependency_graph", "technical", "no"),
+    ("architecture_drift", "mixed", "no"), ("security_hotspots", "technical", "no"), ("code_health", "mixed", "no"),
+)
+CORE_DOCUMENTS = ("system_overview", "module_catalog", "route_map")
+#: Pattern (our names), alternatives of which each is a set of keywords that all must be there.
+PATTERNS = (
+    ("app router", (("app/",),)), ("pages router", (("pages/",),)), ("layered components", (("component", "lib"),)), ("hooks", (("hook",),)),
+    ("central state", (("store",), ("state",), ("redux",), ("zustand",))), ("api routes", (("api",), ("endpoint",))), ("core", (("core",), ("kernel",))),
+    ("plugins", (("plugin",), ("extension",))), ("middleware", (("middleware",),)), ("renderers", (("render",), ("template",))), ("publishing", (("publish",), ("output",))),
+    ("analysis", (("analyz",), ("detect",), ("inspect",))), ("command line", (("cli",), ("command",), ("bin",))), ("shared utilities", (("util",), ("helper",), ("lib",))),
+    ("integrations", (("integrat",), ("adapter",), ("connect",))), ("ai", (("ai",), ("prompt",), ("provider",))), ("delivery", (("deliver",), ("dispatch",))), ("tests", (("test",), ("spec",))),
+)
+#: Of these patterns a module holding one of the keywords must have this many importers (in) or imports (out) to be verified.
+VERIFIED = {"core": (("in", "core"),), "plugins": (("in", "plugin"), ("out", "plugin"), ("in", "loader")), "renderers": (("out", "render"),), "publishing": (("out", "publish"),), "shared utilities": (("in", "util"), ("in", "helper"), ("in", "lib"))}
+LEAST_VERIFIED = 3
