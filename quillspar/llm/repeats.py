@@ -19,7 +19,7 @@ them are covered as a whole. Names are sent once per batch of rows, so text that
 pile up in a task: no task holds more than one range of names.
 
 Null text: no bytes. Texts shorter than `length`: nothing to remove. Repeated rows: copies of each other. Whole texts are
-used; memory is a batch of about 4 MB of text (or the longest text) times thirty, or one range of names.
+used; memory is a batch of about 2 MB of text (or the longest text) times forty, or one range of names.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ from quillspar.llm.common import MIX1, U64, column, located, mix64, narrow_join,
 from quillspar.session import fits_broadcast, write_table
 
 LENGTH, TUPLE, RATE = 200, 64, 32
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Names of a range: about this many bytes of text give one range.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 12 << 20
 MOST_FILTER_BITS, BITS_A_NAME = 1 << 28, 16
 SINGLE, FIRST, COPY = 0, 1, 2
 
@@ -314,8 +314,8 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            arrays = [batch.column(c) for c in names]
-            spans = batch.column("_spans").to_pylist()
+            arrays = [batch.column(f"d_{c}") for c in names]
+            spans = batch.column("cuts").to_pylist()
             if any(spans):
                 texts = arrays[at].to_pylist()
                 for i, gone in enumerate(spans):
@@ -330,4 +330,4 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rows = located(docs, names).drop("_block").withColumnsRenamed({c: f"d_{c}" for c in names})
     joined = narrow_join(rows, cuts, ["_file", "_row"], "left")
-    return joined.select(*[F.col(f"`d_{c}`").alias(c) for c in names], F.col("spans").alias("_spans")).mapInArrow(cut, schema)
+    return joined.select(*[f"`d_{c}`" for c in names], F.col("spans").alias("cuts")).mapInArrow(cut, schema)
