@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,6 +96,15 @@ def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give freed memory back: Python workers live on between stages, beside other workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, keys: tuple[str, ...] = ()) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about `most_bytes` of `column`; a table never mixes values of `keys`.
 
@@ -129,6 +139,7 @@ def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             held.append(batch.slice(begun, at - begun))
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -148,6 +159,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         rest = table.slice(cut)
     if rest is not None and rest.num_rows:
         yield rest.combine_chunks()
+    release()
 
 
 def column(table: pa.Table, name: str) -> pa.Array:

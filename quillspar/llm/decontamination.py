@@ -10,7 +10,7 @@ The benchmark is the query set: it is read in blocks of about BLOCK_BYTES, each
 documents, so a benchmark of any size takes bounded memory and as many passes as it has blocks. Items of fewer than SEED
 words are joined by all their words at once; items without words are left out, as are documents without (never
 contaminated). Null ids stay null; repeated items count each, repeated documents give repeated rows. Of items with equal
-coverage the smallest item_id is named. Memory: about 8 MB of text, or the longest text.
+coverage the smallest item_id is named. Memory: about 3 MB of text, or the longest text.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from quillspar.llm.common import MIX1, U64, Words, column, grams, hash_strings,
 from quillspar.session import write_table
 
 SEED, MIN_TILE, COVERAGE, FIRST_LENGTH = 5, 3, 0.8, 20
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 3 << 20
 
 
 class Rolling:

@@ -7,7 +7,7 @@ that lies inside the interval of a detection ranked before it is dropped. The ba
 and always stay.
 
 Null or empty text: no words, no labels, score 0. Repeated rows give repeated rows. Whole texts are scanned; memory is a
-batch of about 8 MB of text, or the longest text.
+batch of about 3 MB of text, or the longest text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from quillspar.llm.common import Words, column, plain_words, sized_batches
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: Fixed values of the contract: phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 

@@ -7,7 +7,7 @@ max(`min_documents`, `max_share` of the host's documents) is boilerplate and rem
 rules fail, or if more than `depleted_percent` of its words stood in removed lines.
 
 Null text: no words, rejected by the base rules. Null host: a host of its own. Repeated rows: each is judged alone and
-they count as one document. Empty tables give none. Memory: batches of about 8 MB of text, or the longest text.
+they count as one document. Empty tables give none. Memory: batches of about 3 MB of text, or the longest text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from quillspar.session import write_table
 
 MIN_DOCUMENTS, MAX_SHARE, DEPLETED_PERCENT = 10, 0.01, 70
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -135,17 +135,17 @@ def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
 def _stripped(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed = batch.column("_gone").to_pylist()
-            at = batch.schema.get_field_index("text")
-            arrays = [batch.column(c) for c in columns]
+            removed = batch.column("gone").to_pylist()
+            at = columns.index("text")
+            arrays = [batch.column(f"d_{c}") for c in columns]
             if any(removed):
-                texts = batch.column(at).to_pylist()
+                texts = arrays[at].to_pylist()
                 for i, gone in enumerate(removed):
                     if gone and texts[i]:
                         parts, gone = texts[i].split("\n"), set(gone)
                         hashes = line_hashes(pa.array(parts, pa.string()))
                         texts[i] = "\n".join(p for p, h in zip(parts, hashes.tolist(), strict=True) if h not in gone)
-                arrays[columns.index("text")] = pa.array(texts, batch.schema.field("text").type)
+                arrays[at] = pa.array(texts, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return run
@@ -158,5 +158,5 @@ def clean(docs: DataFrame, **options: object) -> DataFrame:
     names = docs.columns
     rows = located(docs, names).drop("_block").withColumnsRenamed({c: f"d_{c}" for c in names})
     joined = narrow_join(rows, touched, ["_file", "_row"], "left").filter(F.coalesce("kept", F.lit(True)))
-    joined = joined.select(*[F.col(f"`d_{c}`").alias(c) for c in names], F.col("removed").alias("_gone"))
+    joined = joined.select(*[f"`d_{c}`" for c in names], F.col("removed").alias("gone"))
     return joined.mapInArrow(_stripped(names), docs.schema)

@@ -14,7 +14,7 @@ members, block by block, with their full sets, and a block gives only confirmed
 
 Null or empty text: an empty set, linked with nothing. Fewer words than the shingle's width: the whole sequence is one
 shingle. Repeated rows fall in one class. Null doc_id: takes part in links, but is never the smallest id, and its row is
-kept only if no row of its component has an id. Memory: about 8 MB of text, or the longest text; a region or block.
+kept only if no row of its component has an id. Memory: about 3 MB of text, or the longest text; a region or block.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from quillspar.llm.components import components
 from quillspar.session import write_table
 
 SIGNATURE, DEPTH, REGION, MEETING, MISS = 128, 4, 128, 256, 1e-5
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 _RANDOM = np.random.RandomState(20240501)
 _A = (_RANDOM.randint(0, 1 << 31, SIGNATURE, np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RANDOM.randint(0, 1 << 32, SIGNATURE, np.int64).astype(np.uint32)
@@ -120,7 +120,7 @@ def _signed(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sized_batches(batches, "text", BATCH_BYTES // 4):
+        for table in sized_batches(batches, "text", BATCH_BYTES):
             found, starts = shingle_sets(column(table, "text"), width)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(found.view(np.int64)))
             yield from pa.table([column(table, "node"), lists], names=["node", "items"]).to_batches()
