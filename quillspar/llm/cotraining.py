@@ -10,7 +10,7 @@ all documents are scored.
 Fitted on a bounded sample: at most MAX_LABELLED labelled documents and a pool of MAX_POOL others, the smallest by the MD5
 of their ids; scoring covers all rows. Null text, source or language: features of their own. Repeated labels of a
 document: the larger counts. No labels at all: every score is the prior 0.5 and all are kept. Repeated rows are scored
-each. Memory: about 8 MB of text, or the longest text; on the driver the sample's feature numbers.
+each. Memory: about 3 MB of text, or the longest text; on the driver the sample's feature numbers.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, hash_strings, mix64, sized_batches
+from quillspar.llm.common import U64, Words, column, hash_strings, light_batches, mix64, sized_batches
 from quillspar.session import write_table
 
-MAX_LABELLED, MAX_POOL = 12_000, 8_000
+MAX_LABELLED, MAX_POOL = 10_000, 4_000
 ROUNDS, SURE, HELD_PRECISION, MIN_HELD = 3, 0.95, 0.97, 20
 DIM, EPOCHS, STEP, DECAY, RARE = 1 << 18, 12, 0.1, 1e-4, 3
 #: A document is dropped from this probability of being toxic on.
 TOXIC_CUT = 0.3
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 TARGETS = ("quality", "toxic")
 _COUNTED = (("upper", "[A-Z]"), ("pipe", "[|]"), ("shout", "[!]"), ("digit", "[0-9]"), ("symbol", "[#*$%&<>]"), ("other", r"[{}\[\]=;/\\@_~^]"))
 
@@ -93,17 +93,21 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Rows:
-    """Sparse 0/1 rows."""
+    """Sparse 0/1 rows, looked at one by one or some hundred at a time."""
 
     def __init__(self, blobs: list[bytes]):
-        each = [np.frombuffer(x, np.int32) for x in blobs]
-        self.n = len(each)
-        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-        self.features = np.concatenate(each) if each else np.zeros(0, np.int32)
-        self.owner = np.repeat(np.arange(self.n), np.diff(self.starts))
+        self.each = [np.frombuffer(x, np.int32) for x in blobs]
+        self.n = len(self.each)
 
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        return weights[-1] + np.bincount(self.owner, weights[self.features], self.n)
+    def scores(self, weights: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return weights[-1] + np.array([weights[self.each[i]].sum() for i in which.tolist()])
+
+    def often(self, which: np.ndarray) -> np.ndarray:
+        """In how many of these rows each feature is."""
+        out = np.zeros(DIM, np.int32)
+        for i in which.tolist():
+            out[self.each[i]] += 1
+        return out
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -113,9 +117,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 def fit(rows: Rows, which: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights (the last is the bias) by AdaGrad over rows[which] with labels y; rare features stay at zero."""
     weights, squares = np.zeros(DIM + 1), np.full(DIM + 1, 1e-6)
-    member = np.zeros(rows.n, bool)
-    member[which] = True
-    common = np.bincount(rows.features[member[rows.owner]], minlength=DIM) >= min(RARE, max(1, len(which) // 100))
+    common = rows.often(which) >= min(RARE, max(1, len(which) // 100))
     share = np.clip(y.mean(), 0.01, 0.99) if len(y) else 0.5
     weights[-1] = np.log(share / (1 - share))
     random = np.random.RandomState(7)
@@ -123,7 +125,7 @@ def fit(rows: Rows, which: np.ndarray, y: np.ndarray) -> np.ndarray:
         order = random.permutation(len(which))
         for a in range(0, len(order), 256):
             batch = order[a : a + 256]
-            at = [rows.features[rows.starts[r] : rows.starts[r + 1]] for r in which[batch]]
+            at = [rows.each[r] for r in which[batch].tolist()]
             owner, flat = np.repeat(np.arange(len(batch)), [len(x) for x in at]), np.concatenate(at)
             keep = common[flat]
             owner, flat = owner[keep], flat[keep]
@@ -175,17 +177,17 @@ def cotrain(views: list[Rows], y: np.ndarray) -> tuple[list[np.ndarray], np.ndar
         if turn == ROUNDS:
             break
         for k, rows in enumerate(views):
-            scores = rows.scores(models[k])
+            on_held, on_pool = rows.scores(models[k], held), rows.scores(models[k], pool)
             for positive in (True, False):
-                cut = sure_from(scores[held], y[held], positive)
+                cut = sure_from(on_held, y[held], positive)
                 if cut is not None:
-                    p = squash(scores[pool]) if positive else 1 - squash(scores[pool])
-                    best = pool[np.argsort(-p, kind="stable")][: max(1, len(pool) // (2 * ROUNDS))]
-                    for i in best[(squash(scores[best]) if positive else 1 - squash(scores[best])) >= cut].tolist():
+                    p = squash(on_pool) if positive else 1 - squash(on_pool)
+                    best = np.argsort(-p, kind="stable")[: max(1, len(pool) // (2 * ROUNDS))]
+                    for i in pool[best[p[best] >= cut]].tolist():
                         for other in range(len(views)):
                             if other != k:
                                 given[other].setdefault(i, float(positive))
-    return models, logistic(np.column_stack([rows.scores(m)[held] for rows, m in zip(views, models, strict=True)]), y[held])
+    return models, logistic(np.column_stack([rows.scores(m, held) for rows, m in zip(views, models, strict=True)]), y[held])
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> tuple[list[Rows], dict[str, np.ndarray]]:
@@ -197,14 +199,19 @@ def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int)
     pool = pool.orderBy(order, "doc_id").limit(max_pool).select("doc_id", *[F.lit(None).cast("int").alias(t) for t in TARGETS])
     picked = write_table(chosen.unionByName(pool), "picked")  # at most max_labelled + max_pool rows
     one = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    found = one.orderBy(order, "doc_id").mapInArrow(_featured, "quality int, toxic int, v0 binary, v1 binary").collect()
-    y = {t: np.array([np.nan if r[t] is None else float(r[t] > 0) for r in found]) for t in TARGETS}
-    return [Rows([bytes(r[v]) for r in found]) for v in ("v0", "v1")], y
+    views, y = [[], []], {t: [] for t in TARGETS}
+    for row in one.orderBy(order, "doc_id").mapInArrow(_featured, "quality int, toxic int, v0 binary, v1 binary").toLocalIterator():
+        for k in range(2):
+            views[k].append(bytes(row[f"v{k}"]))
+        for t in TARGETS:
+            y[t].append(np.nan if row[t] is None else float(row[t] > 0))
+    return [Rows(v) for v in views], {t: np.array(v, float) for t, v in y.items()}
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
     """Per row: doc_id, the views' and the combined quality and toxic scores (probabilities), and kept: good and not toxic."""
     spark = docs.sparkSession
+    light_batches(spark)
     views, y = sample(docs, labels, max_labelled, max_pool)
     models = {t: cotrain(views, y[t]) for t in TARGETS}
     if not any((~np.isnan(v)).any() for v in y.values()):
