@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillspar.llm.common import column, whole_groups
 from quillspar.session import write_table
 
-MERGE, RELABEL, INSERT, PIECE = 1, 2, 3, 4096
+MERGE, RELABEL, INSERT, PIECE = 1, 4, 2, 4096
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
 START, NEVER = 0, 1 << 40
