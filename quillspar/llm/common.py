@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspar.session import fits_broadcast, write_table
@@ -21,11 +21,23 @@ MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ARROW_BYTES = 8 << 20
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches between the JVM and Python to ARROW_BYTES (Spark's own bound is 64 MB), for this session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def located(docs: DataFrame, columns: list[str]) -> DataFrame:
     """`columns` of docs with the stable identity of each row: _file (hash of its path), _block (start of its split), _row.
 
     A frame that isn't a plain scan is written to the scratch folder first, so that a later pass sees the same rows.
     """
+    light_batches(docs.sparkSession)
     meta = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.row_index").alias("_row")]
     picked = [F.col(f"`{c}`") for c in columns]
     try:

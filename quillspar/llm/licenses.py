@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quillspar.llm.common import Words, column, plain_words, sized_batches
+from quillspar.llm.common import Words, column, light_batches, plain_words, sized_batches
 
 BATCH_BYTES = 3 << 20
 #: Fixed values of the contract: phrase and label.
@@ -244,5 +244,6 @@ def scan(docs: DataFrame) -> DataFrame:
             found = scan_batch(column(table, "text"))
             yield from pa.table([column(table, "doc_id"), *(pa.array(found[f.name], f.type) for f in fields)], names=["doc_id", *fields.names]).to_batches()
 
+    light_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {SPAN}")
