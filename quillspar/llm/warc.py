@@ -188,3 +188,14 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_archives(pages, path, min_bytes)
     return read_archives(spark, path)
 
+
+
+_DIGITS = " || ".join(f"to_base(('0x' || substr(sha1(coalesce(html, '')), {1 + 10 * i}, 10))::BIGINT, 32, 8)" for i in range(4))
+ORACLE = f"""
+WITH hashed AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+    translate({_DIGITS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM hashed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM firsts
+"""
