@@ -45,8 +45,8 @@ def publishable(flagged: DataFrame, all_if_none: bool = False) -> DataFrame:
     """Changed rows; with `all_if_none`, every row where nothing changed."""
     if not all_if_none:
         return flagged.filter("changed")
-    whole = Window.partitionBy()
-    return flagged.withColumn("any", F.max("changed").over(whole)).filter("changed OR NOT any").drop("any")
+    none = flagged.agg(F.coalesce(~F.max("changed"), F.lit(True))).scalar()
+    return flagged.filter(F.col("changed") | none)
 
 
 def change_status(code: Column) -> Column:

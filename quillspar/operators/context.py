@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
@@ -104,7 +104,7 @@ def by_priority(wanted: DataFrame, sources: list[DataFrame], key: str, value: st
 
 def hub_flows(measured: DataFrame, edges: DataFrame, hubs: int = 3, importers: int = 5, below: int = 3) -> DataFrame:
     """(name, importers, downstream, critical) of the nodes imported most; edges (src, dst)."""
-    least = F.greatest(F.lit(3), F.floor(F.count("*").over(Window.partitionBy()) * 0.05))
+    least = F.greatest(F.lit(3), F.floor(measured.agg(F.count("*")).scalar() * 0.05))
     top = measured.withColumn("least", least).filter("fan_in >= least").orderBy(F.desc("fan_in"), "key").limit(hubs)
     first = lambda c, n: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, n), ",")
     ins = edges.groupBy(F.col("dst").alias("key")).agg(first("src", importers).alias("importers"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
@@ -64,7 +64,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def with_roles(measured: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame:
     """(…, fan_in, fan_out) with is_hub, is_orphan, is_leaf, is_orchestrator and the role in words."""
-    total = F.count("*").over(Window.partitionBy())
+    total = measured.agg(F.count("*")).scalar()  # a scalar subquery: a window over all rows would be one task
     hub = F.col("fan_in") >= F.greatest(F.lit(least), F.floor(total * share))
     i, o = F.col("fan_in"), F.col("fan_out")
     flagged = measured.withColumns({"is_hub": hub, "is_orphan": (i == 0) & (o == 0), "is_leaf": (o == 0) & (i > 0), "is_orchestrator": (o >= 5) & (i < o)})

@@ -158,8 +158,8 @@ def graph_counts(spark, sf_dir):
 
 @query(f"SELECT key, fan_in FROM {DEGREES} WHERE fan_in >= greatest(5, floor(0.1 * (SELECT count(*) FROM {NODES}))) ORDER BY fan_in DESC, key LIMIT 10")
 def graph_hubs(spark, sf_dir):
-    total = F.count("*").over(Window.partitionBy())
-    return measured(spark, sf_dir).withColumn("least", F.greatest(F.lit(5), F.floor(total * 0.1))).filter("fan_in >= least").orderBy(F.desc("fan_in"), "key").limit(10).select("key", "fan_in")
+    total = nodes(spark, sf_dir).agg(F.count("*")).scalar()
+    return measured(spark, sf_dir).filter(F.col("fan_in") >= F.greatest(F.lit(5), F.floor(total * 0.1))).orderBy(F.desc("fan_in"), "key").limit(10).select("key", "fan_in")
 
 
 _ROLE = "CASE WHEN is_orphan THEN 'isolated' WHEN is_hub AND fan_in >= 15 THEN 'critical shared' WHEN is_hub THEN 'shared' WHEN is_orchestrator THEN 'orchestrator' WHEN is_leaf THEN 'leaf' WHEN fan_in > 0 AND fan_out > 0 THEN 'connector' END"
