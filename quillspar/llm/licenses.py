@@ -189,12 +189,9 @@ def detect(words: list[str], keywords: set[str]) -> list[tuple[int, int, Rule]]:
     return kept
 
 
-def places(text: str, phrase: str) -> list[int]:
-    """Word positions where the phrase's words stand consecutively in normalised text."""
-    padded, want, at, found = f" {text} ", f" {phrase} ", -1, []
-    while (at := padded.find(want, at + 1)) >= 0:
-        found.append(padded.count(" ", 0, at))
-    return found
+def places(text: str, phrase: str) -> np.ndarray:
+    """Character positions where the phrase's words stand consecutively in normalised text; places may overlap."""
+    return np.array([m.start() for m in re.finditer(rf"(?<!\S)(?={re.escape(phrase)}(?!\S))", text)], np.int64)
 
 
 def scan_batch(texts: pa.Array) -> dict[str, list]:
@@ -209,14 +206,16 @@ def scan_batch(texts: pa.Array) -> dict[str, list]:
     n = len(texts)
     out: dict[str, list] = {"n_words": np.diff(words.starts).tolist(), "n_base": [0] * n, "first_word": [None] * n, "last_word": [None] * n, "base_labels": [""] * n, "labels": [""] * n, "score": [0.0] * n, "spans": [[] for _ in range(n)]}
     vocabulary = {int(i): words.vocabulary[int(i)].as_py() for i in flagged}
-    for doc in np.unique(owners).tolist():
+    docs, cuts = np.unique(owners, return_index=True)
+    for doc, lo, hi in zip(docs.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(owners)], strict=True):
         listed = [w for w in plain[doc].as_py().split(" ") if w]
         text = " ".join(listed)
-        held = {vocabulary[int(c)] for c in np.unique(words.codes[at[owners == doc]])}
+        begins = np.cumsum([0, *(len(w) + 1 for w in listed)])
+        held = {vocabulary[int(c)] for c in np.unique(words.codes[at[lo:hi]])}
         starts, base = [], set()
         for phrase, label in BASE:
             if held.issuperset(phrase.split()):
-                found = places(text, phrase)
+                found = np.searchsorted(begins, places(text, phrase)).tolist()
                 starts += found
                 base |= {label} if found else set()
         hits = detect(listed, held)
@@ -228,7 +227,7 @@ def scan_batch(texts: pa.Array) -> dict[str, list]:
         for _, _, r in hits:
             miss *= 1 - r.weight
         out["score"][doc] = round(1 - miss * 0.4 ** len(base), 6)
-        out["spans"][doc] = [{"label": r.label, "first_word": text.count(" ", 0, a), "last_word": text.count(" ", 0, b), "weight": r.weight} for a, b, r in sorted(hits, key=lambda x: x[:2])]
+        out["spans"][doc] = [{"label": r.label, "first_word": int(np.searchsorted(begins, a)), "last_word": int(np.searchsorted(begins, b)) - 1, "weight": r.weight} for a, b, r in sorted(hits, key=lambda x: x[:2])]
     return out
 
 
