@@ -181,3 +181,15 @@ def timings(rows: DataFrame) -> DataFrame:
     """(operation, ms) summed by operation, and the total of all rows."""
     each = rows.groupBy("operation").agg(F.sum("ms").alias("ms"))
     return each.union(rows.agg(F.sum("ms").alias("ms")).select(F.lit("total"), "ms"))
+
+
+def legacy_patterns(content: Column, tool: str) -> Column:
+    """What is outdated in a workflow file that runs `tool`, in a fixed order."""
+    checks = (
+        ("tools folder", content.rlike(rf"(?i)cd\s+tools/{tool}")),
+        ("install without latest", content.rlike(rf"(?m)npm\s+(?:ci|install)(?:\s|$)(?!.*{tool}@)")),
+        ("run without latest", content.rlike(rf"(?m)npx\s+{tool}\s+(?!@latest)")),
+        ("no node setup", ~content.contains("actions/setup-node@")),
+        ("no environment", ~content.contains("NOTION_TOKEN") & ~content.contains("env:")),
+    )
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in checks]))

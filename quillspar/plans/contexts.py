@@ -159,3 +159,12 @@ def graphql_libraries(spark, sf_dir):
     rows = values(spark, _CODE, "ord long, path string, content string").filter(~F.col("path").rlike(r"(?i)(?:^|/)(?:tests?|__tests?__|spec|__spec__)/|\.(test|spec)\.[jt]sx?$"))
     hits = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), n) for n, p in rules.GRAPHQL_LIBRARIES]))
     return rows.select("path", F.explode(hits).alias("library"), F.col("content").rlike("|".join(rules.RESOLVERS)).alias("resolver"))
+
+
+_WORKFLOWS = [(1, "- uses: actions/setup-node@v4\n  env:\n- run: npx tool@latest publish"), (2, "cd tools/tool\nnpm ci\nnpx tool publish"), (3, "uses: actions/setup-node@v3\nnpm install tool@latest\nNOTION_TOKEN")]
+
+
+@query(golden([(1, ""), (2, "tools folder,install without latest,run without latest,no node setup,no environment"), (3, "")], "id, found"))
+def legacy_workflows(spark, sf_dir):
+    rows = values(spark, _WORKFLOWS, "id int, content string")
+    return rows.select("id", F.array_join(context.legacy_patterns(F.col("content"), "tool"), ",").alias("found"))
