@@ -193,3 +193,18 @@ def legacy_patterns(content: Column, tool: str) -> Column:
         ("no environment", ~content.contains("NOTION_TOKEN") & ~content.contains("env:")),
     )
     return F.array_compact(F.array(*[F.when(c, name) for name, c in checks]))
+
+
+#: Section, kind of value it must hold, and whether it must be there.
+SETTINGS = (("configVersion", "number", False), ("project", "object", True), ("scan", "object", True), ("publishers", "array", True), ("plugins", "array", False), ("domains", "object", False), ("module_roots", "array", False))
+
+
+def settings_errors(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, error) of settings given as JSON: not JSON, a section missing, or of another kind."""
+    kinds = {"number": "^(BIGINT|DOUBLE|DECIMAL)", "object": "^OBJECT", "array": "^ARRAY"}
+    parsed = rows.select(key, F.try_parse_json(column).alias("v"))
+    errors = [F.when(F.col("v").isNull(), "not JSON")]
+    for name, kind, needed in SETTINGS:
+        held = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+        errors.append(F.when(F.col("v").isNotNull() & held.isNull() & F.lit(needed), f"{name} is missing").when(held.isNotNull() & ~held.rlike(kinds[kind]), f"{name} must be of kind {kind}"))
+    return parsed.select(key, F.explode(F.array_compact(F.array(*errors))).alias("error"))

@@ -168,3 +168,11 @@ _WORKFLOWS = [(1, "- uses: actions/setup-node@v4\n  env:\n- run: npx tool@latest
 def legacy_workflows(spark, sf_dir):
     rows = values(spark, _WORKFLOWS, "id int, content string")
     return rows.select("id", F.array_join(context.legacy_patterns(F.col("content"), "tool"), ",").alias("found"))
+
+
+_SETTINGS = [(1, '{"project": {}, "scan": {}, "publishers": ["markdown"]}'), (2, '{"project": 1, "publishers": {}}'), (3, "no")]
+
+
+@query(golden([(2, "project must be of kind object"), (2, "scan is missing"), (2, "publishers must be of kind array"), (3, "not JSON")], "id, error"))
+def settings_errors(spark, sf_dir):
+    return context.settings_errors(values(spark, _SETTINGS, "id int, settings string"), "id", "settings")
