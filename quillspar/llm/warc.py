@@ -7,7 +7,8 @@ all responses, as are all rows of a group without any page_id.
 Reading: a task looks at an archive by chunks of `CHUNK` bytes and emits every offset where a record might begin, with
 the offset of its successor; magic inside a payload is such a candidate too. Within a chunk each candidate is followed to
 the offset where its chain leaves the chunk; pointer jumping over these exits, from offset 0 of each file, finds the
-entry of each chunk, and only records on the chain from there are kept.
+entry of each chunk, and only records on the chain from there are kept. A header may have any length; an archive whose
+chain doesn't end at its last byte is an error.
 
 Null urls become urn:none; control characters and spaces in urls are percent-encoded. Empty tables give none. Repeated
 rows are written and read back each. Memory: a task holds one archive file; the writer bounds its files by records, and
@@ -31,7 +32,6 @@ from quillspar.session import drop_table, scratch_root, write_table
 
 MAGIC = b"WARC/1."
 CHUNK = 4 << 20
-MOST_HEADER = 64 << 10
 MAX_FILE_BYTES = 1 << 30
 RECORDS_PER_FILE = 10_000
 END = "\r\n\r\n"
@@ -84,7 +84,9 @@ _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 
 def parse_candidate(data: bytes, at: int) -> tuple[int, dict] | None:
     """The successor and the fields of the record that might begin at `at`, or None if it can't be one."""
-    stop = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
+    if at and data[at - 4 : at] != b"\r\n\r\n":  # so the headers of two candidates never overlap, and all are read in one pass
+        return None
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         return None
     fields = {k.lower(): v for k, v in _FIELD.findall(data[at:stop])}
@@ -173,10 +175,13 @@ def chunk_entries(chunks: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """The records of all archives under `path`: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     files = spark.read.format("binaryFile").load(path)
-    files = files.select("path", F.when(F.col("length") <= max_file_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("archive too large: "), "path"))).alias("content"))
+    whole = files.select("path", F.when(F.col("length") <= max_file_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("archive too large: "), "path"))).alias("content"))
     found = "path string, chunk long, offs array<long>, nexts array<long>, exits array<long>, found array<struct<page_id:long,payload_bytes:long,payload_digest:string,record_type:string,refers_to:long>>"
-    chunks = write_table(files.mapInArrow(_candidates, found), "chunks")
+    chunks = write_table(whole.mapInArrow(_candidates, found), "chunks")
     entries = chunk_entries(chunks)
+    ends = files.filter("length > 0").select("path", F.col("length").alias("entry"))
+    if broken := ends.join(entries, ["path", "entry"], "left_anti").first():
+        raise ValueError(f"archive of {broken.entry} bytes whose records don't reach its end: {broken.path}")
     entries = entries.withColumn("chunk", F.floor(F.col("entry") / CHUNK).cast("long"))
     return chunks.join(entries, ["path", "chunk"]).select("offs", "nexts", "found", "entry").mapInArrow(_walked, RECORD)
 

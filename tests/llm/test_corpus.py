@@ -202,6 +202,21 @@ def test_warc_chains_cross_chunks(table, monkeypatch):
     assert warc.round_trip(table(rows, PAGES)).count() == 40
 
 
+def test_warc_headers_of_any_length(table):
+    rows = [(i, url, f"page {i}") for i, url in enumerate(["http://a", "data:," + "x" * 100_000, " " * 40_000, "http://b"])]
+    assert sorted(r.page_id for r in warc.round_trip(table(rows, PAGES)).collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("cut", [slice(None, -1), slice(1, None), slice(None, -40)], ids=["end", "start", "record"])
+def test_warc_broken_chains_are_errors(spark, table, tmp_path, cut):
+    warc.write_archives(table([(i, "u", f"page {i}") for i in range(5)], PAGES).coalesce(1), str(tmp_path / "whole"))
+    (whole,) = (tmp_path / "whole").glob("part-*")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(whole.read_bytes()[cut])
+    with pytest.raises(ValueError, match="reach its end"):
+        warc.read_archives(spark, str(tmp_path / "cut")).count()
+
+
 def test_role_repair_is_cheapest():
     r = random.Random(4)
     from itertools import product
