@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and non-ASCII characters; a rule is a regex over
-the words joined by single spaces. A rule runs only on texts that hold its keyword, a word that each of its matches
-contains. Detections are ordered by priority (full grants, then references, then names, then hints), longer first; one
+the words joined by single spaces. A rule runs only on texts that hold its keyword, which each of its matches contains as
+a word or with the version joined on (gplv3, apache2). Detections are ordered by priority (full grants, then references, then names, then hints), longer first; one
 that lies inside the interval of a detection ranked before it is dropped. The base labels are found by plain phrases
 and always stay.
 
@@ -36,7 +36,8 @@ FAMILIES = (
     ("mit-0", "mit", r"mit (?:0|no attribution)(?: licen[cs]e)?", ""),
     ("x11", "x11", r"x11 licen[cs]e", ""),
     ("expat", "expat", r"expat licen[cs]e", ""),
-    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?|simplified bsd(?: licen[cs]e)?|freebsd licen[cs]e", ""),
+    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?|simplified bsd(?: licen[cs]e)?", ""),
+    ("bsd-2-clause", "freebsd", r"freebsd licen[cs]e", ""),
     ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause(?: licen[cs]e)?|(?:new|revised|modified) bsd(?: licen[cs]e)?", ""),
     ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd(?: licen[cs]e)?|bsd 4 clause(?: licen[cs]e)?|original bsd licen[cs]e", ""),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", ""),
@@ -152,6 +153,15 @@ def rules_by_keyword() -> dict[str, tuple[int, ...]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+#: What may follow a keyword in its word: the patterns' versions, or the v of one.
+JOINED = re.compile(r"v?[0-9]*")
+
+
+def gates(word: str, keyword: str) -> bool:
+    """Whether the word is the keyword, alone or with a version joined on."""
+    return word.startswith(keyword) and JOINED.fullmatch(word, len(keyword)) is not None
+
+
 #: Words to each side of a keyword that any match can reach; bounds in the patterns stay well below it.
 REACH = 48
 
@@ -160,7 +170,7 @@ def windows(words: list[str], keyword: str) -> list[tuple[int, int]]:
     """Merged character ranges, in the joined text, of REACH words around each place of the keyword."""
     ends = np.cumsum([len(w) + 1 for w in words])
     out: list[list[int]] = []
-    for i in (i for i, w in enumerate(words) if w == keyword):
+    for i in (i for i, w in enumerate(words) if gates(w, keyword)):
         lo, hi = max(0, i - REACH), min(len(words), i + REACH + 1)
         a, b = int(ends[lo - 1]) if lo else 0, int(ends[hi - 1]) - 1
         if out and a <= out[-1][1]:
@@ -197,8 +207,9 @@ def places(text: str, phrase: str) -> np.ndarray:
 def scan_batch(texts: pa.Array) -> dict[str, list]:
     plain = plain_words(texts)
     words = Words(plain, lower=False)
-    gates = set(rules_by_keyword()) | {w for phrase, _ in BASE for w in phrase.split()}
-    flagged = np.flatnonzero(pc.is_in(words.vocabulary, pa.array(sorted(gates), pa.string())).to_numpy(zero_copy_only=False))
+    plain_gates = "|".join(sorted({w for phrase, _ in BASE for w in phrase.split()}))
+    opening = rf"^(?:{plain_gates}|(?:{'|'.join(sorted(rules_by_keyword()))}){JOINED.pattern})$"
+    flagged = np.flatnonzero(pc.match_substring_regex(words.vocabulary, opening).to_numpy(zero_copy_only=False))
     mark = np.zeros(len(words.vocabulary) + 1, bool)
     mark[flagged] = True
     at = np.flatnonzero(mark[words.codes])
@@ -218,7 +229,7 @@ def scan_batch(texts: pa.Array) -> dict[str, list]:
                 found = np.searchsorted(begins, places(text, phrase)).tolist()
                 starts += found
                 base |= {label} if found else set()
-        hits = detect(listed, held)
+        hits = detect(listed, {k for k in rules_by_keyword() if any(gates(w, k) for w in held)})
         if starts:
             out["n_base"][doc], out["first_word"][doc], out["last_word"][doc] = len(starts), min(starts), max(starts)
         out["base_labels"][doc] = ",".join(sorted(base))

@@ -173,6 +173,49 @@ def test_license_labels():
     assert all(0 <= s <= 1 for s in out["score"])
 
 
+def drawn(tree, r):
+    """A random text that the parsed pattern matches."""
+    out = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            kind, value = r.choice(arg)
+            out.append(chr(value) if str(kind) == "LITERAL" else chr(r.randint(*value)) if str(kind) == "RANGE" else r.choice("0123456789") if str(value) == "CATEGORY_DIGIT" else "w")
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out += [drawn(inner, r) for _ in range(r.randint(low, min(high, low + 3)))]
+        elif op == "SUBPATTERN":
+            out.append(drawn(arg[-1], r))
+        elif op == "BRANCH":
+            out.append(drawn(r.choice(arg[1]), r))
+        else:
+            assert op == "ASSERT_NOT", op
+    return "".join(out)
+
+
+def test_every_match_of_a_license_rule_passes_its_gate():
+    from re import _parser
+
+    r = random.Random(6)
+    for rule in licenses.rules():
+        for _ in range(40):
+            sample = drawn(_parser.parse(rule.pattern.pattern), r)
+            if rule.pattern.fullmatch(sample):
+                assert any(licenses.gates(w, rule.keyword) for w in sample.split(" ")), (rule.label, sample)
+                assert licenses.detect(["a", *sample.split(" "), "z"], {rule.keyword}), (rule.label, sample)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("Licensed under the GPLv3 or later", "gpl-3.0"), ("under GPL2", "gpl-2.0"), ("uses LGPLv2.1 code", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("an Apache2 license", "apache-2.0"), ("MPL2.0", "mpl-2.0"), ("EUPL1.2", "eupl-1.2"), ("GPL v3, gplv 3", "gpl-3.0"), ("FreeBSD license", "bsd-2-clause"), ("GPLv33 mpls gplv", "")],
+)
+def test_versions_joined_to_license_names(text, label):
+    out = licenses.scan_batch(pa.array([text]))
+    assert out["labels"] == [label] and (out["score"][0] > 0) == bool(label) == bool(out["spans"][0])
+
+
 def test_detections_inside_better_ones_go():
     listed = "licensed under the apache license version 2 0".split()
     kept = licenses.detect(listed, {"apache"})
