@@ -2,7 +2,7 @@
 
 Each line is lower-cased, its white space collapsed, and hashed. Per host (the source) a line counts the distinct
 documents that hold it, where documents with the same remaining lines count once: a document is known, beside a line,
-by the smallest hash among its other lines, so copies of one document don't make its lines common. A line in more than
+by one hash of the whole set of its other lines, so copies of one document don't make its lines common. A line in more than
 max(`min_documents`, `max_share` of the host's documents) is boilerplate and removed. A document is rejected if the base
 rules fail, or if more than `depleted_percent` of its words stood in removed lines.
 
@@ -58,7 +58,7 @@ def repeated_words(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def measure(texts: pa.Array) -> dict[str, pa.Array]:
-    """The base measures and the distinct lines of each text: hashes, words, and the two smallest hashes."""
+    """The base measures and the distinct lines of each text: hashes, words, and the xor of the hashes."""
     texts = pc.fill_null(texts, "")
     n = len(texts)
     words = Words(texts, lower=False)
@@ -91,21 +91,19 @@ def measure(texts: pa.Array) -> dict[str, pa.Array]:
     each = np.bincount(who[first], minlength=n)
     offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
     held = held[first]
-    least = np.zeros((2, n), np.int64)
-    for k in range(2):
-        has = each > k
-        least[k, has] = held[offsets[:-1][has] + k]
+    whole = np.zeros(n, np.int64)
+    whole[each > 0] = np.bitwise_xor.reduceat(held, offsets[:-1][each > 0]) if len(held) else 0
     arrays = {k: pa.array(v, pa.int64()) for k, v in out.items()}
     arrays["lines"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(held, pa.int64()))
     arrays["line_words"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(summed.astype(np.int64), pa.int64()))
-    arrays |= {"least": pa.array(least[0]), "second": pa.array(least[1])}
+    arrays["whole"] = pa.array(whole)
     return arrays
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in sized_batches(batches, "text", BATCH_BYTES):
         found = measure(column(table, "text"))
-        rows = {k: column(table, k) for k in ("doc_id", "source", "_file", "_row")} | {k: found[k] for k in (*MEASURES, "lines", "line_words", "least", "second")}
+        rows = {k: column(table, k) for k in ("doc_id", "source", "_file", "_row")} | {k: found[k] for k in (*MEASURES, "lines", "line_words", "whole")}
         yield from pa.table(rows).to_batches()
 
 
@@ -113,10 +111,10 @@ def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
     """Per row: its identity (_file, _row), doc_id, the measures, base_failed, removed (line hashes), removed_words, kept."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = located(docs.withColumn("source", F.col(host)) if host != "source" else docs, ["doc_id", "source", "text"]).drop("_block")
-    schema = f"doc_id {kind}, source string, _file long, _row long, {', '.join(f'{m} long' for m in MEASURES)}, lines array<long>, line_words array<long>, least long, second long"
+    schema = f"doc_id {kind}, source string, _file long, _row long, {', '.join(f'{m} long' for m in MEASURES)}, lines array<long>, line_words array<long>, whole long"
     measured = write_table(rows.withColumn("source", F.col("source").cast("string")).mapInArrow(_measured, schema), "lines")
-    held = measured.select("source", "_file", "_row", "least", "second", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-    held = held.select("source", "_file", "_row", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.when(F.col("x.lines") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("beside"))
+    held = measured.select("source", "_file", "_row", "whole", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    held = held.select("source", "_file", "_row", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.col("whole").bitwiseXOR(F.col("x.lines")).alias("beside"))
     limits = measured.groupBy("source").agg(F.greatest(F.lit(float(min_documents)), F.lit(max_share) * F.count("*")).alias("most"))
     known = held.groupBy("source", "line", "beside").agg(F.lit(1).alias("one")).groupBy("source", "line").agg(F.count("*").alias("documents"))
     known = known.filter(F.col("documents") > min_documents)

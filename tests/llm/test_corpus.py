@@ -124,6 +124,23 @@ def test_common_lines_go_and_copies_stay(table):
     assert set(cleaned) == {*range(30), *range(200, 240)} and "Subscribe" not in cleaned[0] and cleaned[200] == one
 
 
+def test_lines_of_one_template_do_not_hide_each_other(table):
+    """Documents that share several lines are distinct by what else they hold, whatever the lines' hashes are."""
+    r = random.Random(8)
+    shared = ["Home News About " + "menu " * 5, "Read more of this " + "here " * 5, "Contact us at " + "our place " * 4]
+    least = sorted(line_rules.line_hashes(pa.array(shared)).tolist())[1]
+    bodies = []
+    while len(bodies) < 30:
+        body = " ".join(f"w{r.randint(0, 99999)}" for _ in range(120))
+        if line_rules.line_hashes(pa.array([body]))[0] > least:
+            bodies.append(body)
+    rows = [(i, "\n".join([shared[0], body, *shared[1:]]), "h") for i, body in enumerate(bodies)]
+    rows += [(100 + i, "\n".join(["just eleven copies " + "hold this " * 5, bodies[0]]), "h") for i in range(11)]
+    cleaned = {x.doc_id: x.text for x in line_rules.clean(table(rows, "doc_id long, text string, source string")).collect()}
+    assert [cleaned[i] for i in range(30)] == bodies
+    assert all(cleaned[100 + i] == rows[30 + i][1] for i in range(11))
+
+
 def test_mixing(docs):
     out = mixing.weigh(docs).collect()
     size = {i: len(words(t)) for i, t, *_ in made()}
