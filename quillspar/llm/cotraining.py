@@ -2,15 +2,16 @@
 
 Two classifiers see a document by different views: its text (words, their first four and five letters, and binned
 measures such as the share of symbols) and its metadata (source, language, length and their pairs). Each is a logistic
-regression over hashed features. In each round both score a pool of unlabelled documents; where one is confident, and
-its confidence has held on labelled documents that neither was fitted on, its verdicts become pseudo-labels for the
-other. After the rounds both views' scores are calibrated on those held-out documents, joined by a logistic model, and
+regression over hashed features. In each round both score all unlabelled documents, in tasks; where one is confident,
+and its confidence has held on labelled documents that neither was fitted on, its surest verdicts on documents not yet
+passed on become pseudo-labels for the other. After the rounds both views' scores are calibrated on those held-out documents, joined by a logistic model, and
 all documents are scored.
 
-Fitted on a bounded sample: at most MAX_LABELLED labelled documents and a pool of MAX_POOL others, the smallest by the MD5
-of their ids; scoring covers all rows. Null text, source or language: features of their own. Repeated labels of a
+Fitted on at most MAX_LABELLED labelled documents, the smallest by the MD5 of their ids, and on the pseudo-labels: at most
+MAX_GIVEN for each verdict, view and round, chosen among all unlabelled rows (a sixth of them, if that is less); scoring
+covers all rows. Null text, source or language: features of their own. Repeated labels of a
 document: the larger counts. No labels at all: every score is the prior 0.5 and all are kept. Repeated rows are scored
-each. Memory: about 3 MB of text, or the longest text; on the driver the sample's feature numbers.
+each. Memory: about 3 MB of text, or the longest text; on the driver the feature numbers of what is fitted on.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, hash_strings, light_batches, mix64, sized_batches
-from quillspar.session import write_table
+from quillspar.llm.common import U64, Words, column, hash_strings, located, mix64, narrow_join, sized_batches
+from quillspar.session import drop_table, write_table
 
-MAX_LABELLED, MAX_POOL = 10_000, 4_000
+MAX_LABELLED, MAX_GIVEN = 12_000, 8_000 // 6
 ROUNDS, SURE, HELD_PRECISION, MIN_HELD = 3, 0.95, 0.97, 20
 DIM, EPOCHS, STEP, DECAY, RARE = 1 << 18, 12, 0.1, 1e-4, 3
 #: A document is dropped from this probability of being toxic on.
 TOXIC_CUT = 0.3
 BATCH_BYTES = 3 << 20
+SKIP = 65535
 TARGETS = ("quality", "toxic")
 _COUNTED = (("upper", "[A-Z]"), ("pipe", "[|]"), ("shout", "[!]"), ("digit", "[0-9]"), ("symbol", "[#*$%&<>]"), ("other", r"[{}\[\]=;/\\@_~^]"))
 
@@ -83,21 +85,44 @@ def _views(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     return [text_features(column(table, "text")), meta_features(*(column(table, c).to_pylist() for c in ("source", "lang", "n_chars")))]
 
 
+def packed(owner: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
+    """Each row's sorted features as two-byte gaps; a gap from SKIP on takes several."""
+    first = np.searchsorted(owner, np.arange(n + 1))
+    begins = first[:-1][np.diff(first) > 0]
+    gap = np.diff(feature, prepend=0)
+    gap[begins] = feature[begins]
+    skips, rest = np.divmod(gap, SKIP)
+    ends = np.concatenate([[0], np.cumsum(skips + 1)])
+    coded = np.full(ends[-1], SKIP, np.uint16)
+    coded[ends[1:] - 1] = rest
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * ends[first]).astype(np.int32)), pa.py_buffer(coded)])
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, feature) of packed rows."""
+    coded = np.frombuffer(b"".join(blobs), np.uint16)
+    owner = np.repeat(np.arange(len(blobs)), [len(x) // 2 for x in blobs])
+    sums = np.concatenate([[0], np.cumsum(coded, dtype=np.int64)])
+    starts = np.cumsum([0, *(len(x) // 2 for x in blobs)])[:-1]
+    keep = coded != SKIP
+    return owner[keep], (sums[1:] - sums[starts][owner])[keep]
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = ("doc_id", "_file", "_row", *TARGETS, *(f"has_{t}" for t in TARGETS))
     for table in sized_batches(batches, "text", BATCH_BYTES):
-        blobs = []
-        for who, feature in _views(table):
-            cuts = np.searchsorted(who, np.arange(table.num_rows + 1))
-            blobs.append(pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-        yield from pa.table([column(table, "quality"), column(table, "toxic"), *blobs], names=["quality", "toxic", "v0", "v1"]).to_batches()
+        blobs = [packed(*view, table.num_rows) for view in _views(table)]
+        yield from pa.table([*(column(table, c) for c in kept), *blobs], names=[*kept, "v0", "v1"]).to_batches()
 
 
 class Rows:
     """Sparse 0/1 rows, looked at one by one or some hundred at a time."""
 
-    def __init__(self, blobs: list[bytes]):
-        self.each = [np.frombuffer(x, np.int32) for x in blobs]
-        self.n = len(self.each)
+    def __init__(self):
+        self.each: list[np.ndarray] = []
+
+    def add(self, blob: bytes) -> None:
+        self.each.append(unpacked([blob])[1].astype(np.int32))
 
     def scores(self, weights: np.ndarray, which: np.ndarray) -> np.ndarray:
         return weights[-1] + np.array([weights[self.each[i]].sum() for i in which.tolist()])
@@ -159,80 +184,139 @@ def sure_from(scores: np.ndarray, y: np.ndarray, positive: bool) -> float | None
     return None
 
 
-def cotrain(views: list[Rows], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Weights of both views and of their combination, from rows of which those with y = nan are unlabelled."""
-    known = np.flatnonzero(~np.isnan(y))
-    held, used = known[::5], np.setdiff1d(known, known[::5])
-    pool = np.flatnonzero(np.isnan(y))
-    if len(used) < 10 or len(np.unique(y[used])) < 2:
+class Exchange:
+    """The two views of one target: their models and the pseudo-labels that each was given."""
+
+    def __init__(self, views: list[Rows], y: np.ndarray):
+        self.views, self.y = views, y
+        known = np.flatnonzero(~np.isnan(y))
+        self.held, self.used = known[::5], np.setdiff1d(known, known[::5])
+        self.given: list[dict[int, float]] = [{} for _ in views]
         share = np.clip(np.nanmean(y) if len(known) else 0.5, 0.01, 0.99)
-        return [np.zeros(DIM + 1) for _ in views], np.array([0.0] * len(views) + [np.log(share / (1 - share))])
-    given: list[dict[int, float]] = [{} for _ in views]
-    models: list[np.ndarray] = []
-    for turn in range(ROUNDS + 1):
-        models = []
-        for k, rows in enumerate(views):
-            extra = np.array(sorted(given[k]), np.int64)
-            models.append(fit(rows, np.concatenate([used, extra]), np.concatenate([y[used], [given[k][i] for i in extra.tolist()]])))
-        if turn == ROUNDS:
-            break
-        for k, rows in enumerate(views):
-            on_held, on_pool = rows.scores(models[k], held), rows.scores(models[k], pool)
+        self.models, self.joint = [np.zeros(DIM + 1) for _ in views], np.array([0.0] * len(views) + [np.log(share / (1 - share))])
+        self.able = len(self.used) >= 10 and len(np.unique(y[self.used])) == 2
+
+    def fit(self) -> None:
+        for k, rows in enumerate(self.views):
+            extra = np.array(sorted(self.given[k]), np.int64)
+            self.models[k] = fit(rows, np.concatenate([self.used, extra]), np.concatenate([self.y[self.used], [self.given[k][i] for i in extra.tolist()]]))
+
+    def cuts(self) -> Iterator[tuple[int, bool, float]]:
+        """(view, verdict, probability from which it is passed on), of the verdicts that held."""
+        for k, rows in enumerate(self.views):
+            on_held = rows.scores(self.models[k], self.held)
             for positive in (True, False):
-                cut = sure_from(on_held, y[held], positive)
-                if cut is not None:
-                    p = squash(on_pool) if positive else 1 - squash(on_pool)
-                    best = np.argsort(-p, kind="stable")[: max(1, len(pool) // (2 * ROUNDS))]
-                    for i in pool[best[p[best] >= cut]].tolist():
-                        for other in range(len(views)):
-                            if other != k:
-                                given[other].setdefault(i, float(positive))
-    return models, logistic(np.column_stack([rows.scores(m, held) for rows, m in zip(views, models, strict=True)]), y[held])
-
-
-def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> tuple[list[Rows], dict[str, np.ndarray]]:
-    """Both views' features, and the labels (nan: none), of the bounded sample."""
+                if (cut := sure_from(on_held, self.y[self.held], positive)) is not None:
+                    yield k, positive, cut
+
+    def join(self) -> None:
+        self.joint = logistic(np.column_stack([rows.scores(m, self.held) for rows, m in zip(self.views, self.models, strict=True)]), self.y[self.held])
+
+
+def features(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """Per row of docs: its identity, both views' features, which labels its document has, and those of the sample."""
     chosen = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(t).cast("int").alias(t) for t in TARGETS])
-    order = F.md5(F.col("doc_id").cast("string"))
-    chosen = write_table(chosen.orderBy(order, "doc_id").limit(max_labelled), "labelled")
-    pool = docs.select("doc_id").filter("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    pool = pool.orderBy(order, "doc_id").limit(max_pool).select("doc_id", *[F.lit(None).cast("int").alias(t) for t in TARGETS])
-    picked = write_table(chosen.unionByName(pool), "picked")  # at most max_labelled + max_pool rows
-    one = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    views, y = [[], []], {t: [] for t in TARGETS}
-    for row in one.orderBy(order, "doc_id").mapInArrow(_featured, "quality int, toxic int, v0 binary, v1 binary").toLocalIterator():
+    sampled = write_table(chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled), "sampled")
+    has = chosen.select("doc_id", *[F.col(t).isNotNull().alias(f"has_{t}") for t in TARGETS])
+    labelled = write_table(has.join(F.broadcast(sampled), "doc_id", "left"), "labelled")
+    rows = located(docs, ["doc_id", "text", "source", "lang", "n_chars"]).drop("_block")
+    rows = rows.withColumns({"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "n_chars": F.col("n_chars").cast("long")})
+    rows = narrow_join(rows, labelled, ["doc_id"], "left").withColumns({f"has_{t}": F.coalesce(f"has_{t}", F.lit(False)) for t in TARGETS})
+    kind = dict(docs.dtypes)["doc_id"]
+    return write_table(rows.mapInArrow(_featured, f"doc_id {kind}, _file long, _row long, {', '.join(f'{t} int' for t in TARGETS)}, {', '.join(f'has_{t} boolean' for t in TARGETS)}, v0 binary, v1 binary"), "features")
+
+
+def view_scores(batch: pa.RecordBatch, weights: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """For each view, the scores by each of its models."""
+    for k, models in enumerate(weights):
+        owner, feature = unpacked(batch.column(f"v{k}").to_pylist())
+        yield [w[-1] + np.bincount(owner, w[feature], batch.num_rows) for w in models]
+
+
+def pool_scores(rows: DataFrame, exchanges: dict[str, Exchange]) -> DataFrame:
+    """Of every row without a label of some target: its identity, and the views' scores."""
+    shared = rows.sparkSession.sparkContext.broadcast([[x.models[k].astype(np.float32) for x in exchanges.values()] for k in range(2)])
+    kept = ["doc_id", "_file", "_row", *(f"has_{t}" for t in TARGETS)]
+    names = [f"{t}_{k}" for k in range(2) for t in exchanges]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array(x) for view in view_scores(batch, shared.value) for x in view]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], names=[*kept, *names])
+
+    free = rows.filter(" OR ".join(f"NOT has_{t}" for t in TARGETS)).select(*kept, "v0", "v1")
+    held = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in kept)
+    return write_table(free.mapInArrow(scored, f"{held}, {', '.join(f'{n} double' for n in names)}"), "pool")
+
+
+def pass_on(rows: DataFrame, views: list[Rows], exchanges: dict[str, Exchange], places: dict[tuple[int, int], int], max_given: int) -> None:
+    """One round: the surest verdicts of each view on all unlabelled rows become pseudo-labels for the other."""
+    asked = [(t, *x) for t, e in exchanges.items() if e.able for x in e.cuts()]
+    if not asked:
+        return
+    pool = pool_scores(rows, exchanges)
+    free = pool.agg(*[F.count_if(~F.col(f"has_{t}")).alias(t) for t in TARGETS]).first()
+    order = (F.md5(F.col("doc_id").cast("string")), F.col("_file"), F.col("_row"))
+    verdicts = []
+    for t, k, positive, cut in asked:
+        most = min(max_given, max(1, free[t] // (2 * ROUNDS)))
+        sure = F.col(f"{t}_{k}") if positive else -F.col(f"{t}_{k}")
+        given = exchanges[t].given[1 - k]
+        best = pool.filter(~F.col(f"has_{t}") & (sure >= float(np.log(cut / (1 - cut))))).orderBy(F.desc(sure), *order).limit(most + len(given))
+        ids = [(r._file, r._row) for r in best.select("_file", "_row").collect()]  # some thousand rows
+        verdicts.append((t, 1 - k, positive, [i for i in ids if places.get(i) not in given][:most]))
+    drop_table(pool)
+    fresh = sorted({i for *_, ids in verdicts for i in ids if i not in places})
+    if fresh:
+        wanted = rows.sparkSession.createDataFrame(fresh, "_file long, _row long")
+        for row in rows.join(F.broadcast(wanted), ["_file", "_row"]).select("_file", "_row", "v0", "v1").orderBy("_file", "_row").toLocalIterator():
+            places[row._file, row._row] = len(views[0].each)
+            for k in range(2):
+                views[k].add(bytes(row[f"v{k}"]))
+    for t, k, positive, ids in verdicts:
+        for i in ids:
+            exchanges[t].given[k].setdefault(places[i], float(positive))
+
+
+def learned(rows: DataFrame, max_given: int) -> tuple[dict[str, Exchange], bool]:
+    """The exchange of each target after its rounds, and whether there was any label."""
+    views, y = [Rows(), Rows()], {t: [] for t in TARGETS}
+    sampled = rows.filter(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS)).dropDuplicates(["doc_id"])
+    places: dict[tuple[int, int], int] = {}
+    for row in sampled.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
+        places[row._file, row._row] = len(places)
         for k in range(2):
-            views[k].append(bytes(row[f"v{k}"]))
+            views[k].add(bytes(row[f"v{k}"]))
         for t in TARGETS:
             y[t].append(np.nan if row[t] is None else float(row[t] > 0))
-    return [Rows(v) for v in views], {t: np.array(v, float) for t, v in y.items()}
+    exchanges = {t: Exchange(views, np.array(v, float)) for t, v in y.items()}
+    able = [x for x in exchanges.values() if x.able]
+    for turn in range(ROUNDS + 1):
+        for x in able:
+            x.fit()
+        if turn < ROUNDS:
+            pass_on(rows, views, exchanges, places, max_given)
+    for x in able:
+        x.join()
+    return exchanges, bool(places)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_given: int = MAX_GIVEN) -> DataFrame:
     """Per row: doc_id, the views' and the combined quality and toxic scores (probabilities), and kept: good and not toxic."""
-    spark = docs.sparkSession
-    light_batches(spark)
-    views, y = sample(docs, labels, max_labelled, max_pool)
-    models = {t: cotrain(views, y[t]) for t in TARGETS}
-    if not any((~np.isnan(v)).any() for v in y.values()):
-        models = {t: ([np.zeros(DIM + 1)] * 2, np.zeros(3)) for t in TARGETS}
-    flat = {t: ([w.astype(np.float32) for w in m], c) for t, (m, c) in models.items()}
-    shared = spark.sparkContext.broadcast(flat)
-    labelled = any((~np.isnan(v)).any() for v in y.values())
+    rows = features(docs, labels, max_labelled)
+    exchanges, labelled = learned(rows, max_given)
+    shared = docs.sparkSession.sparkContext.broadcast(([[x.models[k].astype(np.float32) for x in exchanges.values()] for k in range(2)], [x.joint for x in exchanges.values()]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sized_batches(batches, "text", BATCH_BYTES):
-            out = [column(table, "doc_id")]
-            found, n = _views(table), table.num_rows
-            final = {}
-            for t in TARGETS:
-                weights, joint = shared.value[t]
-                each = [w[-1] + np.bincount(who, w[feature], n) for (who, feature), w in zip(found, weights, strict=True)]
+        for batch in batches:
+            weights, joints = shared.value
+            out, n, final = [batch.column("doc_id")], batch.num_rows, {}
+            for t, joint, *each in zip(TARGETS, joints, *view_scores(batch, weights), strict=True):
                 final[t] = squash(np.column_stack([*each, np.ones(n)]) @ joint)
                 out += [pa.array(np.round(x, 6)) for x in (squash(each[0]), squash(each[1]), final[t])]
             out.append(pa.array((final["quality"] >= 0.5) & (final["toxic"] < TOXIC_CUT) if labelled else np.ones(n, bool)))
-            yield from pa.table(out, names=["doc_id", *[f"{t}_{v}" for t in TARGETS for v in ("text", "meta", "score")], "kept"]).to_batches()
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *[f"{t}_{v}" for t in TARGETS for v in ("text", "meta", "score")], "kept"])
 
     kind = dict(docs.dtypes)["doc_id"]
     fields = ", ".join(f"{t}_{v} double" for t in TARGETS for v in ("text", "meta", "score"))
-    return docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(scored, f"doc_id {kind}, {fields}, kept boolean")
+    return rows.select("doc_id", "v0", "v1").mapInArrow(scored, f"doc_id {kind}, {fields}, kept boolean")

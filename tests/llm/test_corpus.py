@@ -346,6 +346,34 @@ def test_classifier_finds_held_out_labels(spark):
     assert sum(r.toxic_score >= cotraining.TOXIC_CUT and r.toxic == 0 for r in out) < 0.1 * len(out)
 
 
+def test_every_unlabelled_document_can_be_passed_on(spark, monkeypatch):
+    """In each round all rows without a label are scored, and pseudo-labels are among the surest of all of them."""
+    docs, labels = (registry.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    seen, scores = [], cotraining.pool_scores
+    monkeypatch.setattr(cotraining, "pool_scores", lambda *a: seen.append(scores(*a)) or seen[-1])
+    monkeypatch.setattr(cotraining, "drop_table", lambda _: None)
+    rows = cotraining.features(docs, labels, cotraining.MAX_LABELLED)
+    exchanges, labelled = cotraining.learned(rows, 50)
+    unlabelled = docs.join(labels, "doc_id", "left_anti").count()
+    assert labelled and unlabelled > 5000 and seen and {p.count() for p in seen} == {unlabelled}
+    given = {(t, k, v): n for t, x in exchanges.items() for k in range(2) for v in (0.0, 1.0) if (n := list(x.given[k].values()).count(v))}
+    assert given and max(given.values()) <= 50 * cotraining.ROUNDS
+    t, k, v = max(given, key=given.get)
+    sign = 1 if v else -1
+    surest = sorted((sign * r[f"{t}_{1 - k}"] for r in seen[0].filter(f"NOT has_{t}").collect()), reverse=True)
+    x = exchanges[t]
+    first = [i for i, y in x.given[k].items() if y == v][:50]
+    assert len(first) == len({*first}) and surest[49] > 0 and min(first) >= len(x.y)
+
+
+def test_features_are_packed_without_loss():
+    r = np.random.RandomState(3)
+    sets = [np.unique(r.randint(0, cotraining.DIM, k)) for k in (0, 1, 5, 700)] + [np.array([0, 65534, 65535, 131069, 131070, cotraining.DIM - 1])]
+    owner, feature = np.repeat(np.arange(5), [len(x) for x in sets]), np.concatenate(sets)
+    got = cotraining.unpacked(cotraining.packed(owner, feature, 5).to_pylist())
+    assert (got[0] == owner).all() and (got[1] == feature).all()
+
+
 def test_classifier_without_labels_keeps_all(table):
     docs = table([*made(n=6), (None, "x", None, None, None)], DOCS)
     out = cotraining.score(docs, table([], "doc_id long, quality int, toxic int", "l")).collect()
