@@ -37,7 +37,6 @@ MOST_TRAINERS = 512
 TABLE_BITS, BLOCK = 20, 1 << 14
 ORDERS = 6
 GATES = 8 * 8 * 4
-MOST_WEIGHT = 1000
 RATE, FIRST_WEIGHT, STEP = 0.01, 0.2, 16384
 STEPS, LIMIT = 24, 8.0
 ADAPT = (100.0, 1000.0, 10_000.0, 100_000.0)
@@ -129,7 +128,7 @@ class Mixer:
         words, counts = [words[i] for i in order.tolist()], counts[order]
         for a in range(0, len(words), CHUNK_WORDS):
             coded = Coded(words[a : a + CHUNK_WORDS])
-            each = np.repeat(np.minimum(counts[a : a + CHUNK_WORDS], MOST_WEIGHT).astype(np.float64), coded.lengths)
+            each = np.repeat(counts[a : a + CHUNK_WORDS].astype(np.float64), coded.lengths)
             for b in range(8):
                 slots, bits, node = coded.bit(b)
                 odds, seen = stretch_all(tables, slots, bits)

@@ -332,6 +332,16 @@ def test_word_probabilities_sum_to_less_than_one():
     assert 0.1 < total <= 1.0001
 
 
+def test_mixer_learns_from_full_counts():
+    tables = np.zeros((context_mixing.ORDERS, 1 << context_mixing.TABLE_BITS, 2), np.float32)
+    words, counts = [b"ab", b"b"], np.array([10_000_000, 3])
+    context_mixing.count_bits(words, counts, tables)
+    mixer = context_mixing.Mixer()
+    mixer.learn(words, counts, tables)
+    bits = 8 * (3 * 10_000_000 + 2 * 3)
+    assert mixer.moved.sum() == bits == mixer.refined.sum() and np.isfinite(mixer.weights).all()
+
+
 def test_context_mixing_beats_the_base_on_held_out_documents(spark):
     rows = registry.op10_context_mixing(spark, "/root/testdata/sf0.1").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert rows["sum(score)"] > rows["sum(base_score)"]
