@@ -46,13 +46,21 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by write_table that nothing reads any more."""
     path = getattr(df, "_quill_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+        drop_path(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that operators have written to the scratch folder; their frames can't be read any more."""
+    drop_path(spark, f"{scratch_root(spark).rstrip('/')}/quillspar")
 
 
 #: A written table beyond either bound is joined by shuffle.
