@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspar.session import fits_broadcast, write_table
@@ -32,20 +32,31 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-def located(docs: DataFrame, columns: list[str]) -> DataFrame:
+def located(docs: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """`columns` of docs with the stable identity of each row: _file (hash of its path), _block (start of its split), _row.
 
-    A frame that isn't a plain scan is written to the scratch folder first, so that a later pass sees the same rows.
+    With a `prefix` the columns carry it, so that no name of theirs can clash with the operator's own. A frame that isn't
+    a plain scan is written to the scratch folder first, so that a later pass sees the same rows.
     """
     light_batches(docs.sparkSession)
     meta = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.row_index").alias("_row")]
-    picked = [F.col(f"`{c}`") for c in columns]
+    picked = [quoted(c).alias(prefix + c) for c in columns]
     try:
         out = docs.select(*picked, *meta)
         out.schema  # noqa: B018  resolves the hidden columns
         return out
     except AnalysisException:
-        return write_table(docs.select(*picked), "rows").select(*columns, *meta)
+        return write_table(docs.select(*picked), "rows").select(*[quoted(prefix + c) for c in columns], *meta)
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unprefixed(rows: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+    """The columns that `located` gave a prefix, by their own names."""
+    return rows.select(*[quoted(prefix + c).alias(c) for c in columns])
 
 
 def narrow_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -6,7 +6,8 @@ and what it leaves is shared out again by weight, until none is above (solved by
 Each document is emitted floor(rate) times, plus once more if the coin seeded by its doc_id falls under the fraction.
 
 Null doc_id: tossed as the text "null". Repeated rows: each is mixed, with the same coin. Empty tables and sources
-without words: target 0, nothing emitted. Extra columns are kept by `mix`, its own column names replaced.
+without words: target 0, nothing emitted. `mix` keeps every column of docs; its own column is named copy_no, with as many
+underscores after it as it takes to be new.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import WORD
+from quillspar.llm.common import WORD, quoted
 from quillspar.session import fits_broadcast, write_table
 
 WEIGHTS, BUDGET, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
@@ -77,10 +78,13 @@ def weigh(docs: DataFrame, budget: float = BUDGET, most: int = MOST, seed: str =
 def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: docs' own columns and copy_no (from 1), one row per emitted copy."""
     _, rates = plan_sources(docs, budget, most)
-    rows = docs.drop("source_size", "target", "rate", "copy_no", "_source")
-    times = copies("rate", "doc_id", seed)
+    names, number = docs.columns, "copy_no"
+    while number.lower() in {c.lower() for c in names}:
+        number += "_"
+    rows = docs.select("source", F.col("doc_id").alias("tossed"), *[quoted(c).alias(f"d_{c}") for c in names])
+    times = copies("rate", "tossed", seed)
     out = with_rates(rows, rates).withColumn("copy_no", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times))))
-    return out.select(*[f"`{c}`" for c in rows.columns], "copy_no")
+    return out.select(*[quoted(f"d_{c}").alias(c) for c in names], F.col("copy_no").alias(number))
 
 
 ORACLE = r"""

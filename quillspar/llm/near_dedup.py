@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, sized_batches, whole_groups
+from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, sized_batches, unprefixed, whole_groups
 from quillspar.llm.components import components
 from quillspar.session import write_table
 
@@ -330,5 +330,5 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     extra = narrow_join(linked.filter("kept AND n_shingles > 0"), twice, ["component_id"], "inner").filter(F.struct("_file", "_row") != F.col("x"))
     gone = write_table(linked.filter("NOT kept").select("_file", "_row").union(extra.select("_file", "_row")), "gone")
     names = docs.columns
-    rows = located(docs, names).drop("_block")
-    return narrow_join(rows, gone, ["_file", "_row"], "left_anti").select(*[f"`{c}`" for c in names])
+    rows = located(docs, names, "d_").drop("_block")
+    return unprefixed(narrow_join(rows, gone, ["_file", "_row"], "left_anti"), names, "d_")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import MIX1, U64, column, located, mix64, narrow_join, sized_batches, whole_groups
+from quillspar.llm.common import MIX1, U64, column, located, mix64, narrow_join, quoted, sized_batches, whole_groups
 from quillspar.session import fits_broadcast, write_table
 
 LENGTH, TUPLE, RATE = 200, 64, 32
@@ -314,7 +314,7 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            arrays = [batch.column(f"d_{c}") for c in names]
+            arrays = [batch.column(f"c{i}") for i in range(len(names))]
             spans = batch.column("cuts").to_pylist()
             if any(spans):
                 texts = arrays[at].to_pylist()
@@ -328,6 +328,6 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 arrays[at] = pa.array(texts, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = located(docs, names).drop("_block").withColumnsRenamed({c: f"d_{c}" for c in names})
+    rows = located(docs, names, "d_").drop("_block")
     joined = narrow_join(rows, cuts, ["_file", "_row"], "left")
-    return joined.select(*[f"`d_{c}`" for c in names], F.col("spans").alias("cuts")).mapInArrow(cut, schema)
+    return joined.select(*[quoted(f"d_{c}").alias(f"c{i}") for i, c in enumerate(names)], F.col("spans").alias("cuts")).mapInArrow(cut, schema)
