@@ -1,13 +1,14 @@
 """Quality rules by cross-document line frequency.
 
-Each line is lower-cased, its white space collapsed, and hashed. Per host (the source) a line counts the distinct
-documents that hold it, where documents with the same remaining lines count once: a document is known, beside a line,
-by one hash of the whole set of its other lines, so copies of one document don't make its lines common. A line in more than
-max(`min_documents`, `max_share` of the host's documents) is boilerplate and removed. A document is rejected if the base
-rules fail, or if more than `depleted_percent` of its words stood in removed lines.
+Each line is lower-cased, its ASCII white space collapsed, and hashed; lines without a word don't count. A document is
+known by one hash of the whole set of its lines, so copies are one document. Per host (the source) a line counts the
+distinct documents that hold it. A line in more than max(`min_documents`, `max_share` of the host's distinct documents)
+is boilerplate and removed. A document is rejected if the base rules fail, or if more than `depleted_percent` of its words
+stood in removed lines.
 
 Null text: no words, rejected by the base rules. Null host: a host of its own. Repeated rows: each is judged alone and
-they count as one document. Empty tables give none. Memory: batches of about 3 MB of text, or the longest text.
+they count as one document. Empty tables give none. Extra columns of any name are kept by `clean`. Memory: batches of
+about 3 MB of text, or the longest text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, sized_batches
+from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, quoted, sized_batches
 from quillspar.session import write_table
 
 MIN_DOCUMENTS, MAX_SHARE, DEPLETED_PERCENT = 10, 0.01, 70
@@ -29,12 +30,12 @@ BATCH_BYTES = 3 << 20
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def normal_line(line: str) -> str:
-    return " ".join(line.lower().split())
+def normal_lines(lines: pa.Array) -> pa.Array:
+    return pc.ascii_trim(pc.replace_substring_regex(pc.utf8_lower(lines), r"[\x20\x09-\x0D]+", " "), " ")
 
 
 def line_hashes(lines: pa.Array) -> np.ndarray:
-    return hash_strings(pa.array([normal_line(x) for x in lines.to_pylist()], pa.string())).astype(np.int64)
+    return hash_strings(normal_lines(lines)).astype(np.int64)
 
 
 def repeated_words(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -113,15 +114,16 @@ def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
     rows = located(docs.withColumn("source", F.col(host)) if host != "source" else docs, ["doc_id", "source", "text"]).drop("_block")
     schema = f"doc_id {kind}, source string, _file long, _row long, {', '.join(f'{m} long' for m in MEASURES)}, lines array<long>, line_words array<long>, whole long"
     measured = write_table(rows.withColumn("source", F.col("source").cast("string")).mapInArrow(_measured, schema), "lines")
+    measured = measured.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     held = measured.select("source", "_file", "_row", "whole", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-    held = held.select("source", "_file", "_row", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.col("whole").bitwiseXOR(F.col("x.lines")).alias("beside"))
-    limits = measured.groupBy("source").agg(F.greatest(F.lit(float(min_documents)), F.lit(max_share) * F.count("*")).alias("most"))
-    known = held.groupBy("source", "line", "beside").agg(F.lit(1).alias("one")).groupBy("source", "line").agg(F.count("*").alias("documents"))
+    held = held.select("source", "_file", "_row", "whole", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    # one row of each distinct document: what it holds is counted by plain partial sums, however large its host is
+    one = write_table(measured.filter(F.size("lines") > 0).groupBy("source", "whole").agg(F.first("lines").alias("lines")), "distinct")
+    limits = one.groupBy("source").agg(F.greatest(F.lit(float(min_documents)), F.lit(max_share) * F.count("*")).alias("most"))
+    limits = write_table(limits, "hosts")
+    known = one.select("source", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count("*").alias("documents"))
     known = known.filter(F.col("documents") > min_documents)
-    limits = write_table(limits.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "hosts")
-    common = narrow_join(known.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), limits, ["source"], "inner").filter("documents > most").select("source", "line")
-    common = write_table(common, "common")
-    held = held.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    common = write_table(narrow_join(known, limits, ["source"], "inner").filter("documents > most").select("source", "line"), "common")
     lost = narrow_join(held, common, ["source", "line"], "inner").groupBy("_file", "_row").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("removed_words"))
     lost = write_table(lost, "lost")
     out = narrow_join(measured.select("doc_id", "_file", "_row", *MEASURES), lost, ["_file", "_row"], "left")
@@ -135,7 +137,7 @@ def _stripped(columns: list[str]):
         for batch in batches:
             removed = batch.column("gone").to_pylist()
             at = columns.index("text")
-            arrays = [batch.column(f"d_{c}") for c in columns]
+            arrays = [batch.column(f"c{i}") for i in range(len(columns))]
             if any(removed):
                 texts = arrays[at].to_pylist()
                 for i, gone in enumerate(removed):
@@ -154,7 +156,37 @@ def clean(docs: DataFrame, **options: object) -> DataFrame:
     verdicts = judge(docs, **options)
     touched = write_table(verdicts.filter(~F.col("kept") | (F.col("removed_words") > 0)).select("_file", "_row", "kept", "removed"), "touched")
     names = docs.columns
-    rows = located(docs, names).drop("_block").withColumnsRenamed({c: f"d_{c}" for c in names})
+    rows = located(docs, names, "d_").drop("_block")
     joined = narrow_join(rows, touched, ["_file", "_row"], "left").filter(F.coalesce("kept", F.lit(True)))
-    joined = joined.select(*[f"`d_{c}`" for c in names], F.col("removed").alias("gone"))
+    joined = joined.select(*[quoted(f"d_{c}").alias(f"c{i}") for i, c in enumerate(names)], F.col("removed").alias("gone"))
     return joined.mapInArrow(_stripped(names), docs.schema)
+
+
+ORACLE = rf"""
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM rows),
+tokens AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
+windows AS (SELECT rid, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM tokens WINDOW p AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM windows WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, w, w2, w3) > 1),
+again AS (SELECT rid, CAST(count(DISTINCT i + k) AS BIGINT) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) t(k) GROUP BY rid),
+sums AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM tokens GROUP BY rid),
+raw AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows),
+lines AS (
+  SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM raw),
+dups AS (SELECT rid, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM lines WHERE words > 0 GROUP BY rid),
+held AS (SELECT rid, normal, sum(words) AS words FROM lines WHERE words > 0 GROUP BY rid, normal),
+sets AS (SELECT rid, host, md5(string_agg(normal, chr(10) ORDER BY normal)) AS whole FROM held JOIN rows USING (rid) GROUP BY rid, host),
+limits AS (SELECT host, greatest({MIN_DOCUMENTS}, {MAX_SHARE}::DOUBLE * count(DISTINCT whole)) AS most FROM sets GROUP BY host),
+common AS (
+  SELECT host, normal FROM held JOIN sets USING (rid) JOIN limits USING (host) GROUP BY host, normal, most HAVING count(DISTINCT whole) > most),
+lost AS (SELECT rid, CAST(sum(words) AS BIGINT) AS removed_words FROM held JOIN sets USING (rid) JOIN common USING (host, normal) GROUP BY rid),
+judged AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+  FROM rows LEFT JOIN sums USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN again USING (rid) LEFT JOIN lost USING (rid)),
+based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM judged)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND 100 * removed_words <= {DEPLETED_PERCENT} * n_words AS kept FROM based
+"""

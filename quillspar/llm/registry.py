@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": warc.ORACLE, "op7_source_mix": mixing.ORACLE}
+    return {"op3_line_frequency": line_rules.ORACLE, "op5_warc_round_trip": warc.ORACLE, "op7_source_mix": mixing.ORACLE}
