@@ -1,9 +1,13 @@
 """Chat formatting by minimum-cost role repair.
 
 A legal conversation is an optional system turn, then user and assistant turns in alternation, beginning with a user and
-ending with an assistant. Each given turn may begin a turn of its role or another (RELABEL), after empty turns that make
+ending with an assistant. Each given turn may begin a turn of its role or another (RELABEL; SYSTEM more to or from it), after empty turns that make
 it legal (INSERT each), or be merged into the turn before (MERGE). Dynamic programming over the automaton's states finds
-the cheapest repair; among equal ones the smallest state goes back first, then the option listed first.
+the cheapest repair; among equal ones the smallest state goes back first, then the option listed first. By these costs each
+repair has its place: two turns of a role are merged, the middle one of three is relabelled, a missing first or last turn
+is inserted.
+
+A text can't forge a turn: "<|" is rendered as "<\\|", and a backslash after "<" is doubled; `unescaped` undoes it.
 
 Conversations are cut into pieces of PIECE turns. A piece is a min-plus matrix from its first to its last state; the
 matrices of a conversation are chained, which fixes each piece's end states, and the pieces are then repaired on their
@@ -17,6 +21,7 @@ conversation. Empty tables give none.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspar.llm.common import column, whole_groups
 from quillspar.session import write_table
 
-MERGE, RELABEL, INSERT, PIECE = 1, 4, 2, 4096
+MERGE, RELABEL, SYSTEM, INSERT, PIECE = 2, 3, 1, 3, 4096
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
 START, NEVER = 0, 1 << 40
@@ -42,7 +47,7 @@ def options(role: str | None, state: int) -> list[tuple[int, int, str, str, tupl
     """(cost, next state, action, role, empty turns before) for a given turn in a state."""
     found = []
     for to in sorted(ROLES, key=lambda r: r != role):
-        changed = 0 if to == role else RELABEL
+        changed = 0 if to == role else RELABEL + SYSTEM * ("system" in (to, role))
         end = ROLES.index(to) + 1
         if to in NEXT[state]:
             found.append((changed, end, "relabel" if changed else "keep", to, ()))
@@ -106,8 +111,16 @@ def ends(matrices: list[np.ndarray]) -> tuple[int, list[tuple[int, int]]]:
     return total, out[::-1]
 
 
+def escaped(text: str) -> str:
+    return re.sub(r"<([\\|])", r"<\\\1", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\([\\|])", r"<\1", text)
+
+
 def opened(role: str, text: str = "") -> str:
-    return f"<|{role}|>\n{text}"
+    return f"<|{role}|>\n{escaped(text)}"
 
 
 END = "<|end|>\n"
@@ -118,7 +131,7 @@ def segments(turns: list[tuple[str | None, str]], entry: int, last: int, final:
     out, state = [], entry
     for (_, text), (_, after, action, role, before) in zip(turns, repair([r for r, _ in turns], entry, last), strict=True):
         if action == "merge":
-            part = "\n" + text
+            part = "\n" + escaped(text)
         else:
             part = (END if state != START else "") + "".join(opened(r) + END for r in before) + opened(role, text)
         out.append({"action": action, "new_role": role, "inserted": ",".join(before), "segment": part})
@@ -186,11 +199,11 @@ def repaired(conversations: DataFrame) -> DataFrame:
     placed = placed.join(runs.select("conv", "task", "first", "offset"), ["conv", "task"])
     placed = placed.withColumn("position", F.col("at") - F.col("first") + F.col("offset")).withColumn("number", F.floor(F.col("position") / PIECE).cast("long"))
     placed = write_table(placed.select("conv_id", "turn", "role", "text", "conv", "position", "number", F.concat_ws("#", "number", "conv").alias("piece")), "placed")
-    costs = placed.select("conv", "number", "piece", "position", "role").repartition("piece").sortWithinPartitions("piece", "position")
+    costs = placed.select("conv", "number", "piece", "position", "role").repartition(n, "piece").sortWithinPartitions("piece", "position")
     costs = write_table(costs.mapInArrow(_matrices, "conv string, number long, costs array<long>"), "costs")
-    states = costs.repartition("conv").sortWithinPartitions("conv", "number").mapInArrow(_chained, "conv string, number long, entry long, last long, final boolean, conv_cost long")
+    states = costs.repartition(n, "conv").sortWithinPartitions("conv", "number").mapInArrow(_chained, "conv string, number long, entry long, last long, final boolean, conv_cost long")
     states = write_table(states, "states")
-    whole = placed.join(states, ["conv", "number"]).repartition("piece").sortWithinPartitions("piece", "position")
+    whole = placed.join(states, ["conv", "number"]).repartition(n, "piece").sortWithinPartitions("piece", "position")
     return whole.mapInArrow(_repaired, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, position long, role string, conv_cost long, new_role string, action string, inserted string, closing string, segment string")
 
 
