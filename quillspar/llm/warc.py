@@ -10,9 +10,13 @@ the offset where its chain leaves the chunk; pointer jumping over these exits, f
 entry of each chunk, and only records on the chain from there are kept. A header may have any length; an archive whose
 chain doesn't end at its last byte is an error.
 
-Null urls become urn:none; control characters and spaces in urls are percent-encoded. Empty tables give none. Repeated
-rows are written and read back each. Memory: a task holds one archive file; the writer bounds its files by records, and
-`read_archives` refuses files beyond `max_file_bytes`.
+page_id may be of any type that a text can be cast back to; it is percent-encoded in the record's id, and an id that can't
+be read back is an error. Null page_ids and urls become urn:page and urn:none; control characters and spaces in urls are
+percent-encoded, each as itself. Empty tables give none. Repeated rows are written and read back each.
+
+Memory: a task holds one archive file. The writer deals its records in turn to as many files as make FILE_BYTES each,
+so a file holds about that or its longest record; files of others are read whole as well, up to the 2 GB that one
+row can hold.
 """
 
 from __future__ import annotations
@@ -22,18 +26,20 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspar.llm.common import narrow_join
-from quillspar.session import drop_table, scratch_root, write_table
+from quillspar.session import drop_path, drop_table, scratch_root, write_table
 
 MAGIC = b"WARC/1."
 CHUNK = 4 << 20
-MAX_FILE_BYTES = 1 << 30
-RECORDS_PER_FILE = 10_000
+FILE_BYTES = 32 << 20
+#: Bytes of a record's header, without its url, as far as the number of files goes.
+HEAD_BYTES = 500
 END = "\r\n\r\n"
 
 
@@ -45,7 +51,14 @@ def base32_sha1(data: Column) -> Column:
 
 
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+    return F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(page_id.cast("string"))), F.lit("")), F.lit(">"))
+
+
+def plain_url(url: Column) -> Column:
+    """The url with its control characters and spaces percent-encoded; a null one is urn:none."""
+    for code in (*range(33), 127):
+        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.coalesce(url, F.lit("urn:none"))
 
 
 def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -58,7 +71,6 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_bytes)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html")))
-    uri = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit("urn:none"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -66,7 +78,7 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
         line("WARC-Record-ID", _urn(F.col("page_id"))),
         F.when(again, F.concat(line("WARC-Refers-To", _urn(F.col("first_id"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(F.lit("")),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", uri),
+        line("WARC-Target-URI", plain_url(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("X-Payload-Length", F.col("size").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -74,9 +86,12 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
     return rows.select(F.concat(head, line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write archives with Spark's own committer, so that lost executors' tasks are simply run again."""
-    records(pages, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    size, n = pages.select(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))), F.count("*")).first()
+    files = 1 + ((size or 0) + n * HEAD_BYTES) // file_bytes
+    dealt = pages.select("page_id", "url", "html").repartition(files) if files > 1 else pages
+    records(dealt, min_bytes).write.option("lineSep", END).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
@@ -101,13 +116,15 @@ def parse_candidate(data: bytes, at: int) -> tuple[int, dict] | None:
     return end + 4, {"fields": fields, "payload": (split + 4 if split >= 0 else body, end)}
 
 
-def _page(urn: bytes | None) -> int | None:
-    found = re.fullmatch(rb"<urn:page:(-?\d+)>", urn or b"")
-    return int(found[1]) if found else None
+def _page(urn: bytes | None) -> str | None:
+    """The page_id in a record's id; an id of another kind as it stands."""
+    text = (urn or b"").decode("latin1")
+    found = re.fullmatch(r"<urn:page(?::(.*))?>", text)
+    return (found[1] if found[1] is None else unquote_plus(found[1])) if found else text
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_RECORD = pa.struct([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+_RECORD = pa.struct([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
 _CHUNK = pa.schema([("path", pa.string()), ("chunk", pa.int64()), ("offs", pa.list_(pa.int64())), ("nexts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("found", pa.list_(_RECORD))])
 
 
@@ -172,12 +189,11 @@ def chunk_entries(chunks: DataFrame) -> DataFrame:
         jumps = doubled
 
 
-def read_archives(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """The records of all archives under `path`: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archives under `path`: page_id, payload_bytes, payload_digest, record_type, refers_to; ids as text."""
     files = spark.read.format("binaryFile").load(path)
-    whole = files.select("path", F.when(F.col("length") <= max_file_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("archive too large: "), "path"))).alias("content"))
-    found = "path string, chunk long, offs array<long>, nexts array<long>, exits array<long>, found array<struct<page_id:long,payload_bytes:long,payload_digest:string,record_type:string,refers_to:long>>"
-    chunks = write_table(whole.mapInArrow(_candidates, found), "chunks")
+    found = "path string, chunk long, offs array<long>, nexts array<long>, exits array<long>, found array<struct<page_id:string,payload_bytes:long,payload_digest:string,record_type:string,refers_to:string>>"
+    chunks = write_table(files.select("path", "content").mapInArrow(_candidates, found), "chunks")
     entries = chunk_entries(chunks)
     ends = files.filter("length > 0").select("path", F.col("length").alias("entry"))
     if broken := ends.join(entries, ["path", "entry"], "left_anti").first():
@@ -191,8 +207,10 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/quillspar/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_bytes)
-    return read_archives(spark, path)
-
+    found = write_table(read_archives(spark, path), "records")
+    drop_path(spark, path)
+    kind = pages.schema["page_id"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 _DIGITS = " || ".join(f"to_base(('0x' || substr(sha1(coalesce(html, '')), {1 + 10 * i}, 10))::BIGINT, 32, 8)" for i in range(4))
