@@ -2,19 +2,27 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case. Documents and benchmark items that
 share a run of SEED words are joined; each such pair is tiled: common runs that no tile holds yet are found by running
-Karp-Rabin hashes at a search length, extended, and marked from the longest down; the search length then halves until
-runs of MIN_TILE words are marked. Tiles don't overlap and may stand in any order, so a passage whose parts were
-reordered is still covered. A document is contaminated by an item of whose words at least COVERAGE are tiled.
+Karp-Rabin hashes at a search length, extended, and marked from the longest down, cut by the tiles before them; the search
+length then halves until runs of MIN_TILE words are marked. Tiles don't overlap and may stand in any order, so a passage
+whose parts were reordered is still covered. A document is contaminated by an item of whose words at least COVERAGE are
+tiled.
+
+A tile is a run of MIN_TILE words or more that both hold, so the item's words inside runs of MIN_TILE words that the
+document holds anywhere bound what tiling can cover. A pair whose bound stays below COVERAGE isn't tiled: a seed that
+thousands of items share costs one look at the bound each. best_item and its figures are of the tiled items; null and 0
+where there is none.
 
 The benchmark is the query set: it is read in blocks of about BLOCK_BYTES, each sent to all tasks and met with all
-documents, so a benchmark of any size takes bounded memory and as many passes as it has blocks. Items of fewer than SEED
-words are joined by all their words at once; items without words are left out, as are documents without (never
-contaminated). Null ids stay null; repeated items count each, repeated documents give repeated rows. Of items with equal
-coverage the smallest item_id is named. Memory: about 3 MB of text, or the longest text.
+documents; a block's result is written and the block freed before the next is read, so a benchmark of any size takes
+bounded memory and as many passes as it has blocks. Items of fewer than SEED words are joined by all their words at once;
+items without words are left out, as are documents without (never contaminated). item_id may be of any type. Null ids stay
+null; repeated items count each, repeated documents give repeated rows. Of items with equal coverage the smallest item_id
+is named. An empty benchmark or no documents: nothing is contaminated. Memory: about 3 MB of text, or the longest text.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +30,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspar.llm.common import MIX1, U64, Words, column, grams, hash_strings, located, mix64, narrow_join, plain_words, sized_batches
+from quillspar.llm.common import MIX1, U64, Words, column, grams, hash_strings, located, mix64, narrow_join, plain_words, sized_batches, unprefixed
 from quillspar.session import write_table
 
 SEED, MIN_TILE, COVERAGE, FIRST_LENGTH = 5, 3, 0.8, 20
@@ -77,27 +86,23 @@ def tile(item: np.ndarray, text: np.ndarray, min_tile: int = MIN_TILE) -> int:
     min_tile = min(min_tile, len(item))
     length = max(min_tile, min(FIRST_LENGTH, len(item)))
     while True:
-        found = _matches(p, t, length, mp, mt)
-        longest = max(found, default=(0,))[0]
-        if longest > 2 * length:  # long runs are marked first
-            length = longest
-            found = [m for m in found if m[0] >= length]
-        again = False
-        for run, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            held = mp[i : i + run] | mt[j : j + run]
-            if held.any():
-                again = True
+        # longest first; a run that a tile has cut comes back as what is left of it
+        waiting = [(-run, i, j) for run, i, j in _matches(p, t, length, mp, mt)]
+        heapq.heapify(waiting)
+        while waiting:
+            run, i, j = heapq.heappop(waiting)
+            free = np.concatenate([[False], ~(mp[i : i - run] | mt[j : j - run]), [False]])
+            cuts = np.flatnonzero(free[1:] != free[:-1]).tolist()
+            if cuts == [0, -run]:
+                mp[i : i - run] = True
+                mt[j : j - run] = True
                 continue
-            mp[i : i + run] = True
-            mt[j : j + run] = True
-        if again:  # a run cut by a tile may still hold one of this length
-            continue
-        if length > 2 * min_tile:
-            length //= 2
-        elif length > min_tile:
-            length = min_tile
-        else:
+            for a, b in zip(cuts[::2], cuts[1::2], strict=True):
+                if b - a >= length:
+                    heapq.heappush(waiting, (a - b, i + a, j + a))
+        if length == min_tile:
             return int(mp.sum())
+        length = max(min_tile, length // 2)
 
 
 class Block:
@@ -138,6 +143,16 @@ class Block:
         return out
 
 
+def most_covered(item: np.ndarray, held: np.ndarray, width: int) -> int:
+    """Tokens of the item inside runs of `width` tokens whose hashes are among the sorted `held`: no tiling covers more."""
+    found = grams(item, width)
+    known = held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found if len(held) else np.zeros(len(found), bool)
+    marks = np.zeros(len(item) + 1, np.int64)
+    marks[:-width] += known  # a run begins here, and ends `width` tokens on
+    marks[width:] -= known
+    return int((np.cumsum(marks)[:-1] > 0).sum())
+
+
 def _tiled(block, kind: pa.DataType, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Block = block.value
@@ -148,11 +163,15 @@ def _tiled(block, kind: pa.DataType, coverage: float):
             best, covered, size, over = [None] * n, [0] * n, [0] * n, [0] * n
             for doc, found in items.candidates(hashes, words.starts).items():
                 text = hashes[words.starts[doc] : words.starts[doc + 1]]
+                held = {w: np.unique(grams(text, w)) for w in {min(MIN_TILE, len(items.tokens[k])) for k in found}}
                 top = None
-                for k in found:
-                    c, m = tile(items.tokens[k], text), len(items.tokens[k])
+                for k in sorted(found):
+                    m = len(items.tokens[k])
+                    if most_covered(items.tokens[k], held[min(MIN_TILE, m)], min(MIN_TILE, m)) < coverage * m:
+                        continue
+                    c = tile(items.tokens[k], text)
                     over[doc] += c >= coverage * m
-                    rank = (-c / m, items.ids[k] is None, items.ids[k] or 0)
+                    rank = (-c / m, k)  # items stand in the order of their ids
                     if c and (top is None or rank < top):
                         top, best[doc], covered[doc], size[doc] = rank, items.ids[k], c, m
             rows = [column(table, c) for c in ("doc_id", "_file", "_row")]
@@ -171,16 +190,17 @@ def tilings(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, b
     rows = located(docs, ["doc_id", "text"]).drop("_block")
     numbered = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     fields = f"doc_id {doc_kind}, _file long, _row long, n_words long, best_item {item_kind}, covered_words long, item_words long, n_items long"
-    kind = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    parts = []
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
+    found = None
     for k in range(blocks):
-        items = numbered.filter(F.col("block") == k).orderBy("item_id", "text").select("item_id", "text").collect()  # one block
+        items = numbered.filter(F.col("block") == k).orderBy(F.col("item_id").asc_nulls_last(), "text").select("item_id", "text").collect()  # one block
         block = spark.sparkContext.broadcast(Block([r.item_id for r in items], [r.text for r in items]))
-        parts.append(rows.mapInArrow(_tiled(block, kind, coverage), fields))
-    found = parts[0]
+        one = rows.mapInArrow(_tiled(block, kind, coverage), fields)
+        if blocks > 1:
+            one = write_table(one.filter("item_words > 0") if k else one, "tiled")
+            block.destroy()
+        found = one if found is None else found.unionAll(one)
     if blocks > 1:
-        for x in parts[1:]:
-            found = found.union(x)
         rank = F.struct(-F.try_divide(F.col("covered_words").cast("double"), F.col("item_words")), F.col("best_item").isNull(), "best_item")
         best = F.min_by(F.struct("best_item", "covered_words", "item_words"), F.when(F.col("item_words") > 0, rank))
         found = found.groupBy("_file", "_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), best.alias("b"), F.sum("n_items").alias("n_items"))
@@ -193,4 +213,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """docs without the contaminated documents."""
     gone = write_table(tilings(docs, benchmark, coverage).filter("contaminated").select("_file", "_row"), "gone")
     names = docs.columns
-    return narrow_join(located(docs, names).drop("_block"), gone, ["_file", "_row"], "left_anti").select(*[f"`{c}`" for c in names])
+    return unprefixed(narrow_join(located(docs, names, "d_").drop("_block"), gone, ["_file", "_row"], "left_anti"), names, "d_")
