@@ -2,9 +2,9 @@
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and non-ASCII characters; a rule is a regex over
 the words joined by single spaces. A rule runs only on texts that hold its keyword, which each of its matches contains as
-a word or with the version joined on (gplv3, apache2). Detections are ordered by priority (full grants, then references, then names, then hints), longer first; one
-that lies inside the interval of a detection ranked before it is dropped. The base labels are found by plain phrases
-and always stay.
+a word or with the version joined on (gplv3, apache2). Detections are ordered by priority (full grants, then references,
+then names, then hints), longer first; one that lies inside the interval of a detection ranked before it is dropped. The
+base labels are found by plain phrases and always stay.
 
 Null or empty text: no words, no labels, score 0. Repeated rows give repeated rows. Whole texts are scanned; memory is a
 batch of about 3 MB of text, or the longest text.
@@ -23,107 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillspar.llm.common import Words, column, light_batches, plain_words, sized_batches
+from quillspar.llm.license_rules import SIGNATURES, WEIGHTS
 
 BATCH_BYTES = 3 << 20
 #: Fixed values of the contract: phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, keyword, regex of the license's name, regex of its version (or none). Names are over normalised words.
-FAMILIES = (
-    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?", r"(?: version| v)? ?2(?: 0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?", r"(?: version| v)? ?1 1"),
-    ("mit", "mit", r"(?:the )?mit(?: x11)? licen[cs]e", ""),
-    ("mit-0", "mit", r"mit (?:0|no attribution)(?: licen[cs]e)?", ""),
-    ("x11", "x11", r"x11 licen[cs]e", ""),
-    ("expat", "expat", r"expat licen[cs]e", ""),
-    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?|simplified bsd(?: licen[cs]e)?", ""),
-    ("bsd-2-clause", "freebsd", r"freebsd licen[cs]e", ""),
-    ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause(?: licen[cs]e)?|(?:new|revised|modified) bsd(?: licen[cs]e)?", ""),
-    ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd(?: licen[cs]e)?|bsd 4 clause(?: licen[cs]e)?|original bsd licen[cs]e", ""),
-    ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", ""),
-    ("isc", "isc", r"isc licen[cs]e", ""),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", ""),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl", r"(?: version| v|v)? ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl", r"(?: version| v|v)? ?3(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "general", r"(?:gnu )?general public licen[cs]e(?: gpl)?", r"(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "general", r"(?:gnu )?general public licen[cs]e(?: gpl)?", r"(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
-    ("gpl-unversioned", "gpl", r"gnu gpl", ""),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl", r"(?: version| v|v)? ?2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl", r"(?: version| v|v)? ?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e", r"(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e", r"(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.0", "library", r"(?:gnu )?library general public licen[cs]e", r"(?: version| v)? ?2(?: 0)?"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl", r"(?: version| v|v)? ?3(?: 0)?"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e", r"(?: version| v)? ?3(?: 0)?"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e", r"(?:(?: version| v)? ?1 [123])?"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e", r"(?: version| v)? ?2(?: 0)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e", r"(?: version| v)? ?1 1"),
-    ("mpl-2.0", "mpl", r"mpl", r"(?: version| v)? ?2(?: 0)?"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e", r"(?: version| v)? ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e", r"(?: version| v)? ?2(?: 0)?"),
-    ("cddl-1.0", "cddl", r"cddl", r"(?:(?: version| v)? ?1(?: 0)?)?"),
-    ("cddl-1.0", "common", r"common development and distribution licen[cs]e", ""),
-    ("cpl-1.0", "common", r"common public licen[cs]e", ""),
-    ("eupl-1.2", "eupl", r"eupl", r"(?:(?: version| v)? ?1 [012])?"),
-    ("eupl-1.2", "european", r"european union public licen[cs]e", ""),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e", r"(?: version| v)? ?2(?: 0)?"),
-    ("artistic-1.0", "artistic", r"artistic licen[cs]e", ""),
-    ("bsl-1.0", "boost", r"boost software licen[cs]e", ""),
-    ("busl-1.1", "business", r"business source licen[cs]e", ""),
-    ("sspl-1.0", "server", r"server side public licen[cs]e", ""),
-    ("elastic-2.0", "elastic", r"elastic licen[cs]e", ""),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", ""),
-    ("wtfpl", "wtfpl", r"wtfpl", ""),
-    ("python-2.0", "python", r"python software foundation licen[cs]e|python licen[cs]e", ""),
-    ("php-3.01", "php", r"php licen[cs]e", ""),
-    ("openssl", "openssl", r"openssl licen[cs]e", ""),
-    ("ofl-1.1", "font", r"(?:sil )?open font licen[cs]e", ""),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", ""),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", ""),
-    ("upl-1.0", "universal", r"universal permissive licen[cs]e", ""),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e", ""),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e", ""),
-    ("cc0-1.0", "cc0", r"(?:creative commons )?cc0", r"(?: 1(?: 0)?)?"),
-    ("cc0-1.0", "creative", r"creative commons zero", r"(?: v?1(?: 0)?)?"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd", r"(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa", r"(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", r"cc by nc", r"(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", r"cc by nd", r"(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", r"cc by sa", r"(?: [1-4] [05])?"),
-    ("cc-by-attribution", "cc", r"cc by", r" [1-4] [05]"),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?", r"(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike", r"(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial", r"(?: [1-4] [05])?"),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s?", r"(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike", r"(?: [1-4] [05])?"),
-    ("cc-by-attribution", "creative", r"creative commons attribution", r"(?: [1-4] [05])?"),
-    ("odbl-1.0", "database", r"open (?:data commons open )?database licen[cs]e", ""),
-    ("pddl-1.0", "dedication", r"public domain dedication(?: and| &)? licen[cs]e", ""),
-)
-#: Priority, weight, and the pattern around a name N (with its version V). Lower priorities rank first.
-FORMS = (
-    (1, 0.99, r"(?:this|the) (?:\S+ ){1,4}(?:is|are) (?:hereby )?(?:licen[cs]ed|released|distributed|made available|available) under (?:the )?(?:terms of (?:the )?)?(?:N)(?: licen[cs]e)?(?:V)"),
-    (2, 0.97, r"(?:licen[cs]ed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?(?:N)(?: licen[cs]e)?(?:V)"),
-    (3, 0.95, r"spdx licen[cs]e identifier (?:N)(?:V)"),
-    (4, 0.9, r"(?:subject to|governed by|under) the (?:terms (?:and conditions )?of the )?(?:N)(?: licen[cs]e)?(?:V)"),
-    (5, 0.85, r"licen[cs]e (?:is )?(?:N)(?:V)"),
-    (6, 0.7, r"(?:N)(?: licen[cs]e)?(?:V)"),
-)
-#: Label, keyword, priority, weight, regex.
-SINGLES = (
-    ("mit", "hereby", 1, 0.98, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", "redistribution", 1, 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", "purpose", 1, 0.95, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("apache-2.0", "apache", 1, 0.97, r"you may not use this file except in compliance with the license (?:\S+ ){0,30}apache"),
-    ("gpl-unversioned", "redistribute", 1, 0.9, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("public-domain", "domain", 4, 0.8, r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
-    ("proprietary", "proprietary", 4, 0.8, r"proprietary and confidential"),
-    ("proprietary", "unauthorized", 4, 0.8, r"unauthorized (?:copying|use|reproduction)(?: \S+){0,4} (?:is|are) (?:strictly )?prohibited"),
-    ("proprietary", "permission", 5, 0.7, r"without (?:the )?(?:prior |express )?(?:written )?permission"),
-    ("all-rights-reserved", "reserved", 5, 0.6, r"all rights reserved"),
-    ("copyright-notice", "copyright", 7, 0.3, r"copyright (?:c |© )?(?:19|20)\d\d"),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -136,12 +41,12 @@ class Rule:
 
 @functools.cache
 def rules() -> tuple[Rule, ...]:
-    """All signature rules, in the order in which they rank: families times forms, and the single ones."""
-    found = [Rule(label, keyword, p, w, re.compile(rf"(?<!\S)(?:{x})(?!\S)")) for label, keyword, p, w, x in SINGLES]
-    for label, keyword, name, version in FAMILIES:
-        for p, w, form in FORMS:
-            pattern = form.replace("(?:N)", f"(?:{name})").replace("(?:V)", f"(?:{version})")
-            found.append(Rule(label, keyword, p, w if version or "license" not in name else w - 0.01, re.compile(rf"(?<!\S){pattern}(?!\S)")))
+    """All signature rules, in the order in which they rank."""
+    found = []
+    for line in SIGNATURES.strip().split("\n"):
+        label, keyword, priority, regex = line.split(" ", 3)
+        regex = re.sub(r"\blicense\b", "licen[cs]e", regex)
+        found.append(Rule(label, keyword, int(priority), WEIGHTS[int(priority)], re.compile(rf"(?<!\S)(?:{regex})(?!\S)")))
     return tuple(sorted(found, key=lambda r: r.priority))
 
 
@@ -162,8 +67,8 @@ def gates(word: str, keyword: str) -> bool:
     return word.startswith(keyword) and JOINED.fullmatch(word, len(keyword)) is not None
 
 
-#: Words to each side of a keyword that any match can reach; bounds in the patterns stay well below it.
-REACH = 48
+#: Words to each side of a keyword that any match can reach; no pattern is longer.
+REACH = 80
 
 
 def windows(words: list[str], keyword: str) -> list[tuple[int, int]]:
