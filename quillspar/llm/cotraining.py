@@ -2,16 +2,21 @@
 
 Two classifiers see a document by different views: its text (words, their first four and five letters, and binned
 measures such as the share of symbols) and its metadata (source, language, length and their pairs). Each is a logistic
-regression over hashed features. In each round both score all unlabelled documents, in tasks; where one is confident,
-and its confidence has held on labelled documents that neither was fitted on, its surest verdicts on documents not yet
-passed on become pseudo-labels for the other. After the rounds both views' scores are calibrated on those held-out documents, joined by a logistic model, and
-all documents are scored.
-
-Fitted on at most MAX_LABELLED labelled documents, the smallest by the MD5 of their ids, and on the pseudo-labels: at most
-MAX_GIVEN for each verdict, view and round, chosen among all unlabelled rows (a sixth of them, if that is less); scoring
-covers all rows. Null text, source or language: features of their own. Repeated labels of a
-document: the larger counts. No labels at all: every score is the prior 0.5 and all are kept. Repeated rows are scored
-each. Memory: about 3 MB of text, or the longest text; on the driver the feature numbers of what is fitted on.
+regression over hashed features. In each round both score all unlabelled documents, in tasks, and the surest of each
+verdict, by rank, become pseudo-labels for the other view, more of them from round to round; those of an earlier round that
+are no longer among the surest are withdrawn. What a pseudo-label weighs is what the view's surest verdicts were worth on
+labelled documents that neither view was fitted on: the square of their precision, as the share of the way from the
+verdict's own frequency to 1. A verdict that is no better than chance there isn't passed on.
+
+Of the labelled documents a fifth weighs the verdicts, another fifth, used for nothing else, calibrates each view (Platt)
+and then joins the calibrated views; the rest is fitted on. Then all documents are scored.
+
+Fitted on at most MAX_LABELLED labelled documents, the smallest by the MD5 of their ids, and on the pseudo-labels: of a
+verdict's share of the unlabelled rows a sixth for each round passed, at most MAX_GIVEN a round, chosen among all unlabelled
+rows; scoring covers all rows. Null text, source or language: features of their own. Repeated labels of a document: the
+larger counts. Repeated rows of an id: scored each, and its label is fitted to the row with the smallest features. No labels
+at all: every score is the prior 0.5 and all are kept. Empty tables give none. Memory: about 3 MB of text, or the longest
+text; on the driver the feature numbers of what is fitted on.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from quillspar.llm.common import U64, Words, column, hash_strings, located, mix6
 from quillspar.session import drop_table, write_table
 
 MAX_LABELLED, MAX_GIVEN = 12_000, 8_000 // 6
-ROUNDS, SURE, HELD_PRECISION, MIN_HELD = 3, 0.95, 0.97, 20
-DIM, EPOCHS, STEP, DECAY, RARE = 1 << 18, 12, 0.1, 1e-4, 3
+ROUNDS, MIN_HELD = 3, 5
+DIM, EPOCHS, STEP, DECAY, RARE, TELLING = 1 << 18, 12, 0.1, 1e-4, 3, 3.0
 #: A document is dropped from this probability of being toxic on.
 TOXIC_CUT = 0.3
 BATCH_BYTES = 3 << 20
@@ -127,11 +132,11 @@ class Rows:
     def scores(self, weights: np.ndarray, which: np.ndarray) -> np.ndarray:
         return weights[-1] + np.array([weights[self.each[i]].sum() for i in which.tolist()])
 
-    def often(self, which: np.ndarray) -> np.ndarray:
-        """In how many of these rows each feature is."""
-        out = np.zeros(DIM, np.int32)
-        for i in which.tolist():
-            out[self.each[i]] += 1
+    def often(self, which: np.ndarray, worth: np.ndarray) -> np.ndarray:
+        """What the rows with each feature are worth."""
+        out = np.zeros(DIM)
+        for i, w in zip(which.tolist(), worth.tolist(), strict=True):
+            out[self.each[i]] += w
         return out
 
 
@@ -139,10 +144,17 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: Rows, which: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights (the last is the bias) by AdaGrad over rows[which] with labels y; rare features stay at zero."""
+def fit(rows: Rows, which: np.ndarray, y: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Logistic weights (the last is the bias) by AdaGrad over rows[which] with labels y of some worth.
+
+    Features that are rare, or as frequent in both classes as chance has it (by TELLING standard deviations), stay at zero.
+    """
     weights, squares = np.zeros(DIM + 1), np.full(DIM + 1, 1e-6)
-    common = rows.often(which) >= min(RARE, max(1, len(which) // 100))
+    total, mass = rows.often(which, worth), max(worth.sum(), 1e-9)
+    rate = (worth * y).sum() / mass
+    spread = np.sqrt(np.maximum(total * rate * (1 - rate) * np.maximum(1 - total / mass, 0), 1e-9))
+    apart = np.abs(rows.often(which, worth * y) - total * rate) / spread
+    common = (total >= min(RARE, max(1, len(which) // 100))) & (apart >= TELLING)
     share = np.clip(y.mean(), 0.01, 0.99) if len(y) else 0.5
     weights[-1] = np.log(share / (1 - share))
     random = np.random.RandomState(7)
@@ -154,7 +166,7 @@ def fit(rows: Rows, which: np.ndarray, y: np.ndarray) -> np.ndarray:
             owner, flat = np.repeat(np.arange(len(batch)), [len(x) for x in at]), np.concatenate(at)
             keep = common[flat]
             owner, flat = owner[keep], flat[keep]
-            miss = squash(weights[-1] + np.bincount(owner, weights[flat], len(batch))) - y[batch]
+            miss = (squash(weights[-1] + np.bincount(owner, weights[flat], len(batch))) - y[batch]) * worth[batch]
             used, place = np.unique(flat, return_inverse=True)
             slope = np.bincount(place, miss[owner], len(used)) / len(batch) + DECAY * weights[used]
             squares[used] += slope**2
@@ -174,43 +186,47 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
-def sure_from(scores: np.ndarray, y: np.ndarray, positive: bool) -> float | None:
-    """The lowest probability from which this verdict was right in HELD_PRECISION of at least MIN_HELD held-out rows."""
-    p = squash(scores) if positive else 1 - squash(scores)
-    for cut in (SURE, 0.98, 0.99, 0.995):
-        hit = p >= cut
-        if hit.sum() >= MIN_HELD and (y[hit] == positive).mean() >= HELD_PRECISION:
-            return cut
-    return None
-
-
 class Exchange:
-    """The two views of one target: their models and the pseudo-labels that each was given."""
+    """The two views of one target: their models and the pseudo-labels that each was given, with their worth."""
 
     def __init__(self, views: list[Rows], y: np.ndarray):
         self.views, self.y = views, y
         known = np.flatnonzero(~np.isnan(y))
-        self.held, self.used = known[::5], np.setdiff1d(known, known[::5])
-        self.given: list[dict[int, float]] = [{} for _ in views]
-        share = np.clip(np.nanmean(y) if len(known) else 0.5, 0.01, 0.99)
-        self.models, self.joint = [np.zeros(DIM + 1) for _ in views], np.array([0.0] * len(views) + [np.log(share / (1 - share))])
-        self.able = len(self.used) >= 10 and len(np.unique(y[self.used])) == 2
+        self.held, self.last = known[::5], known[1::5]
+        self.used = np.setdiff1d(known, np.concatenate([self.held, self.last]))
+        self.given: list[dict[int, tuple[float, float]]] = [{} for _ in views]
+        self.share = np.clip(np.nanmean(y) if len(known) else 0.5, 0.01, 0.99)
+        self.models, self.scale = [np.zeros(DIM + 1) for _ in views], [np.array([1.0, 0.0]) for _ in views]
+        self.joint = np.array([0.0] * len(views) + [np.log(self.share / (1 - self.share))])
+        self.able = len(self.used) >= 10 and len(np.unique(y[self.used])) == 2 and len(self.last) > 0
 
     def fit(self) -> None:
         for k, rows in enumerate(self.views):
-            extra = np.array(sorted(self.given[k]), np.int64)
-            self.models[k] = fit(rows, np.concatenate([self.used, extra]), np.concatenate([self.y[self.used], [self.given[k][i] for i in extra.tolist()]]))
+            extra = sorted(self.given[k].items())
+            which = np.concatenate([self.used, np.array([i for i, _ in extra], np.int64)])
+            y, worth = np.array([v for _, v in extra]).reshape(-1, 2).T
+            self.models[k] = fit(rows, which, np.concatenate([self.y[self.used], y]), np.concatenate([np.ones(len(self.used)), worth]))
 
-    def cuts(self) -> Iterator[tuple[int, bool, float]]:
-        """(view, verdict, probability from which it is passed on), of the verdicts that held."""
+    def verdicts(self) -> Iterator[tuple[int, bool, float, float]]:
+        """(view, verdict, its frequency, worth) of the verdicts whose surest were better than chance on held-out rows."""
         for k, rows in enumerate(self.views):
-            on_held = rows.scores(self.models[k], self.held)
+            on_held, y = rows.scores(self.models[k], self.held), self.y[self.held]
             for positive in (True, False):
-                if (cut := sure_from(on_held, self.y[self.held], positive)) is not None:
-                    yield k, positive, cut
+                often = self.share if positive else 1 - self.share
+                n = min(len(y), max(MIN_HELD, int(len(y) * often / 2)))  # the surer half of this verdict
+                top = np.argsort(-on_held if positive else on_held, kind="stable")[:n]
+                worth = ((y[top] == positive).mean() - often) / (1 - often) if n else 0.0
+                if worth > 0:
+                    yield k, positive, float(often), float(worth**2)
+
+    def calibrated(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The views' scores as log-odds."""
+        return [a * x + b for x, (a, b) in zip(scores, self.scale, strict=True)]
 
     def join(self) -> None:
-        self.joint = logistic(np.column_stack([rows.scores(m, self.held) for rows, m in zip(self.views, self.models, strict=True)]), self.y[self.held])
+        scores, y = [rows.scores(m, self.last) for rows, m in zip(self.views, self.models, strict=True)], self.y[self.last]
+        self.scale = [logistic(x[:, None], y) for x in scores]
+        self.joint = logistic(np.column_stack(self.calibrated(scores)), y)
 
 
 def features(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -249,41 +265,42 @@ def pool_scores(rows: DataFrame, exchanges: dict[str, Exchange]) -> DataFrame:
     return write_table(free.mapInArrow(scored, f"{held}, {', '.join(f'{n} double' for n in names)}"), "pool")
 
 
-def pass_on(rows: DataFrame, views: list[Rows], exchanges: dict[str, Exchange], places: dict[tuple[int, int], int], max_given: int) -> None:
-    """One round: the surest verdicts of each view on all unlabelled rows become pseudo-labels for the other."""
-    asked = [(t, *x) for t, e in exchanges.items() if e.able for x in e.cuts()]
+def pass_on(rows: DataFrame, views: list[Rows], exchanges: dict[str, Exchange], places: dict[tuple[int, int], int], turn: int, max_given: int) -> None:
+    """One round: the surest verdicts of each view on all unlabelled rows are the other's pseudo-labels from now on."""
+    asked = [(t, *x) for t, e in exchanges.items() if e.able for x in e.verdicts()]
     if not asked:
         return
     pool = pool_scores(rows, exchanges)
     free = pool.agg(*[F.count_if(~F.col(f"has_{t}")).alias(t) for t in TARGETS]).first()
     order = (F.md5(F.col("doc_id").cast("string")), F.col("_file"), F.col("_row"))
-    verdicts = []
-    for t, k, positive, cut in asked:
-        most = min(max_given, max(1, free[t] // (2 * ROUNDS)))
+    found = []
+    for t, k, positive, often, worth in asked:
+        most = min(max_given, max(1, int(free[t] * often / (2 * ROUNDS)))) * (turn + 1)
         sure = F.col(f"{t}_{k}") if positive else -F.col(f"{t}_{k}")
-        given = exchanges[t].given[1 - k]
-        best = pool.filter(~F.col(f"has_{t}") & (sure >= float(np.log(cut / (1 - cut))))).orderBy(F.desc(sure), *order).limit(most + len(given))
-        ids = [(r._file, r._row) for r in best.select("_file", "_row").collect()]  # some thousand rows
-        verdicts.append((t, 1 - k, positive, [i for i in ids if places.get(i) not in given][:most]))
+        best = pool.filter(~F.col(f"has_{t}")).orderBy(F.desc(sure), *order).limit(most).select("_file", "_row").collect()  # some thousand rows
+        found.append((t, 1 - k, float(positive), worth, [(r._file, r._row) for r in best]))
     drop_table(pool)
-    fresh = sorted({i for *_, ids in verdicts for i in ids if i not in places})
+    fresh = sorted({i for *_, ids in found for i in ids if i not in places})
     if fresh:
         wanted = rows.sparkSession.createDataFrame(fresh, "_file long, _row long")
-        for row in rows.join(F.broadcast(wanted), ["_file", "_row"]).select("_file", "_row", "v0", "v1").orderBy("_file", "_row").toLocalIterator():
+        for row in rows.join(F.broadcast(wanted), ["_file", "_row"]).select("_file", "_row", "v0", "v1").orderBy("_file", "_row").collect():
             places[row._file, row._row] = len(views[0].each)
             for k in range(2):
                 views[k].add(bytes(row[f"v{k}"]))
-    for t, k, positive, ids in verdicts:
+    for e in exchanges.values():
+        e.given = [{} for _ in e.given]
+    for t, k, verdict, worth, ids in found:
         for i in ids:
-            exchanges[t].given[k].setdefault(places[i], float(positive))
+            exchanges[t].given[k].setdefault(places[i], (verdict, worth))
 
 
 def learned(rows: DataFrame, max_given: int) -> tuple[dict[str, Exchange], bool]:
     """The exchange of each target after its rounds, and whether there was any label."""
     views, y = [Rows(), Rows()], {t: [] for t in TARGETS}
-    sampled = rows.filter(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS)).dropDuplicates(["doc_id"])
+    sampled = rows.filter(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS))
+    sampled = sampled.groupBy("doc_id").agg(F.min(F.struct("v0", "v1", "_file", "_row", *TARGETS)).alias("x")).select("doc_id", "x.*")
     places: dict[tuple[int, int], int] = {}
-    for row in sampled.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
+    for row in write_table(sampled, "fitted").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
         places[row._file, row._row] = len(places)
         for k in range(2):
             views[k].add(bytes(row[f"v{k}"]))
@@ -294,24 +311,25 @@ def learned(rows: DataFrame, max_given: int) -> tuple[dict[str, Exchange], bool]
     for turn in range(ROUNDS + 1):
         for x in able:
             x.fit()
-        if turn < ROUNDS:
-            pass_on(rows, views, exchanges, places, max_given)
+        if turn < ROUNDS and able:
+            pass_on(rows, views, exchanges, places, turn, max_given)
     for x in able:
         x.join()
     return exchanges, bool(places)
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_given: int = MAX_GIVEN) -> DataFrame:
-    """Per row: doc_id, the views' and the combined quality and toxic scores (probabilities), and kept: good and not toxic."""
+    """Per row: doc_id, the views' calibrated and the combined quality and toxic scores (probabilities), and kept: good and not toxic."""
     rows = features(docs, labels, max_labelled)
     exchanges, labelled = learned(rows, max_given)
-    shared = docs.sparkSession.sparkContext.broadcast(([[x.models[k].astype(np.float32) for x in exchanges.values()] for k in range(2)], [x.joint for x in exchanges.values()]))
+    shared = docs.sparkSession.sparkContext.broadcast(([[x.models[k].astype(np.float32) for x in exchanges.values()] for k in range(2)], [(x.scale, x.joint) for x in exchanges.values()]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights, joints = shared.value
             out, n, final = [batch.column("doc_id")], batch.num_rows, {}
-            for t, joint, *each in zip(TARGETS, joints, *view_scores(batch, weights), strict=True):
+            for t, (scale, joint), *each in zip(TARGETS, joints, *view_scores(batch, weights), strict=True):
+                each = [a * x + b for x, (a, b) in zip(each, scale, strict=True)]
                 final[t] = squash(np.column_stack([*each, np.ones(n)]) @ joint)
                 out += [pa.array(np.round(x, 6)) for x in (squash(each[0]), squash(each[1]), final[t])]
             out.append(pa.array((final["quality"] >= 0.5) & (final["toxic"] < TOXIC_CUT) if labelled else np.ones(n, bool)))
