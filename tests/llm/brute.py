@@ -68,6 +68,25 @@ def base_measures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(marked), failed
 
 
+def line_verdicts(rows, least, share, depleted):
+    """(doc_id, words in removed lines, kept) of rows (doc_id, text, host); a document is the set of its lines."""
+    cut = [[re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ") for x in (t or "").split("\n")] for _, t, _ in rows]
+    distinct = collections.defaultdict(set)
+    for (_, _, host), lines in zip(rows, cut):
+        if any(lines):
+            distinct[host].add(frozenset(x for x in lines if x))
+    common = {}
+    for host, docs in distinct.items():
+        counts = collections.Counter(x for d in docs for x in d)
+        common[host] = {x for x, c in counts.items() if c > max(least, share * len(docs))}
+    out = []
+    for (i, t, host), lines in zip(rows, cut):
+        gone = sum(len(x.split(" ")) for x in lines if x and x in common[host])
+        n, *_, failed = base_measures(t)
+        out.append((i, gone, not failed and gone * 100 <= n * depleted))
+    return out
+
+
 def unigram(docs):
     """doc_id -> (held out, tokens, known, training tokens, base score)."""
     rows = [(i, zlib.crc32(str(i).encode()) % 10 == 0, [*words(t), None]) for i, t in docs]
