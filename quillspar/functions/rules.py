@@ -237,3 +237,11 @@ PATTERNS = (
 #: Of these patterns a module holding one of the keywords must have this many importers (in) or imports (out) to be verified.
 VERIFIED = {"core": (("in", "core"),), "plugins": (("in", "plugin"), ("out", "plugin"), ("in", "loader")), "renderers": (("out", "render"),), "publishing": (("out", "publish"),), "shared utilities": (("in", "util"), ("in", "helper"), ("in", "lib"))}
 LEAST_VERIFIED = 3
+
+#: Document and the file it is published under.
+MARKDOWN_FILES = (
+    ("executive_summary", "executive_summary.md"), ("system_overview", "system_overview.md"), ("business_domains", "business_domains.md"), ("architecture_overview", "architecture_overview.md"),
+    ("module_catalog", "module_catalog.md"), ("api_surface", "api_surface.md"), ("data_flows", "data_flows.md"), ("arch_diff", "architecture_diff.md"), ("route_map", "route_map.md"), ("system_map", "system_map.md"),
+    ("change_impact", "change_impact.md"), ("developer_onboarding", "developer_onboarding.md"), ("graphql_schema", "graphql_schema.md"), ("type_graph", "type_graph.md"), ("dependency_graph", "dependency_graph.md"),
+    ("architecture_drift", "architecture_drift.md"), ("security_hotspots", "security_hotspots.md"), ("code_health", "code_health.md"),
+)

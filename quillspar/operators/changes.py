@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
+from quillspar.session import write_table
 
 
 def set_drift(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -148,8 +149,9 @@ def retryable(status: Column) -> Column:
 
 
 def batches(items: DataFrame, order: str, size: int) -> DataFrame:
-    """items with a batch number of `size` rows each, by a range-partitioned order and per-partition offsets (no single task)."""
-    placed = items.orderBy(order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    """items with a batch number of `size` rows each: ordered by ranges, written once, and numbered by the counts of the parts before."""
+    ordered = items.orderBy(order).withColumn("_at", F.monotonically_increasing_id())
+    placed = write_table(ordered, "ordered").withColumn("_part", F.shiftrightunsigned("_at", 33))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = F.floor((F.col("_at") - F.col("_first") + F.col("_before")) / size)
@@ -204,9 +206,5 @@ def branch_slug(branch: Column) -> Column:
     return F.lower(F.regexp_replace(F.replace(branch, F.lit("/"), F.lit("-")), r"[^a-zA-Z0-9_-]", ""))
 
 
-def age(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(F.round(ms / 1000, 1).cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m")))
-
-
 def masked(column: Column) -> Column:
     return F.concat(F.substring(column, 1, 4), F.lit("***"), F.substring(column, -4, 4))

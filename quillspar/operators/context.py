@@ -76,7 +76,7 @@ def name_relations(nodes: DataFrame) -> DataFrame:
     """(src, dst, type) guessed from names (id, label) where no edges are known: each rule joins the few labels it names."""
     a, b = nodes.select(F.col("id").alias("src"), F.col("label").alias("sl")), nodes.select(F.col("id").alias("dst"), F.col("label").alias("dl"))
     test = lambda c: F.col(c).startswith("tests/") | F.col(c).startswith("test/")
-    pairs = a.join(F.broadcast(b.limit(30)), F.col("src") != F.col("dst"))  # the map shows 30 modules
+    pairs = a.join(F.broadcast(b.orderBy("dst").limit(30)), F.col("src") != F.col("dst"))  # the map shows 30 modules
     found = F.array_compact(F.array(
         F.when(((F.col("sl") == "bin") | F.col("sl").startswith("bin/")) & F.col("dl").startswith("src/"), "uses"),
         F.when(F.col("dl").startswith("src/core") & text.any_of([F.col("sl").startswith(f"src/{x}") for x in ("publishers", "renderers", "delivery")]), "depends-on"),
@@ -88,7 +88,7 @@ def name_relations(nodes: DataFrame) -> DataFrame:
 
 def routes_of_modules(routes: DataFrame, modules: DataFrame) -> DataFrame:
     """Routes (route) with a segment-free mention of a module's last name; a handful of modules per domain."""
-    tails = modules.select(F.lower(F.element_at(F.split("key", "/"), -1)).alias("tail")).distinct().limit(5)
+    tails = modules.select(F.lower(F.element_at(F.split("key", "/"), -1)).alias("tail")).distinct().orderBy("tail").limit(5)
     return routes.join(F.broadcast(tails), F.lower("route").contains(F.col("tail")), "left_semi")
 
 
@@ -119,6 +119,12 @@ def new_flows(known: DataFrame, more: DataFrame) -> DataFrame:
     return known.unionByName(more.withColumn("_n", F.lower("name")).join(names, "_n", "left_anti").drop("_n"))
 
 
+def with_hub_flows(flows: DataFrame, hubs: DataFrame, least: int = 3) -> DataFrame:
+    """flows (name, critical), and new ones of hubs where fewer than `least` flows are not about tests."""
+    few = flows.filter(~F.lower("name").contains("test")).agg(F.count("*").alias("n")).filter(F.col("n") < least)
+    return new_flows(flows, hubs.crossJoin(F.broadcast(few)).drop("n"))  # one row or none
+
+
 def flow_dependencies(flows: DataFrame) -> DataFrame:
     """(name, external) a flow's name tells."""
     n = F.col("name")

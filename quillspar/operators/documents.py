@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quillspar.functions import rules
+
 MOST_BLOCKS, MOST_CODE, TABLE_ROWS = 100, 2000, 99
 
 
@@ -148,8 +150,9 @@ def _by(order: str):
 
 
 def collapsed(document: DataFrame) -> DataFrame:
-    """(doc_key, content): a document's lines in order."""
-    held = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    """(doc_key, content): a document's lines in order, by section where there are sections."""
+    order = ["section", "line_no"] if "section" in document.columns else ["line_no"]
+    held = F.array_sort(F.collect_list(F.struct(*order, "text")))
     return document.groupBy("doc_key").agg(F.array_join(F.transform(held, lambda x: x["text"]), "\n").alias("content"))
 
 
@@ -158,6 +161,50 @@ def write_documents(document: DataFrame, path: str) -> None:
     collapsed(document).select("doc_key", F.col("content").alias("value")).write.mode("overwrite").partitionBy("doc_key").text(path)
 
 
+def write_set(document: DataFrame, artifacts: dict[str, DataFrame], path: str) -> None:
+    """A document set: its documents, and a folder of JSON for each named artifact, to be read back by the next run."""
+    write_documents(document, f"{path.rstrip('/')}/documents")
+    for name, rows in artifacts.items():
+        rows.write.mode("overwrite").json(f"{path.rstrip('/')}/artifacts/{name}")
+
+
+def read_artifact(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """An artifact of the last document set; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/artifacts/{name}")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(at.toString())
+
+
+def publish_markdown(document: DataFrame, path: str) -> None:
+    """Documents under their fixed file names; those of no known name are left out."""
+    names = F.create_map(*[F.lit(x) for pair in rules.MARKDOWN_FILES for x in pair])
+    named = collapsed(document).withColumn("file", names[F.col("doc_key")]).filter("file IS NOT NULL")
+    named.select("file", F.col("content").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+
+
+def page_versions(current: DataFrame, pages: DataFrame) -> DataFrame:
+    """What a versioned page store is to be told: documents (key, title, content) against pages (title, version, content).
+
+    A page of the title is updated to the next version if its content differs, and created as version 1 if there is none.
+    """
+    held = pages.select(F.col("title").alias("_t"), F.col("version").alias("_v"), F.col("content").alias("_c"))
+    joined = current.join(held, current["title"] == held["_t"], "left")
+    action = F.when(F.col("_t").isNull(), "create").when(F.col("_c").eqNullSafe(F.col("content")), "keep").otherwise("update")
+    return joined.select("key", "title", action.alias("action"), F.when(F.col("_t").isNull(), 1).when(action == "update", F.col("_v") + 1).otherwise(F.col("_v")).alias("version"))
+
+
+def append_metrics(spark: SparkSession, now: DataFrame, path: str, keep: int = 90) -> DataFrame:
+    """Append one row (ts, coverage, health, files, modules) to a history, and return its last `keep` rows."""
+    now.write.mode("append").json(path)
+    return spark.read.schema(now.schema).json(path).orderBy(F.desc("ts")).limit(keep)
+
+
+def counted(df: DataFrame, observation: Observation, **counts: Column) -> DataFrame:
+    """df, with named counts gathered while its rows flow by: nothing is sent anywhere."""
+    return df.observe(observation, *[c.alias(n) for n, c in counts.items()])
+
+
 def notification(facts: DataFrame) -> DataFrame:
     """JSON of a chat notification: colour by how much coverage changed (20 or more, 5 or more, less)."""
     change = F.abs("change")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
+from quillspar.session import write_table
 
 
 def module_key(files: DataFrame, roots: list[str]) -> DataFrame:
@@ -45,7 +46,7 @@ def longest_prefix(left: DataFrame, modules: DataFrame, column: str) -> DataFram
     """
     parts = F.split(text.slashed(F.col(column)), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("prefix"), (i == F.size(parts)).alias("exact")))
-    rows = left.withColumn("_id", F.monotonically_increasing_id())
+    rows = write_table(left.withColumn("_id", F.monotonically_increasing_id()), "numbered")  # both sides of the join must see the same ids
     spread = rows.select("_id", F.explode(prefixes).alias("p")).select("_id", "p.prefix", "p.exact")
     bare = F.regexp_replace("key", r"\.[^/.]+$", "")
     keys = modules.select(F.col("key"), F.col("first_ord"), F.explode(F.array_distinct(F.array("key", bare))).alias("prefix"))

@@ -6,12 +6,15 @@ the JVM's stack. Positions are taken from the text before a match: each table fu
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillspar.functions import rules, text
 
@@ -59,19 +62,20 @@ _FUNCTIONS = (r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(", r"(?:export\s
 def functions_of(source: str) -> list[tuple[str, int, int]]:
     """(name, line, complexity) of each function; a body runs to the next function or the end."""
     found = sorted(((m.start(), k, m[1]) for k, p in enumerate(_FUNCTIONS) for m in re.finditer(p, source, re.A)), key=lambda x: x[:2])
-    ends = [x[0] for x in found[1:]] + [len(source)]
+    ends = [x[0] for x in found[1:]] + [len(source)] * bool(found)
     return [(name, source.count("\n", 0, a) + 1, complexity(source[a:b])) for (a, _, name), b in zip(found, ends, strict=True)]
 
 
-def _per_row(df: DataFrame, function, ddl: str) -> DataFrame:
-    """Rows (path, *function(content)), by Arrow batches."""
-    names = [c.split()[0] for c in ddl.split(",")]
+def _per_row(df: DataFrame, function, ddl: str, names: list[str] | None = None) -> DataFrame:
+    """Rows (path, *function(content)), by Arrow batches; `names` are needed where types hold commas."""
+    names = ["path", *(names or [c.split()[0] for c in ddl.split(",")])]
+    schema = to_arrow_schema(StructType.fromDDL(f"path string, {ddl}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(p, *r) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for r in function(c or "")]
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(["path", *names], r, strict=True)) for r in rows])
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
     return df.select("path", "content").mapInArrow(run, f"path string, {ddl}")
 
@@ -211,6 +215,19 @@ def schema_members(files: DataFrame) -> DataFrame:
     return every.withColumn("first", first).filter("first = 1").select("path", "kind", "name", F.array_join("members", ",").alias("members"))
 
 
+def schema_fields(files: DataFrame) -> DataFrame:
+    """(path, kind, name, field, type) of a GraphQL schema's types, inputs and interfaces, arguments and comments left out."""
+    fields = None
+    for kind in ("type", "input", "interface"):
+        found = matches(files, "content", rf"\b{kind}\s+(\w+[^{{]*\{{[^}}]*)\}}").select("ord", "path", "n", F.regexp_extract("hit", r"^(\w+)", 1).alias("name"), F.split(F.regexp_extract("hit", r"(?s)\{(.*)$", 1), "\n").alias("lines"))
+        root = F.col("name").isin("Query", "Mutation", "Subscription") & F.lit(kind == "type")
+        rows = found.select("ord", "path", "n", F.when(root, F.lower("name")).otherwise(kind).alias("kind"), "name", F.transform("lines", lambda x: F.trim(F.regexp_replace(x, r"#.*$", ""))).alias("lines"))
+        fields = rows if fields is None else fields.union(rows)
+    first = F.row_number().over(Window.partitionBy("kind", "name").orderBy("ord", "n"))
+    lines = fields.withColumn("first", first).filter("first = 1").select("path", "kind", "name", F.explode("lines").alias("line")).filter(F.col("line").rlike(_FIELD))
+    return lines.select("path", "kind", "name", F.regexp_extract("line", _FIELD, 1).alias("field"), F.trim(F.regexp_extract("line", _FIELD, 2)).alias("type"))
+
+
 def type_references(definition: Column) -> Column:
     """Distinct capitalised names of a type expression, without built-in and primitive ones."""
     names = F.array_distinct(F.regexp_extract_all(definition, F.lit(r"(?<![A-Za-z0-9_])([A-Z]\w*)"), F.lit(1)))
@@ -246,49 +263,67 @@ _EXPORTS = (
 )
 
 
+#: What stands for a missing type or reason.
+ANY_TYPE, NO_TYPE, NO_REASON = "any", "void", "This function is deprecated."
+
+
+def _param(doc: dict, value: str) -> None:
+    if m := re.match(r"(?:\{([^}]+)\}\s*)?(\[?[\w.]+\]?)\s*(?:-\s*)?(.*)$", value):
+        doc["params"].append({"type": m[1] or ANY_TYPE, "name": m[2].strip("[]"), "optional": m[2].startswith("["), "description": m[3]})
+
+
+def _returns(doc: dict, value: str) -> None:
+    m = re.match(r"(?:\{([^}]+)\}\s*)?(.*)$", value)
+    doc["returns"] = {"type": m[1] or NO_TYPE, "description": m[2]}
+
+
+#: What each tag adds to a comment.
+TAGS = {
+    **dict.fromkeys(("param", "arg", "argument"), _param), **dict.fromkeys(("returns", "return"), _returns),
+    "deprecated": lambda doc, value: doc.update(deprecated=value or NO_REASON), "since": lambda doc, value: doc.update(since=value),
+    "example": lambda doc, value: doc["examples"].append(value), "see": lambda doc, value: doc["see"].append(value),
+    **dict.fromkeys(("throws", "exception"), lambda doc, value: doc["throws"].append(value)),
+}
+
+
 def parse_doc(block: str) -> dict:
     """Description and tags of a documentation comment."""
-    out = {"description": "", "params": [], "returns": None, "deprecated": None, "examples": [], "throws": [], "see": [], "since": None}
-    body = re.sub(r"\*/$", "", re.sub(r"^/\*\*", "", block))
-    lines = [x for x in (re.sub(r"^\s*\*\s?", "", line).strip() for line in body.split("\n")) if x]
-    parts: list[tuple[str | None, list[str]]] = [(None, [])]
-    for line in lines:
-        if m := re.match(r"@(\w+)\s*(.*)$", line):
-            parts.append((m[1], [m[2]] if m[2] else []))
-        else:
-            parts[-1][1].append(line)
-    for tag, held in parts:
-        value = " ".join(held).strip()
-        if tag is None:
-            out["description"] = value
-        elif tag in ("param", "arg", "argument"):
-            if m := re.match(r"(?:\{([^}]+)\}\s*)?(\[?[\w.]+\]?)\s*(?:-\s*)?(.*)$", value):
-                out["params"].append({"type": m[1] or "any", "name": m[2].strip("[]"), "optional": m[2].startswith("["), "description": m[3]})
-        elif tag in ("returns", "return"):
-            m = re.match(r"(?:\{([^}]+)\}\s*)?(.*)$", value)
-            out["returns"] = {"type": m[1] or "void", "description": m[2]}
-        elif tag == "deprecated":
-            out["deprecated"] = value or "This function is deprecated."
-        elif tag == "since":
-            out["since"] = value
-        elif tag in ("example", "throws", "exception", "see"):
-            out[{"example": "examples", "exception": "throws"}.get(tag, tag)].append(value)
-    return out
+    doc = {"description": "", "params": [], "returns": None, "deprecated": None, "examples": [], "throws": [], "see": [], "since": None}
+    lines = (re.sub(r"^\s*\*\s?", "", line).strip() for line in block.removeprefix("/**").removesuffix("*/").split("\n"))
+    # a tag begins a line, and its text runs to the next tag; what stands before the first is the description
+    head, *tagged = re.split(r"(?m)^(?=@\w)", "\n".join(x for x in lines if x))
+    doc["description"] = " ".join(head.split("\n")).strip()
+    for part in tagged:
+        tag, value = re.match(r"@(\w+)\s*(.*)$", " ".join(part.split("\n"))).groups()
+        if tag in TAGS:
+            TAGS[tag](doc, value.strip())
+    return doc
+
+
+def _exported(source: str) -> Iterator[tuple[re.Match, str, dict | None]]:
+    """Exports with their kind and the comment right before them."""
+    blocks = [(m.end(), m[0]) for m in _DOC_BLOCK.finditer(source)]
+    ends = [b[0] for b in blocks]
+    for kind, pattern in _EXPORTS:
+        for m in pattern.finditer(source):
+            k = bisect.bisect_right(ends, m.start())
+            yield m, kind, parse_doc(blocks[k - 1][1]) if k and not source[ends[k - 1] : m.start()].strip() else None
 
 
 def exports_of(source: str) -> list[tuple]:
     """(name, kind, line, description, params, returns, deprecated): exports with the comment right before them."""
-    blocks = [(m.end(), m[0]) for m in _DOC_BLOCK.finditer(source)]
     found = []
-    for kind, pattern in _EXPORTS:
-        for m in pattern.finditer(source):
-            before = [b for b in blocks if b[0] <= m.start()]
-            doc = parse_doc(before[-1][1]) if before and not source[before[-1][0] : m.start()].strip() else None
-            params = ",".join(f"{p['name']}{'?' if p['optional'] else ''}:{p['type']}" for p in doc["params"]) if doc else None
-            found.append((m[1] or "default", kind, source.count("\n", 0, m.start()) + 1, doc and doc["description"], params, doc and doc["returns"] and doc["returns"]["type"], doc and doc["deprecated"]))
+    for m, kind, doc in _exported(source):
+        params = ",".join(f"{p['name']}{'?' if p['optional'] else ''}:{p['type']}" for p in doc["params"]) if doc else None
+        found.append((m[1] or "default", kind, source.count("\n", 0, m.start()) + 1, doc and doc["description"], params, doc and doc["returns"] and doc["returns"]["type"], doc and doc["deprecated"]))
     return found
 
 
+def documented(source: str) -> list[tuple[str, str, int, dict]]:
+    """(name, kind, line, whole comment) of the exports that have one."""
+    return [(m[1] or "default", kind, source.count("\n", 0, m.start()) + 1, doc) for m, kind, doc in _exported(source) if doc]
+
+
 def exports(files: DataFrame) -> DataFrame:
     return _per_row(files, exports_of, "name string, kind string, line long, description string, params string, returns string, deprecated string")
 

@@ -99,13 +99,13 @@ def retained_history(spark, sf_dir):
     return c.retained(read(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "user_id")
 
 
-_OWN = "(SELECT o_orderkey AS file, o_orderdate AS mtime FROM orders WHERE o_orderkey % 97 = 0)"
+_OWN = "(SELECT o_orderkey AS file, o_orderdate AS mtime FROM orders)"
 _DAYSINCE = "floor((epoch(TIMESTAMP '1998-09-01') - epoch({})) / 86400)"
 
 
 @query(f"SELECT arg_max(file, (mtime, file)) AS newest, CAST({_DAYSINCE.format('max(mtime)')} AS BIGINT) AS days, {_DAYSINCE.format('max(mtime)')} > 90 AS stale, CAST(floor(greatest(0.0, 100.0 - {_DAYSINCE.format('max(mtime)')} / 90.0 * 100) + 0.5) AS BIGINT) AS score, count(*) FILTER (WHERE {_DAYSINCE.format('mtime')} > 90) AS stale_files FROM {_OWN}")
 def document_staleness(spark, sf_dir):
-    docs = read(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("file"), F.col("o_orderdate").alias("mtime"))
+    docs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderdate").alias("mtime"))
     return c.staleness(docs, F.to_timestamp(F.lit("1998-09-01 00:00:00")))
 
 

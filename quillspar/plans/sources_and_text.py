@@ -135,9 +135,9 @@ def character_entropy(spark, sf_dir):
     return values(spark, _CHARS, "word string").select("word", F.round(parsing.entropy(F.col("word")), 9).alias("bits"))
 
 
-@query("SELECT conv_id, turn, text AS cleaned FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cleaned FROM conversations")
 def chatty_lines(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").filter("turn = 0")
+    rows = read(spark, sf_dir, "conversations")
     noisy = F.concat(F.lit("If you want, ask me.\nShould I go on?\nLet me know.\n"), F.col("text"), F.lit("\nHere is a summary of it:\n"))
     return rows.select("conv_id", "turn", parsing.sanitized(noisy).alias("cleaned"))
 

@@ -37,6 +37,32 @@ def quoted(x: object) -> str:
 FILES = f"(SELECT doc_id AS ord, source || '/src/' || {_sql_pick(FOLDERS)} || '/g' || CAST((doc_id // 16) % 9 AS VARCHAR) || '/' || {_sql_pick(NAMES)} || {_sql_pick(EXTENSIONS)} AS path, coalesce(text, '') AS content FROM documents)"
 
 
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, path, content): each document as a source file whose facts follow from its id; its text is a comment at the end.
+
+    File d imports the files d // 2, d // 3, ... of smaller ids, exports functions with counted decisions, and holds risky
+    calls and documentation comments by turns.
+    """
+    d = F.col("doc_id")
+    name = lambda x: F.concat(F.lit("m"), F.pmod(x, F.lit(20)).cast("string"), F.lit("/f"), x.cast("string"))
+    imports = [F.when((F.pmod(d, F.lit(4)) > i) & (F.floor(d / (i + 2)) < d), F.concat(F.lit(f'import a{i} from "../'), name(F.floor(d / (i + 2))), F.lit('.js";'))) for i in range(3)]
+    package = F.when(d % 2 == 0, F.concat(F.lit('import p from "pkg'), (d % 7).cast("string"), F.lit('/sub";')))
+    doc = F.when(d % 10 == 1, "/**\n * Does it.\n * @param {number} a - the input\n * @deprecated use another\n */").when(d % 2 == 1, "/** Does it. */")
+    ifs = lambda i: F.repeat(F.lit("  if (a > 1) { b(); }\n"), (d % 13 + i).cast("int"))
+    functions = [F.when(d % 3 >= i, F.concat(F.lit(f"export function f{i}(a) {{\n"), ifs(i), F.lit("}"))) for i in range(3)]
+    risky = [F.when(d % 5 == 0, "eval(x);"), F.when(d % 3 == 0, "run({ shell: true });"), F.when(d % 7 == 0, "const r = Math.random();")]
+    text = F.concat(F.lit("/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")), F.lit(" */"))
+    content = F.concat_ws("\n", *imports, package, doc, *functions, *risky, text)
+    return read(spark, sf_dir, "documents").select(d.alias("ord"), F.concat(F.lit("src/"), name(d), F.lit(".js")).alias("path"), content.alias("content"))
+
+
+#: What the files of `code` hold, told by their ids alone.
+CODE = "(SELECT doc_id AS d, 'src/m' || (doc_id % 20) || '/f' || doc_id AS key, doc_id % 3 + 1 AS nf FROM documents)"
+CODE_EDGES = f"(SELECT DISTINCT c.key AS src, t.key AS dst FROM {CODE} c, (VALUES (0), (1), (2)) AS v(i) JOIN {CODE} t ON t.d = c.d // (i + 2) WHERE c.d % 4 > i AND t.d < c.d)"
+CODE_FINDINGS = f"""(SELECT key || '.js' AS path, id, category, severity, cwe FROM {CODE}, (VALUES (5, 'eval-usage', 'Code Injection', 'high', 'CWE-95'), (3, 'shell-true', 'Command Injection', 'medium', 'CWE-78'),
+  (7, 'math-random-security', 'Insecure Randomness', 'low', 'CWE-330')) AS v(k, id, category, severity, cwe) WHERE d % k = 0)"""
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): each customer nation with the three supplier nations it orders most from, itself left out."""
     lines, orders = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
-from quillspar.operators.changes import change_status
+from quillspar.operators.changes import batches, change_status
 
 WARN_FILES, MOST_FILES = 10_000, 50_000
 
@@ -29,9 +30,16 @@ def scan(spark: SparkSession, root: str, include: list[str], ignore: list[str],
     kept = named.filter(F.col("path").rlike("|".join(map(glob_to_regex, include))))
     if ignore:
         kept = kept.filter(~F.col("path").rlike("|".join(map(glob_to_regex, ignore))))
-    if most is not None and (n := kept.select("path").count()) > most:
-        raise ValueError(f"{n} files match, {most} is the most; narrow the globs")
-    return kept.withColumn("ord", F.row_number().over(Window.orderBy("path"))) if most is not None else kept.withColumn("ord", F.xxhash64("path"))
+    if most is not None:
+        n = kept.select("path").count()
+        if n > most:
+            raise ValueError(f"{n} files match, {most} is the most; narrow the globs")
+        if n > WARN_FILES:
+            warnings.warn(f"{n} files match; narrower globs make reports easier to read", stacklevel=2)
+    # numbers follow the paths' order; without the guardrail they are made by ranges of paths, in no single task
+    if most is not None:
+        return kept.withColumn("ord", F.row_number().over(Window.orderBy("path")))
+    return batches(kept, "path", 1).withColumn("ord", (F.col("batch") + 1).cast("int")).drop("batch")
 
 
 def _dependencies(manifest: Column) -> Column:

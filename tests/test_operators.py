@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import text
-from quillspar.operators import changes, documents, graph, modules, parsing
+from quillspar.operators import baselines, changes, documents, facts, graph, modules, parsing, rendering
 from quillspar.plans.plugins import Plugin, Registry
 from quillspar.sources import repository
 from quillspar.streaming import feeds
@@ -56,6 +56,8 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_text(body)
     found = repository.scan(spark, str(tmp_path), ["**/*.js", "**/*.ts"], ["node_modules/**"])
     assert [(r.ord, r.path, r.content) for r in found.orderBy("ord").collect()] == [(1, "src/a.js", "1"), (2, "src/b/c.ts", "2")]
+    free = repository.scan(spark, str(tmp_path), ["**/*.js", "**/*.ts"], ["node_modules/**"], most=None)
+    assert [(r.ord, r.path) for r in free.orderBy("ord").collect()] == [(1, "src/a.js"), (2, "src/b/c.ts")]
     with pytest.raises(ValueError):
         repository.scan(spark, str(tmp_path), ["**/*.js", "**/*.ts"], [], most=1)
 
@@ -119,3 +121,55 @@ def test_documents_are_written(spark, tmp_path):
     doc = documents.lines(facts, "d", "key", "T", F.concat("key", F.lit(":"), "n"))
     documents.write_documents(doc, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out" / "doc_key=d")).collect()] == ["# T", "a:1", "b:2"]
+
+
+def test_baselines_are_kept_run_by_run(spark, tmp_path):
+    root = str(tmp_path / "baselines")
+    state = lambda keys: baselines.snapshot(spark.createDataFrame([(k, n) for k, n in keys.items()], "key string, file_count long"), sum(keys.values()), {})
+    assert baselines.load(spark, root) is None
+    assert baselines.run_over_run(spark, state({"a": 2, "b": 1}), root, 1) is None
+    found = {(r.category, r.type, r.severity, r["items"]) for r in baselines.run_over_run(spark, state({"a": 5, "c": 1}), root, 2).collect()}
+    assert found == {("modules", "added", "info", "c"), ("modules", "removed", "warning", "b"), ("modules", "size-change", "warning", "a: 2 to 5 files (+150%)"), ("scale", "file-count-change", "warning", "3 to 6 files (+100%)")}
+    assert baselines.load(spark, root, 1).count() == 3 and baselines.load(spark, root, 7) is None
+    (tmp_path / "baselines" / "run=9").mkdir()  # a run that never ended is no baseline
+    assert baselines.load(spark, root).filter("item = 'c'").count() == 1
+
+
+def test_document_sets_are_read_back(spark, tmp_path):
+    facts = spark.createDataFrame([("b", 2), ("a", 1)], "key string, n int")
+    section = rendering.Section("Keys", facts, ["key"], rendering.cells(rendering.marked("key"), "n"), 1, rendering.header("Key", "N"))
+    doc = rendering.document("route_map", "Routes", [section, rendering.Section("None", facts.filter("n > 5"), ["key"], rendering.bullet("key"))])
+    (row,) = documents.collapsed(doc).collect()
+    assert row.content.split("\n") == ["# Routes", "## Keys (2)", "| Key | N |", "|---|---|", "| `a` | 1 |", "> The first 1 of 2."]
+    documents.write_set(doc, {"context": facts}, str(tmp_path / "set"))
+    assert documents.read_artifact(spark, str(tmp_path / "set"), "context", "key string, n int").count() == 2
+    assert documents.read_artifact(spark, str(tmp_path / "set"), "missing", "key string").count() == 0
+    documents.publish_markdown(doc, str(tmp_path / "md"))
+    assert [p.name for p in (tmp_path / "md").glob("file=*")] == ["file=route_map.md"]
+
+
+def test_metric_history_keeps_the_last(spark, tmp_path):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    for day in range(4):
+        now = spark.createDataFrame([(f"2024-01-0{day + 1}", 50.0 + day)], "ts string, coverage double")
+        kept = documents.append_metrics(spark, now, str(tmp_path / "history"), keep=3)
+    assert [r.ts for r in kept.collect()] == ["2024-01-04", "2024-01-03", "2024-01-02"]
+    seen = Observation("counts")
+    documents.counted(spark.range(7), seen, rows=F.count("*")).collect()
+    assert seen.get == {"rows": 7}
+
+
+def test_health_counts_tests_as_importers_but_not_as_files(spark):
+    rows = [("src/a.js", "export function f(x) { return x && 1; }"), ("src/a.test.js", 'import { f } from "./a";'), ("src/b.js", 'import { f } from "./a"; eval("x"); eval("y");')]
+    out = {r.file: r for r in facts.code_health(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert set(out) == {"src/a.js", "src/b.js"} and (out["src/a.js"].fan_in, out["src/a.js"].fan_out, out["src/a.js"].doc_percent) == (2, 0, 0)
+    assert (out["src/b.js"].findings, out["src/b.js"].high, out["src/b.js"].score, out["src/b.js"].doc_percent) == (2, 2, 80, None)
+
+
+def test_documentation_comments():
+    doc = parsing.parse_doc("/**\n * Adds a\n * and b.\n * @param {number} a - the first\n *   of two\n * @arg [b] x\n * @returns sum\n * @throws {E} if odd\n * @exception other\n * @example\n * add(1)\n * @deprecated\n * @see other @here\n * @since 1.2\n */")
+    assert doc["description"] == "Adds a and b." and [p["description"] for p in doc["params"]] == ["the first of two", "x"] and doc["params"][1]["optional"]
+    assert doc["returns"] == {"type": "void", "description": "sum"} and doc["throws"] == ["{E} if odd", "other"] and doc["examples"] == ["add(1)"]
+    assert doc["deprecated"] == parsing.NO_REASON and doc["see"] == ["other @here"] and doc["since"] == "1.2"
