@@ -61,11 +61,15 @@ def plain_url(url: Column) -> Column:
     return F.coalesce(url, F.lit("urn:none"))
 
 
-def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column, the text of each page's record without the four bytes that end it."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"size": F.octet_length("html"), "digest": base32_sha1(F.encode("html", "UTF-8"))})
-    groups = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", parts: int = 1) -> DataFrame:
+    """One column, the text of each page's record without the four bytes that end it; dealt in turn to `parts`, if they are several."""
+
+    def read(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+        return rows.withColumns({"size": F.octet_length("html"), "digest": base32_sha1(F.encode("html", "UTF-8"))})
+
+    rows = read(pages.select("page_id", "url", "html").repartition(parts) if parts > 1 else pages)
+    groups = read(pages).filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
     groups = write_table(groups.filter("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"), "copies")
     rows = narrow_join(rows, groups, ["digest"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_bytes)
@@ -90,8 +94,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     """Write archives with Spark's own committer, so that lost executors' tasks are simply run again."""
     size, n = pages.select(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))), F.count("*")).first()
     files = 1 + ((size or 0) + n * HEAD_BYTES) // file_bytes
-    dealt = pages.select("page_id", "url", "html").repartition(files) if files > 1 else pages
-    records(dealt, min_bytes).write.option("lineSep", END).text(path)
+    records(pages, min_bytes, parts=files).write.option("lineSep", END).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
