@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def _split(blob: bytes) -> list[bytes]:
 
 def _gathered(shares: int, kind: pa.DataType):
     """Rows of two kinds: a batch's documents as word codes (part -1), and its distinct words of each share."""
-    fields = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_()))])
+    fields = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sized_batches(batches, "text", BATCH_BYTES):
@@ -190,7 +191,7 @@ def _gathered(shares: int, kind: pa.DataType):
             learned = np.repeat(~held, np.diff(words.starts))
             counts = np.bincount(words.codes[learned], minlength=len(part)).astype(np.int32)
             number = table.column("_file")[0].as_py() ^ (table.column("_row")[0].as_py() * 0x9E3779B97F4A7C15 & (1 << 63) - 1)
-            rows = [{"batch": number, "part": -1, "codes": words.codes.astype(np.uint32).tobytes(), "starts": words.starts.astype(np.int64).tobytes(), "parts": part.astype(np.int32).tobytes(), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist()}]
+            rows = [{"batch": number, "part": -1, "codes": words.codes.astype(np.uint32).tobytes(), "starts": words.starts.astype(np.int64).tobytes(), "parts": part.astype(np.int32).tobytes(), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist(), "sizes": pc.binary_length(pc.fill_null(column(table, "text"), "")).to_numpy().astype(np.int64).tobytes()}]
             texts = np.array([v.encode() for v in words.vocabulary.to_pylist()], object)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(shares + 1))
@@ -309,7 +310,7 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
     if kind not in ("bigint", "string"):
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     listed = f"array<{'bigint' if kind == 'bigint' else 'string'}>"
-    schema = f"batch long, part long, words binary, counts binary, codes binary, starts binary, parts binary, doc_ids {listed}, held array<boolean>"
+    schema = f"batch long, part long, words binary, counts binary, codes binary, starts binary, parts binary, doc_ids {listed}, held array<boolean>, sizes binary"
     gathered = write_table(rows.mapInArrow(_gathered(shares, arrow), schema), "gathered")
     dealt = gathered.filter("part >= 0").select("batch", "part", "words", "counts").repartition(shares, "part").sortWithinPartitions("part")
     vocabulary = write_table(dealt.mapInArrow(_vocabulary, "part long, batch long, words binary, counts binary, n long, v long, once long"), "vocabulary")
@@ -365,9 +366,10 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
                 tried = np.stack([np.bincount(owner, np.log10((earlier + a * static) / (place + a)), k) + np.log10(a * end / (length + a)) for a in ADAPT])
                 top = tried.max(axis=0)
                 model = top + np.log10(np.mean(10.0 ** (tried - top), axis=0))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(whole["doc_ids"], arrow), "held_out": pa.array(whole["held"]), "n_tokens": pa.array(length + 1), "n_known": pa.array(known), "base_score": pa.array(sums), "score": pa.array(model), "ord": pa.array(np.arange(k))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(whole["doc_ids"], arrow), "held_out": pa.array(whole["held"]), "n_tokens": pa.array(length + 1), "n_known": pa.array(known), "base_score": pa.array(sums), "score": pa.array(model), "n_bytes": pa.array(np.frombuffer(whole["sizes"], np.int64))})
 
-    waiting = gathered.filter("part < 0").select("batch", "part", "codes", "starts", "parts", "doc_ids", "held").unionByName(answers, allowMissingColumns=True)
+    waiting = gathered.filter("part < 0").select("batch", "part", "codes", "starts", "parts", "doc_ids", "held", "sizes").unionByName(answers, allowMissingColumns=True)
     waiting = waiting.repartition("batch").sortWithinPartitions("batch", "part")
-    out = waiting.mapInArrow(scored, f"doc_id {'bigint' if kind == 'bigint' else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double, ord long")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    out = waiting.mapInArrow(scored, f"doc_id {'bigint' if kind == 'bigint' else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    bits = -F.col("score") * float(np.log2(10.0)) / F.greatest("n_bytes", F.lit(1))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))

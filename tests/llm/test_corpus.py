@@ -444,6 +444,8 @@ def test_unigram_scores_match_brute_force(docs):
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4], rel=1e-9)
         assert r.score < 0
+        size = len((dict(pairs(made()))[r.doc_id] or "").encode())
+        assert r.n_bytes == size and r.bits_per_byte == pytest.approx(-r.score * np.log2(10) / max(1, size))
 
 
 def test_word_probabilities_sum_to_less_than_one():
