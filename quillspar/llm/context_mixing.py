@@ -1,21 +1,23 @@
 """Language-model scores by logistic context mixing.
 
-A document is coded word by word (lower-cased A-Z, words between ASCII white space), then an end. A word is coded as the
-bits of its bytes and of a space. For each bit several predictors look up, in hashed tables of a fixed size, how often 0
-and 1 followed their context: none, the last one to four bytes of the word, and all of it so far. The tables are counted
-over all training documents. A mixer adds the predictors' log-odds by weights that a gate picks from the bit's position
-and two predictors' counts; the weights are learned online, over the training words in order, with each word's own
-occurrence taken out of the counts first. A refinement stage corrects the mixed probability by what it was worth in
-training. Last the model adapts to what it has met: to the corpus, whose counts of the word are joined by as much of the
-mixer's probability as there are words met once (the Good-Turing share of the new), and to the document, whose counts
-so far are joined by some number of words of that; each number in `ADAPT` is tried on the document, and the results are
-averaged as probabilities, so the one that suits the document decides. The log10 probability of all words and the end is the score; bits_per_byte is its other form.
+A document is coded token by token in its order (lower-cased A-Z, words between ASCII white space, then an end), as bits.
+The bits of a token's path (its class and part of its hash, `word_paths`) are predicted in hashed contexts that reach over
+the two tokens before it; gated weights, learned online over all training documents, mix the predictors' log-odds, and a
+refinement table corrects the mix. Words that share a path share its probability by their training counts. A word that
+training lacks is spelled after its path, as the bits of its bytes and of a space, by a second mixer of the same kind:
+its contexts are none, the last one to four bytes of the word, and all of it so far, and it learns from each distinct
+training word once. In both, an occurrence is taken out of the counts before the mixer learns from it. Last the model
+adapts to the document: the counts of its words so far are joined by some number of words of the mixed probability; each
+number in `ADAPT` is tried on the document, and the results are averaged as probabilities, so the one that suits the
+document decides. The log10 probability of all tokens is the score; bits_per_byte is its other form.
 
 The base score is the smoothed unigram score of the same tokens.
 
-The corpus is gathered as distinct words with counts, dealt out by the words' hashes; only tables of fixed size reach the
-driver and the executors. Null or empty text: just the end. Null doc_id counts as the text "null". Repeated rows are
-scored, and learned from, each. Memory: about 8 MB of text (or the longest text), or one share of the vocabulary.
+Word counts are gathered as distinct words, dealt out by the words' hashes, and grow with the corpus. The predictors'
+tables have a bounded size, as they are sent to all executors: at most 4 x 2^22 slots of 4 bytes for tokens, and
+6 x 2^20 of 8 for spelling; contexts beyond that share slots. Null or empty text: just the end. Null doc_id counts as the
+text "null". Repeated rows are scored, and learned from, each. Memory: about 8 MB of text (or the longest text) as
+arrays, or one share of the vocabulary, and the tables.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspar.llm import word_paths
 from quillspar.llm.common import U64, Words, column, hash_strings, located, sized_batches, whole_groups
-from quillspar.session import write_table
+from quillspar.session import drop_table, write_table
 
 BATCH_BYTES = 8 << 20
 #: About this many bytes of text give one share of the vocabulary.
 SHARE_BYTES = 48 << 20
-MOST_TRAINERS = 512
+#: About this many bytes of text for each task that counts or learns in sequence.
+TRAINER_BYTES = 96 << 20
 TABLE_BITS, BLOCK = 20, 1 << 14
 ORDERS = 6
 GATES = 8 * 8 * 4
@@ -180,18 +184,18 @@ def _split(blob: bytes) -> list[bytes]:
 
 def _gathered(shares: int, kind: pa.DataType):
     """Rows of two kinds: a batch's documents as word codes (part -1), and its distinct words of each share."""
-    fields = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())])
+    fields = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sized_batches(batches, "text", BATCH_BYTES):
             words = Words(column(table, "text"))
             held = column(table, "held_out").to_numpy(zero_copy_only=False)
-            hashes = hash_strings(words.vocabulary)
-            part = (hashes % U64(shares)).astype(np.int64)
+            hashes = (hash_strings(words.vocabulary) >> U64(32)).astype(np.uint32)
+            part = (hashes % np.uint32(shares)).astype(np.int64)
             learned = np.repeat(~held, np.diff(words.starts))
             counts = np.bincount(words.codes[learned], minlength=len(part)).astype(np.int32)
             number = table.column("_file")[0].as_py() ^ (table.column("_row")[0].as_py() * 0x9E3779B97F4A7C15 & (1 << 63) - 1)
-            rows = [{"batch": number, "part": -1, "codes": words.codes.astype(np.uint32).tobytes(), "starts": words.starts.astype(np.int64).tobytes(), "parts": part.astype(np.int32).tobytes(), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist(), "sizes": pc.binary_length(pc.fill_null(column(table, "text"), "")).to_numpy().astype(np.int64).tobytes()}]
+            rows = [{"batch": number, "part": -1, "codes": words.codes.astype(np.uint32).tobytes(), "starts": words.starts.astype(np.int64).tobytes(), "hashes": hashes.tobytes(), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist(), "sizes": pc.binary_length(pc.fill_null(column(table, "text"), "")).to_numpy().astype(np.int64).tobytes()}]
             texts = np.array([v.encode() for v in words.vocabulary.to_pylist()], object)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(shares + 1))
@@ -218,67 +222,82 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words), dtype=np.int32)
             sums = np.bincount(place[codes], counts, len(words)).astype(np.int64)
-            rows = [{"part": part, "batch": None, "words": b" ".join(words[i] for i in order), "counts": sums.tobytes(), "n": int(sums.sum()), "v": int((sums > 0).sum()), "once": int((sums == 1).sum())}]
+            rows = [{"part": part, "batch": None, "words": b" ".join(words[i] for i in order), "counts": sums.tobytes(), "n": int(sums.sum()), "v": int((sums > 0).sum())}]
             at = 0
             for batch, x in zip(column(table, "batch").to_pylist(), blobs, strict=True):
                 k = x.count(b" ") + 1
-                rows.append({"part": part, "batch": batch, "words": place[codes[at : at + k]].tobytes(), "counts": None, "n": 0, "v": 0, "once": 0})
+                rows.append({"part": part, "batch": batch, "words": place[codes[at : at + k]].tobytes(), "counts": None, "n": 0, "v": 0})
                 at += k
-            fields = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("once", pa.int64())])
+            fields = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
             yield from pa.Table.from_pylist(rows, fields).to_batches(64)
 
 
 def _learned(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
-    words, counts = _split(words), np.frombuffer(counts, np.int64)
-    keep = np.flatnonzero(counts > 0)
-    return [words[i] for i in keep.tolist()], counts[keep]
+    """The words met in training, each once."""
+    found = [w for w, c in zip(_split(words), np.frombuffer(counts, np.int64).tolist(), strict=False) if c > 0]
+    return found, np.ones(len(found))
+
+
+def added(rows: DataFrame, kind: str = "f8") -> Iterator[tuple[int, np.ndarray]]:
+    """The sums of blobs (numbers of `kind`) by block, from rows of block, task, sums; added up in tasks."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                if block != last and last is not None:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([total.tobytes()], pa.binary())})
+                part = np.frombuffer(blob, kind).astype(np.float64)
+                last, total = block, part if block != last else total + part
+        if last is not None:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    dealt = rows.repartition("block").sortWithinPartitions("block", "task").mapInArrow(summed, "block long, sums binary")
+    for row in dealt.toLocalIterator():
+        yield row.block, np.frombuffer(row.sums, np.float64)
+
+
+_BLOCKS = "block long, task long, sums binary"
+
+
+def _blocks(flat: np.ndarray, task: int, size: int, offset: int = 0) -> Iterator[pa.RecordBatch]:
+    """The parts of an array that aren't zero throughout, as rows for `added`."""
+    for k in range(0, len(flat), size):
+        if (part := flat[k : k + size]).any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([offset + k // size]), "task": pa.array([task]), "sums": pa.array([part.tobytes()], pa.binary())})
 
 
 def count_tables(shares: DataFrame) -> np.ndarray:
-    """The predictors' tables over all training words: summed in tasks, then by block of slots; of a fixed size."""
+    """The spelling predictors' tables over all training words: summed in tasks, then by block of slots; of a fixed size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((ORDERS, 1 << TABLE_BITS, 2), np.float32)
+        tables, task = np.zeros((ORDERS, 1 << TABLE_BITS, 2), np.float32), 0
         for batch in batches:
-            for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for part, w, c in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "counts")), strict=True):
                 count_bits(*_learned(w, c), tables)
-        for i in range(ORDERS):
-            for k in range(0, 1 << TABLE_BITS, BLOCK):
-                if (part := tables[i, k : k + BLOCK]).any():
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([i << TABLE_BITS | k]), "sums": pa.array([part.tobytes()], pa.binary())})
+                task = max(task, part)
+        yield from _blocks(tables.reshape(-1), task, 2 * BLOCK)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(blob, np.float32).astype(np.float64)
-        for block, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "sums": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-    kind = "block long, sums binary"
-    tables = np.zeros((ORDERS, 1 << TABLE_BITS, 2), np.float32)
-    for row in shares.mapInArrow(counted, kind).repartition("block").mapInArrow(summed, kind).toLocalIterator():
-        k = row.block & (1 << TABLE_BITS) - 1
-        tables[row.block >> TABLE_BITS, k : k + BLOCK] = np.frombuffer(row.sums, np.float32).reshape(-1, 2)
-    return tables
+    tables = np.zeros(ORDERS * 2 << TABLE_BITS, np.float32)
+    for block, sums in added(shares.mapInArrow(counted, _BLOCKS), "f4"):
+        tables[block * 2 * BLOCK :][: len(sums)] = sums
+    return tables.reshape(ORDERS, 1 << TABLE_BITS, 2)
 
 
 def train_mixer(shares: DataFrame, shared) -> Mixer:
     """Each task learns online over its words in order; the tasks' weights are averaged by what they saw of a gate."""
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer()
-        rows = sorted(((p, w, c) for b in batches for p, w, c in zip(*(b.column(x).to_pylist() for x in ("part", "words", "counts")), strict=True)), key=lambda r: r[0])
-        for _, w, c in rows:
-            mixer.learn(*_learned(w, c), shared.value)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([rows[0][0] if rows else -1]), "state": pa.array([np.concatenate([(mixer.weights * mixer.moved[:, None]).ravel(), mixer.moved, mixer.refined.ravel()]).tobytes()], pa.binary())})
+        mixer, task = Mixer(), 0
+        for batch in batches:
+            for part, w, c in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "counts")), strict=True):
+                mixer.learn(*_learned(w, c), shared.value)
+                task = max(task, part)
+        state = np.concatenate([(mixer.weights * mixer.moved[:, None]).ravel(), mixer.moved, mixer.refined.ravel()])
+        yield from _blocks(state, task, 1 << 20)
 
     out, sums = Mixer(), None
-    found = shares.mapInArrow(learned, "part long, state binary")
-    for row in sorted(found.collect(), key=lambda r: r.part):  # at most MOST_TRAINERS rows of 100 kB
-        x = np.frombuffer(row.state, np.float64)
-        sums = x if sums is None else sums + x
-    if sums is not None:
+    for _, sums in added(shares.mapInArrow(learned, _BLOCKS)):  # one block
         moved = sums[GATES * ORDERS :][:GATES]
         seen = moved > 0
         out.weights[seen] = sums[: GATES * ORDERS].reshape(GATES, ORDERS)[seen] / moved[seen, None]
@@ -286,6 +305,77 @@ def train_mixer(shares: DataFrame, shared) -> Mixer:
     return out
 
 
+def path_sums(vocabulary: DataFrame, n_words: int) -> np.ndarray:
+    """How many training words have each path."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, task = np.zeros(word_paths.PATHS, np.int64), 0
+        for batch in batches:
+            for part, w, c in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "counts")), strict=True):
+                counts, words = np.frombuffer(c, np.int64), _split(w)
+                hashes = (hash_strings(pa.array(words, pa.binary())) >> U64(32)).astype(np.uint32)
+                at = word_paths.paths(hashes, counts, n_words)
+                np.add.at(sums, at.astype(np.int64), counts)
+                task = max(task, part)
+        yield from _blocks(sums, task, word_paths.PATHS)
+
+    out = np.zeros(word_paths.PATHS)
+    for _, sums in added(vocabulary.filter("batch IS NULL").select("part", "words", "counts").mapInArrow(summed, _BLOCKS), "i8"):
+        out = sums
+    return out
+
+
+def _tokens(row: dict, n_words: int, training: bool) -> tuple[word_paths.Tokens, np.ndarray]:
+    """The tokens of a batch's documents, and which of them belong to training documents.
+
+    For training, each word counts as often as it is met elsewhere.
+    """
+    counts, starts = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["starts"], np.int64)
+    codes = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
+    tokens = word_paths.Tokens(np.frombuffer(row["hashes"], np.uint32), np.maximum(counts - 1, 0) if training else counts, codes, starts, n_words)
+    return tokens, np.repeat(~np.array(row["held"], bool), np.diff(starts) + 1)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One batch of documents at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def sequence_tables(sequences: DataFrame, n_words: int) -> np.ndarray:
+    """The token predictors' tables over all training documents, packed; of a bounded size."""
+    size = word_paths.table_bits(n_words)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, task = np.zeros((word_paths.CONTEXTS, 1 << size, 2), np.int32), 0
+        for row in _rows(batches):
+            word_paths.count(*_tokens(row, n_words, True), tables)
+            task = max(task, row["batch"])
+        yield from _blocks(tables.reshape(-1), task, 2 * BLOCK)
+
+    out = np.zeros(word_paths.CONTEXTS << size, np.uint32)
+    for block, sums in added(sequences.mapInArrow(counted, _BLOCKS), "i4"):
+        out[block * BLOCK :][: len(sums) // 2] = word_paths.packed(sums.reshape(-1, 2))
+    return out.reshape(word_paths.CONTEXTS, 1 << size)
+
+
+def train_sequences(sequences: DataFrame, n_words: int, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Each task learns online over its training documents; the tasks' weights are averaged by what they saw of a gate."""
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, task = word_paths.Mixer(), 0
+        for row in _rows(batches):
+            mixer.learn(*_tokens(row, n_words, True), shared.value)
+            task = max(task, row["batch"])
+        yield from _blocks(mixer.state(), task, 1 << 20)
+
+    found = None
+    for _, found in added(sequences.mapInArrow(learned, _BLOCKS)):  # one block of 210 000 numbers
+        pass
+    return word_paths.Mixer.prepared(found)
+
+
 def earlier_counts(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often each token's word occurred before it in its document."""
     order = np.lexsort((codes, owner))
@@ -310,25 +400,27 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
     if kind not in ("bigint", "string"):
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     listed = f"array<{'bigint' if kind == 'bigint' else 'string'}>"
-    schema = f"batch long, part long, words binary, counts binary, codes binary, starts binary, parts binary, doc_ids {listed}, held array<boolean>, sizes binary"
+    schema = f"batch long, part long, words binary, counts binary, codes binary, starts binary, hashes binary, doc_ids {listed}, held array<boolean>, sizes binary"
     gathered = write_table(rows.mapInArrow(_gathered(shares, arrow), schema), "gathered")
     dealt = gathered.filter("part >= 0").select("batch", "part", "words", "counts").repartition(shares, "part").sortWithinPartitions("part")
-    vocabulary = write_table(dealt.mapInArrow(_vocabulary, "part long, batch long, words binary, counts binary, n long, v long, once long"), "vocabulary")
-    n_words, v, once = (x or 0 for x in vocabulary.agg(F.sum("n"), F.sum("v"), F.sum("once")).first())
+    vocabulary = write_table(dealt.mapInArrow(_vocabulary, "part long, batch long, words binary, counts binary, n long, v long"), "vocabulary")
+    n_words, v = (x or 0 for x in vocabulary.agg(F.sum("n"), F.sum("v")).first())
     n, v = n_words + n_ends, v + (n_ends > 0)
-    new = max(1.0, once)
-    trainers = vocabulary.filter("batch IS NULL").select("part", "words", "counts").repartition(min(MOST_TRAINERS, shares), "part")
-    tables = spark.sparkContext.broadcast(count_tables(trainers))
-    mixer = spark.sparkContext.broadcast(train_mixer(trainers, tables).prepared())
+    trainers = vocabulary.filter("batch IS NULL").select("part", "words", "counts").coalesce(max(4, (total or 0) // TRAINER_BYTES))
+    spelling = spark.sparkContext.broadcast(count_tables(trainers))
+    speller = spark.sparkContext.broadcast(train_mixer(trainers, spelling).prepared())
+    alike = path_sums(vocabulary, n_words)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each batch and share: counts and bits of the batch's words."""
+        """For each batch and share: counts of the batch's words, and the bits that spell those not met in training."""
         for several in whole_groups(batches, "part"):
             numbers = column(several, "part").to_numpy()
             for part in np.unique(numbers).tolist():
                 rows = several.filter(pa.array(numbers == part)).to_pylist()
                 whole = next(r for r in rows if r["batch"] is None)
-                counts, cost = np.frombuffer(whole["counts"], np.int64), word_bits(_split(whole["words"]), tables.value, *mixer.value).astype(np.float32)
+                counts, words = np.frombuffer(whole["counts"], np.int64), _split(whole["words"])
+                cost, unknown = np.zeros(len(words), np.float32), np.flatnonzero(counts == 0)
+                cost[unknown] = word_bits([words[i] for i in unknown.tolist()], spelling.value, *speller.value)
                 for r in rows:
                     if r["batch"] is not None:
                         at = np.frombuffer(r["words"], np.int32)
@@ -336,16 +428,17 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
 
     answers = vocabulary.select("part", "batch", "words", "counts").repartition(shares, "part").sortWithinPartitions("part")
     answers = answers.mapInArrow(coded, "batch long, part long, counts binary, bits binary")
-    low, end = float(n + 0.1 * (v + 1)), max(0.5, n_ends) / max(1.0, n)
+    fields = pa.schema([("batch", pa.int64()), ("codes", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary()), ("doc_ids", pa.list_(arrow)), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())])
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch of documents with what is known of its words."""
         for several in whole_groups(batches, "batch"):
             numbers = column(several, "batch").to_numpy()
             for batch in np.unique(numbers):
                 rows = several.filter(pa.array(numbers == batch)).to_pylist()
                 whole = next(r for r in rows if r["part"] < 0)
-                part = np.frombuffer(whole["parts"], np.int32)
-                counts, bits = np.zeros(len(part)), np.zeros(len(part))
+                part = np.frombuffer(whole["hashes"], np.uint32) % np.uint32(shares)
+                counts, bits = np.zeros(len(part), np.int64), np.zeros(len(part), np.float32)
                 order = np.argsort(part, kind="stable")
                 cuts = dict(zip(*np.unique(part[order], return_index=True), strict=True))
                 for r in rows:
@@ -353,23 +446,38 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
                         c = np.frombuffer(r["counts"], np.int64)
                         at = order[cuts[r["part"]] : cuts[r["part"]] + len(c)]
                         counts[at], bits[at] = c, np.frombuffer(r["bits"], np.float32)
-                codes, starts = np.frombuffer(whole["codes"], np.uint32).astype(np.int64), np.frombuffer(whole["starts"], np.int64)
-                k = len(starts) - 1
-                length = np.diff(starts)
-                owner = np.repeat(np.arange(k), length)
-                base = np.log10((counts + 0.1) / low)
-                sums = np.bincount(owner, base[codes], k) + np.log10((n_ends + 0.1) / low)
-                known = np.bincount(owner, (counts > 0)[codes], k).astype(np.int64) + int(n_ends > 0)
-                place = np.arange(len(codes)) - np.repeat(starts[:-1], length)
-                static = ((1 - end) * (counts + new * np.exp2(-bits)) / (n_words + new))[codes]
-                earlier = earlier_counts(codes, owner)
-                tried = np.stack([np.bincount(owner, np.log10((earlier + a * static) / (place + a)), k) + np.log10(a * end / (length + a)) for a in ADAPT])
-                top = tried.max(axis=0)
-                model = top + np.log10(np.mean(10.0 ** (tried - top), axis=0))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(whole["doc_ids"], arrow), "held_out": pa.array(whole["held"]), "n_tokens": pa.array(length + 1), "n_known": pa.array(known), "base_score": pa.array(sums), "score": pa.array(model), "n_bytes": pa.array(np.frombuffer(whole["sizes"], np.int64))})
-
-    waiting = gathered.filter("part < 0").select("batch", "part", "codes", "starts", "parts", "doc_ids", "held", "sizes").unionByName(answers, allowMissingColumns=True)
+                yield from pa.Table.from_pylist([whole | {"counts": counts.tobytes(), "bits": bits.tobytes()}], fields).to_batches()
+
+    waiting = gathered.filter("part < 0").select("batch", "part", "codes", "starts", "hashes", "doc_ids", "held", "sizes").unionByName(answers, allowMissingColumns=True)
     waiting = waiting.repartition("batch").sortWithinPartitions("batch", "part")
-    out = waiting.mapInArrow(scored, f"doc_id {'bigint' if kind == 'bigint' else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    sequences = write_table(waiting.mapInArrow(joined, f"batch long, codes binary, starts binary, hashes binary, counts binary, bits binary, doc_ids {listed}, held array<boolean>, sizes binary"), "sequences")
+    drop_table(gathered)
+    drop_table(vocabulary)
+    learners = sequences.select("batch", "codes", "starts", "hashes", "counts", "held").coalesce(max(4, (total or 0) // TRAINER_BYTES))
+    tables = spark.sparkContext.broadcast(sequence_tables(learners, n_words))
+    mixer = spark.sparkContext.broadcast(train_sequences(learners, n_words, tables))
+    low = float(n + 0.1 * (v + 1))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            counts, spelled = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["bits"], np.float32)
+            codes, starts = np.frombuffer(row["codes"], np.uint32).astype(np.int64), np.frombuffer(row["starts"], np.int64)
+            k, length = len(starts) - 1, np.diff(starts)
+            owner = np.repeat(np.arange(k), length)
+            sums = np.bincount(owner, np.log10((counts + 0.1) / low)[codes], k) + np.log10((n_ends + 0.1) / low)
+            known = np.bincount(owner, (counts > 0)[codes], k).astype(np.int64) + int(n_ends > 0)
+            tokens, _ = _tokens(row, n_words, False)
+            cost = word_paths.path_bits(tokens, tables.value, *mixer.value)
+            path = word_paths.paths(np.frombuffer(row["hashes"], np.uint32), counts, n_words).astype(np.int64)
+            after = np.where(counts > 0, np.log2(np.maximum(alike[path], 1) / np.maximum(counts, 1)), spelled)
+            mixed, end = np.exp2(-cost[tokens.is_word] - after[codes]), np.exp2(-cost[tokens.ends])
+            place = np.arange(len(codes)) - np.repeat(starts[:-1], length)
+            earlier = earlier_counts(codes, owner)
+            tried = np.stack([np.bincount(owner, np.log10((earlier + a * mixed) / (place + a)), k) + np.log10(a * end / (length + a)) for a in ADAPT])
+            top = tried.max(axis=0)
+            model = top + np.log10(np.mean(10.0 ** (tried - top), axis=0))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], arrow), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(length + 1), "n_known": pa.array(known), "base_score": pa.array(sums), "score": pa.array(model), "n_bytes": pa.array(np.frombuffer(row["sizes"], np.int64))})
+
+    out = sequences.mapInArrow(scored, f"doc_id {'bigint' if kind == 'bigint' else 'string'}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") * float(np.log2(10.0)) / F.greatest("n_bytes", F.lit(1))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))
