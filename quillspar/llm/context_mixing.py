@@ -14,7 +14,7 @@ document decides. The log10 probability of all tokens is the score; bits_per_byt
 The base score is the smoothed unigram score of the same tokens.
 
 Word counts are gathered as distinct words, dealt out by the words' hashes, and grow with the corpus. The predictors'
-tables have a bounded size, as they are sent to all executors: at most 4 x 2^22 slots of 4 bytes for tokens, and
+tables have a bounded size, as they are sent to all executors: at most 4 x 2^22 slots of 6 bytes for tokens, and
 6 x 2^20 of 8 for spelling; contexts beyond that share slots. Null or empty text: just the end. Null doc_id counts as the
 text "null". Repeated rows are scored, and learned from, each. Memory: about 8 MB of text (or the longest text) as
 arrays, or one share of the vocabulary, and the tables.
@@ -343,8 +343,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def sequence_tables(sequences: DataFrame, n_words: int) -> np.ndarray:
-    """The token predictors' tables over all training documents, packed; of a bounded size."""
+def sequence_tables(sequences: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token predictors over all training documents, and without one bit each; of a bounded size."""
     size = word_paths.table_bits(n_words)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +354,12 @@ def sequence_tables(sequences: DataFrame, n_words: int) -> np.ndarray:
             task = max(task, row["batch"])
         yield from _blocks(tables.reshape(-1), task, 2 * BLOCK)
 
-    out = np.zeros(word_paths.CONTEXTS << size, np.uint32)
+    out, without = np.zeros(word_paths.CONTEXTS << size, np.int16), np.zeros(word_paths.CONTEXTS << size + 1, np.int16)
     for block, sums in added(sequences.mapInArrow(counted, _BLOCKS), "i4"):
-        out[block * BLOCK :][: len(sums) // 2] = word_paths.packed(sums.reshape(-1, 2))
-    return out.reshape(word_paths.CONTEXTS, 1 << size)
+        now, less = word_paths.predictors(sums.reshape(-1, 2))
+        out[block * BLOCK :][: len(now)] = now
+        without[block * 2 * BLOCK :][: 2 * len(now)] = less.reshape(-1)
+    return out.reshape(word_paths.CONTEXTS, -1), without.reshape(word_paths.CONTEXTS, -1)
 
 
 def train_sequences(sequences: DataFrame, n_words: int, shared) -> tuple[np.ndarray, np.ndarray]:
@@ -454,8 +456,10 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
     drop_table(gathered)
     drop_table(vocabulary)
     learners = sequences.select("batch", "codes", "starts", "hashes", "counts", "held").coalesce(max(4, (total or 0) // TRAINER_BYTES))
-    tables = spark.sparkContext.broadcast(sequence_tables(learners, n_words))
-    mixer = spark.sparkContext.broadcast(train_sequences(learners, n_words, tables))
+    now, less = sequence_tables(learners, n_words)
+    tables, without = spark.sparkContext.broadcast(now), spark.sparkContext.broadcast(less)
+    mixer = spark.sparkContext.broadcast(train_sequences(learners, n_words, without))
+    without.destroy()
     low = float(n + 0.1 * (v + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ the second word before. A predictor is a table of how often 0 and 1 followed its
 picked by a hash. A gate (the bit's place and how much two predictors have seen) picks the weights by which the
 predictors' log-odds are added; a refinement table corrects the sum by what it was worth at that place of the path.
 
-Counts are taken over all training words. A training word is learned as the word it would be without this occurrence: one
+The contexts of each four bits lie side by side in a table. Counts are taken over all training words. A training word is learned as the word it would be without this occurrence: one
 met once teaches what an unknown word looks like. Tables have 2^14 to 2^MOST_BITS slots, by the number of training words:
 they are sent to all executors, so they are bounded, and beyond that contexts share slots.
 """
@@ -25,9 +25,9 @@ CONTEXTS = 4
 GATES = DEPTH * 4 * 4
 STEPS, LIMIT = 24, 8.0
 RATE, FIRST_WEIGHT = 0.02, 0.3
-BLOCK = 1 << 15
-MOST_COUNT = (1 << 16) - 1
-_LOGS = np.log(np.arange(MOST_COUNT + 1, dtype=np.float32) + np.float32(0.05))
+BLOCK = 1 << 14
+#: Log-odds are held in 1/1024, with two bits below them for how much has been seen.
+ODDS_UNIT, PRIOR = 1024, 0.05
 _SALTS = np.array([0, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -73,63 +73,71 @@ class Tokens:
     def bits(self, size: int, kept: np.ndarray | None = None):
         """For each block of tokens (kept ones) and depth: depth, tokens, path so far, bit, and the contexts' slots."""
         chosen = np.arange(len(self)) if kept is None else np.flatnonzero(kept)
-        shift = np.uint32(32 - size)
+        shift = np.uint32(32 - size + 4)
         for a in range(0, len(chosen), BLOCK):
             at = chosen[a : a + BLOCK]
             deep = at[self.paths[at] < END << HASH_BITS]
-            for group, depths in ((at, range(CLASS_BITS)), (deep, range(CLASS_BITS, DEPTH))):
+            for part in range(0, DEPTH, 4):
+                group = deep if part >= CLASS_BITS else at
                 if not len(group):
                     continue
-                path, keys = self.paths[group], [k[group] for k in self.keys]
-                for b in depths:
-                    node = np.uint32(1 << b) | path >> np.uint32(DEPTH - b)
-                    bit = path >> np.uint32(DEPTH - 1 - b) & np.uint32(1)
-                    mark = node * np.uint32(0x7FEB352D)
-                    yield b, group, node, bit, [node, *(((k ^ mark) * np.uint32(0x846CA68B)) >> shift for k in keys)]
+                path = self.paths[group]
+                mark = (np.uint32(1 << part) | path >> np.uint32(DEPTH - part)) * np.uint32(0x7FEB352D)
+                lines = [(((k[group] ^ mark) * np.uint32(0x846CA68B)) >> shift).astype(np.int64) << 4 for k in self.keys]
+                for b in range(part, part + 4):
+                    node = (np.uint32(1 << b) | path >> np.uint32(DEPTH - b)).astype(np.int64)
+                    bit = (path >> np.uint32(DEPTH - 1 - b) & np.uint32(1)).astype(np.int64)
+                    inside = node & (1 << b - part) - 1 | 1 << b - part
+                    yield b, group, node, bit, [node, *(line + inside for line in lines)]
 
 
 def count(tokens: Tokens, kept: np.ndarray, tables: np.ndarray) -> None:
     """Add the kept tokens' bits to tables[context, slot, bit]."""
-    size = tables.shape[1].bit_length() - 1
+    size, ones = tables.shape[1].bit_length() - 1, np.ones(BLOCK, tables.dtype)
     flat = [t.reshape(-1) for t in tables]
     for _, _, _, bit, slots in tokens.bits(size, kept):
         for table, slot in zip(flat, slots, strict=True):
-            np.add.at(table, slot.astype(np.int64) * 2 + bit, 1)
+            np.add.at(table, slot * 2 + bit, ones[: len(bit)])
 
 
-def packed(sums: np.ndarray) -> np.ndarray:
-    """Pairs of counts as two halves of 32 bits; a pair beyond 16 bits is scaled down, a count met stays at 1 or more."""
-    scale = np.maximum(1.0, sums.max(axis=-1, keepdims=True) / MOST_COUNT)
-    small = np.where(sums > 0, np.maximum(1, np.floor(sums / scale)), 0).astype(np.uint32)
-    return small[..., 0] | small[..., 1] << np.uint32(16)
+def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Log-odds by counts, and in the lowest two bits whether they are at least 1, 3, 16."""
+    odds = np.clip(np.log((one + PRIOR) / (zero + PRIOR)), -LIMIT + 0.01, LIMIT - 0.01)
+    return (np.rint(odds * ODDS_UNIT).astype(np.int16) << 2 | np.digitize(zero + one, (1, 3, 16)).astype(np.int16)).astype(np.int16)
 
 
-def _odds(tables: np.ndarray, slots: list[np.ndarray], own: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Log-odds by each predictor and how much it has seen; with `own`, an occurrence of that bit is taken out first."""
-    odds, seen = np.empty((CONTEXTS, len(slots[0])), np.float32), []
-    for i, slot in enumerate(slots):
-        pair = tables[i][slot]
-        zero, one = (pair & np.uint32(MOST_COUNT)).astype(np.int32), (pair >> np.uint32(16)).astype(np.int32)
-        if own is not None:
-            one = np.maximum(one - own, 0)
-            zero = np.maximum(zero - 1 + own, 0)
-        odds[i] = _LOGS[one] - _LOGS[zero]
-        seen.append(zero + one)
-    return np.clip(odds, -LIMIT, LIMIT, out=odds), seen
+def predictors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From pairs of counts: what each slot predicts, and what it would without one 0, and without one 1."""
+    zero, one = sums[..., 0], sums[..., 1]
+    without = np.stack([log_odds(np.maximum(zero - 1, 0), one), log_odds(zero, np.maximum(one - 1, 0))], axis=-1)
+    return log_odds(zero, one), without
 
 
-def _level(seen: np.ndarray) -> np.ndarray:
-    return (seen > 0).astype(np.int16) + (seen > 2) + (seen > 15)
+def _odds(tables: np.ndarray, slots: list[np.ndarray], own: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Log-odds by each predictor and how much it has seen; with `own`, an occurrence of that bit is taken out first."""
+    odds, seen = [], []
+    for i, slot in enumerate(slots):
+        x = np.take(tables[i], slot if own is None else slot * 2 + own)
+        odds.append((x >> 2).astype(np.float32) * np.float32(1 / ODDS_UNIT))
+        seen.append(x & 3)
+    return odds, seen
 
 
 def _gate(b: int, seen: list[np.ndarray]) -> np.ndarray:
-    return (b * 4 + _level(seen[1])) * 4 + _level(seen[2])
+    return (b * 16 + seen[1] * 4 + seen[2]).astype(np.int64)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _mix(odds: list[np.ndarray], weights: np.ndarray, gates: np.ndarray) -> np.ndarray:
+    out = odds[0] * np.take(weights[:, 0], gates)
+    for i in range(1, CONTEXTS):
+        out += odds[i] * np.take(weights[:, i], gates)
+    return out
+
+
 class Mixer:
     """Gated weights and the refinement table; `state` is a row of sums that can be added up over tasks."""
 
@@ -139,19 +147,20 @@ class Mixer:
         self.refined = np.zeros((STEPS + 1, PATHS, 2))
 
     def learn(self, tokens: Tokens, kept: np.ndarray, tables: np.ndarray) -> None:
-        size = tables.shape[1].bit_length() - 1
-        for b, _, node, bit, slots in tokens.bits(size, kept):
-            y = bit.astype(np.int32)
+        """From the kept tokens, by tables[context, slot * 2 + bit] without one such bit."""
+        size, ones = (tables.shape[1] // 2).bit_length() - 1, np.ones(BLOCK)
+        for b, _, node, y, slots in tokens.bits(size, kept):
             odds, seen = _odds(tables, slots, y)
             g = _gate(b, seen)
-            mixed = np.clip(sum(odds[i] * self.weights[g, i] for i in range(CONTEXTS)), -LIMIT, LIMIT)
+            mixed = np.clip(_mix(odds, self.weights[b * 16 : b * 16 + 16].astype(np.float32), g - b * 16), -LIMIT, LIMIT)
             p = _squash(mixed)
             miss, spread = y - p, p * (1 - p)
             for i in range(CONTEXTS):  # a damped Newton step for each weight of a gate
-                self.weights[:, i] += RATE * np.bincount(g, miss * odds[i], GATES) / (np.bincount(g, spread * odds[i] ** 2, GATES) + 1)
+                pull = miss * odds[i]
+                self.weights[:, i] += RATE * np.bincount(g, pull, GATES) / (np.bincount(g, spread * odds[i] ** 2, GATES) + 1)
             self.moved += np.bincount(g, minlength=GATES)
             at = np.rint((mixed + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64)
-            np.add.at(self.refined.reshape(-1), (at * PATHS + node) * 2 + y, 1.0)
+            np.add.at(self.refined.reshape(-1), (at * PATHS + node) * 2 + y, ones[: len(y)])
 
     def state(self) -> np.ndarray:
         return np.concatenate([(self.weights * self.moved[:, None]).ravel(), self.moved, self.refined.ravel()])
@@ -171,16 +180,16 @@ class Mixer:
 
 
 def path_bits(tokens: Tokens, tables: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """Bits that coding the path of each token takes."""
+    """Bits that coding the path of each token takes, by tables[context, slot]."""
     size = tables.shape[1].bit_length() - 1
-    cost = np.zeros(len(tokens))
+    cost, grid = np.zeros(len(tokens)), refined.reshape(-1)
     for b, group, node, bit, slots in tokens.bits(size):
         odds, seen = _odds(tables, slots, None)
-        g = _gate(b, seen)
-        mixed = np.clip(sum(odds[i] * weights[g, i] for i in range(CONTEXTS)), -LIMIT, LIMIT)
+        mixed = np.clip(_mix(odds, weights, _gate(b, seen)), -LIMIT, LIMIT)
         at = (mixed + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))
-        low = np.minimum(at.astype(np.int32), STEPS - 1)
-        share = at - low
-        final = (mixed + refined[low, node] * (1 - share) + refined[low + 1, node] * share) * np.float32(0.5)
-        cost[group] += np.log1p(np.exp(np.where(bit == 1, -final, final)))
+        low = np.minimum(at.astype(np.int64), STEPS - 1)
+        share, place = at - low.astype(np.float32), low * PATHS + node
+        below = np.take(grid, place)
+        final = (mixed + below + (np.take(grid, place + PATHS) - below) * share) * np.float32(0.5)
+        cost[group] += np.log(1 + np.exp(final * (1 - 2 * bit).astype(np.float32)))
     return cost / np.log(2)
