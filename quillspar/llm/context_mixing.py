@@ -22,7 +22,7 @@ arrays, or one share of the vocabulary, and the tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,23 +238,23 @@ def _learned(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     return found, np.ones(len(found))
 
 
-def added(rows: DataFrame, kind: str = "f8") -> Iterator[tuple[int, np.ndarray]]:
-    """The sums of blobs (numbers of `kind`) by block, from rows of block, task, sums; added up in tasks."""
+def added(rows: DataFrame, kind: str = "f8", finish: Callable[[np.ndarray], np.ndarray] = np.asarray) -> Iterator[tuple[int, bytes]]:
+    """The sums of blobs (numbers of `kind`) by block, from rows of block, task, sums; added up and finished in tasks."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = None, None
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                 if block != last and last is not None:
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([total.tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([finish(total).tobytes()], pa.binary())})
                 part = np.frombuffer(blob, kind).astype(np.float64)
                 last, total = block, part if block != last else total + part
         if last is not None:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([total.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([finish(total).tobytes()], pa.binary())})
 
     dealt = rows.repartition("block").sortWithinPartitions("block", "task").mapInArrow(summed, "block long, sums binary")
-    for row in dealt.toLocalIterator():
-        yield row.block, np.frombuffer(row.sums, np.float64)
+    for row in dealt.toLocalIterator(prefetchPartitions=True):
+        yield row.block, row.sums
 
 
 _BLOCKS = "block long, task long, sums binary"
@@ -279,7 +279,8 @@ def count_tables(shares: DataFrame) -> np.ndarray:
         yield from _blocks(tables.reshape(-1), task, 2 * BLOCK)
 
     tables = np.zeros(ORDERS * 2 << TABLE_BITS, np.float32)
-    for block, sums in added(shares.mapInArrow(counted, _BLOCKS), "f4"):
+    for block, blob in added(shares.mapInArrow(counted, _BLOCKS), "f4", lambda x: x.astype(np.float32)):
+        sums = np.frombuffer(blob, np.float32)
         tables[block * 2 * BLOCK :][: len(sums)] = sums
     return tables.reshape(ORDERS, 1 << TABLE_BITS, 2)
 
@@ -296,8 +297,9 @@ def train_mixer(shares: DataFrame, shared) -> Mixer:
         state = np.concatenate([(mixer.weights * mixer.moved[:, None]).ravel(), mixer.moved, mixer.refined.ravel()])
         yield from _blocks(state, task, 1 << 20)
 
-    out, sums = Mixer(), None
-    for _, sums in added(shares.mapInArrow(learned, _BLOCKS)):  # one block
+    out = Mixer()
+    for _, blob in added(shares.mapInArrow(learned, _BLOCKS)):  # one block
+        sums = np.frombuffer(blob)
         moved = sums[GATES * ORDERS :][:GATES]
         seen = moved > 0
         out.weights[seen] = sums[: GATES * ORDERS].reshape(GATES, ORDERS)[seen] / moved[seen, None]
@@ -320,8 +322,8 @@ def path_sums(vocabulary: DataFrame, n_words: int) -> np.ndarray:
         yield from _blocks(sums, task, word_paths.PATHS)
 
     out = np.zeros(word_paths.PATHS)
-    for _, sums in added(vocabulary.filter("batch IS NULL").select("part", "words", "counts").mapInArrow(summed, _BLOCKS), "i8"):
-        out = sums
+    for _, blob in added(vocabulary.filter("batch IS NULL").select("part", "words", "counts").mapInArrow(summed, _BLOCKS), "i8"):
+        out = np.frombuffer(blob)
     return out
 
 
@@ -355,10 +357,13 @@ def sequence_tables(sequences: DataFrame, n_words: int) -> tuple[np.ndarray, np.
         yield from _blocks(tables.reshape(-1), task, 2 * BLOCK)
 
     out, without = np.zeros(word_paths.CONTEXTS << size, np.int16), np.zeros(word_paths.CONTEXTS << size + 1, np.int16)
-    for block, sums in added(sequences.mapInArrow(counted, _BLOCKS), "i4"):
-        now, less = word_paths.predictors(sums.reshape(-1, 2))
+    def finished(sums: np.ndarray) -> np.ndarray:
+        return np.concatenate([x.reshape(-1) for x in word_paths.predictors(sums.reshape(-1, 2))])
+
+    for block, blob in added(sequences.mapInArrow(counted, _BLOCKS), "i4", finished):
+        now, *less = np.split(np.frombuffer(blob, np.int16), 3)
         out[block * BLOCK :][: len(now)] = now
-        without[block * 2 * BLOCK :][: 2 * len(now)] = less.reshape(-1)
+        without[block * 2 * BLOCK :][: 2 * len(now)] = np.concatenate(less)
     return out.reshape(word_paths.CONTEXTS, -1), without.reshape(word_paths.CONTEXTS, -1)
 
 
@@ -372,10 +377,8 @@ def train_sequences(sequences: DataFrame, n_words: int, shared) -> tuple[np.ndar
             task = max(task, row["batch"])
         yield from _blocks(mixer.state(), task, 1 << 20)
 
-    found = None
-    for _, found in added(sequences.mapInArrow(learned, _BLOCKS)):  # one block of 210 000 numbers
-        pass
-    return word_paths.Mixer.prepared(found)
+    found = [np.frombuffer(blob) for _, blob in added(sequences.mapInArrow(learned, _BLOCKS))]  # one block of 210 000 numbers
+    return word_paths.Mixer.prepared(found[0] if found else None)
 
 
 def earlier_counts(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
