@@ -178,8 +178,27 @@ def word_bits(words: list[bytes], tables: np.ndarray, weights: np.ndarray, refin
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as a compressed blob, like bytes of theirs side by side."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def opened(blob: bytes, kind: type | str) -> np.ndarray:
+    kind, size = np.dtype(kind), int.from_bytes(blob[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _joined(words: list[bytes]) -> bytes:
+    return squeezed(np.frombuffer(b" ".join(words), np.uint8))
+
+
 def _split(blob: bytes) -> list[bytes]:
-    return blob.split(b" ") if blob else []
+    text = opened(blob, np.uint8).tobytes()
+    return text.split(b" ") if text else []
 
 
 def _gathered(shares: int, kind: pa.DataType):
@@ -195,13 +214,13 @@ def _gathered(shares: int, kind: pa.DataType):
             learned = np.repeat(~held, np.diff(words.starts))
             counts = np.bincount(words.codes[learned], minlength=len(part)).astype(np.int32)
             number = table.column("_file")[0].as_py() ^ (table.column("_row")[0].as_py() * 0x9E3779B97F4A7C15 & (1 << 63) - 1)
-            rows = [{"batch": number, "part": -1, "codes": words.codes.astype(np.uint32).tobytes(), "starts": words.starts.astype(np.int64).tobytes(), "hashes": hashes.tobytes(), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist(), "sizes": pc.binary_length(pc.fill_null(column(table, "text"), "")).to_numpy().astype(np.int64).tobytes()}]
+            rows = [{"batch": number, "part": -1, "codes": squeezed(words.codes.astype(np.uint32)), "starts": squeezed(words.starts.astype(np.int64)), "hashes": squeezed(hashes), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist(), "sizes": pc.binary_length(pc.fill_null(column(table, "text"), "")).to_numpy().astype(np.int64).tobytes()}]
             texts = np.array([v.encode() for v in words.vocabulary.to_pylist()], object)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(shares + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 own = order[cuts[p] : cuts[p + 1]]
-                rows.append({"batch": number, "part": p, "words": b" ".join(texts[own].tolist()), "counts": counts[own].tobytes()})
+                rows.append({"batch": number, "part": p, "words": _joined(texts[own].tolist()), "counts": squeezed(counts[own])})
             yield from pa.Table.from_pylist(rows, fields).to_batches(32)
 
     return run
@@ -214,19 +233,20 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in np.unique(numbers).tolist():
             table = several.filter(pa.array(numbers == part))
             blobs = column(table, "words").to_pylist()
-            flat = [w for x in blobs for w in _split(x)]
+            split = [_split(x) for x in blobs]
+            flat = [w for x in split for w in x]
             coded = pa.array(flat, pa.binary()).dictionary_encode()
-            counts = np.frombuffer(b"".join(column(table, "counts").to_pylist()), np.int32)
+            counts = np.concatenate([opened(x, np.int32) for x in column(table, "counts").to_pylist()])
             codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             order = sorted(range(len(words)), key=words.__getitem__)
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words), dtype=np.int32)
             sums = np.bincount(place[codes], counts, len(words)).astype(np.int64)
-            rows = [{"part": part, "batch": None, "words": b" ".join(words[i] for i in order), "counts": sums.tobytes(), "n": int(sums.sum()), "v": int((sums > 0).sum())}]
+            rows = [{"part": part, "batch": None, "words": _joined([words[i] for i in order]), "counts": squeezed(sums), "n": int(sums.sum()), "v": int((sums > 0).sum())}]
             at = 0
-            for batch, x in zip(column(table, "batch").to_pylist(), blobs, strict=True):
-                k = x.count(b" ") + 1
-                rows.append({"part": part, "batch": batch, "words": place[codes[at : at + k]].tobytes(), "counts": None, "n": 0, "v": 0})
+            for batch, x in zip(column(table, "batch").to_pylist(), split, strict=True):
+                k = len(x)
+                rows.append({"part": part, "batch": batch, "words": squeezed(place[codes[at : at + k]]), "counts": None, "n": 0, "v": 0})
                 at += k
             fields = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
             yield from pa.Table.from_pylist(rows, fields).to_batches(64)
@@ -234,7 +254,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learned(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     """The words met in training, each once."""
-    found = [w for w, c in zip(_split(words), np.frombuffer(counts, np.int64).tolist(), strict=False) if c > 0]
+    found = [w for w, c in zip(_split(words), opened(counts, np.int64).tolist(), strict=True) if c > 0]
     return found, np.ones(len(found))
 
 
@@ -247,7 +267,7 @@ def added(rows: DataFrame, kind: str = "f8", finish: Callable[[np.ndarray], np.n
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                 if block != last and last is not None:
                     yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([finish(total).tobytes()], pa.binary())})
-                part = np.frombuffer(blob, kind).astype(np.float64)
+                part = opened(blob, kind).astype(np.float64)
                 last, total = block, part if block != last else total + part
         if last is not None:
             yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([finish(total).tobytes()], pa.binary())})
@@ -264,7 +284,7 @@ def _blocks(flat: np.ndarray, task: int, size: int, offset: int = 0) -> Iterator
     """The parts of an array that aren't zero throughout, as rows for `added`."""
     for k in range(0, len(flat), size):
         if (part := flat[k : k + size]).any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([offset + k // size]), "task": pa.array([task]), "sums": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([offset + k // size]), "task": pa.array([task]), "sums": pa.array([squeezed(part)], pa.binary())})
 
 
 def count_tables(shares: DataFrame) -> np.ndarray:
@@ -314,7 +334,7 @@ def path_sums(vocabulary: DataFrame, n_words: int) -> np.ndarray:
         sums, task = np.zeros(word_paths.PATHS, np.int64), 0
         for batch in batches:
             for part, w, c in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "counts")), strict=True):
-                counts, words = np.frombuffer(c, np.int64), _split(w)
+                counts, words = opened(c, np.int64), _split(w)
                 hashes = (hash_strings(pa.array(words, pa.binary())) >> U64(32)).astype(np.uint32)
                 at = word_paths.paths(hashes, counts, n_words)
                 np.add.at(sums, at.astype(np.int64), counts)
@@ -332,9 +352,9 @@ def _tokens(row: dict, n_words: int, training: bool) -> tuple[word_paths.Tokens,
 
     For training, each word counts as often as it is met elsewhere.
     """
-    counts, starts = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["starts"], np.int64)
-    codes = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
-    tokens = word_paths.Tokens(np.frombuffer(row["hashes"], np.uint32), np.maximum(counts - 1, 0) if training else counts, codes, starts, n_words)
+    counts, starts = opened(row["counts"], np.int64), opened(row["starts"], np.int64)
+    codes = opened(row["codes"], np.uint32).astype(np.int64)
+    tokens = word_paths.Tokens(opened(row["hashes"], np.uint32), np.maximum(counts - 1, 0) if training else counts, codes, starts, n_words)
     return tokens, np.repeat(~np.array(row["held"], bool), np.diff(starts) + 1)
 
 
@@ -423,13 +443,13 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
             for part in np.unique(numbers).tolist():
                 rows = several.filter(pa.array(numbers == part)).to_pylist()
                 whole = next(r for r in rows if r["batch"] is None)
-                counts, words = np.frombuffer(whole["counts"], np.int64), _split(whole["words"])
+                counts, words = opened(whole["counts"], np.int64), _split(whole["words"])
                 cost, unknown = np.zeros(len(words), np.float32), np.flatnonzero(counts == 0)
                 cost[unknown] = word_bits([words[i] for i in unknown.tolist()], spelling.value, *speller.value)
                 for r in rows:
                     if r["batch"] is not None:
-                        at = np.frombuffer(r["words"], np.int32)
-                        yield pa.RecordBatch.from_pydict({"batch": pa.array([r["batch"]]), "part": pa.array([part]), "counts": pa.array([counts[at].tobytes()], pa.binary()), "bits": pa.array([cost[at].tobytes()], pa.binary())})
+                        at = opened(r["words"], np.int32)
+                        yield pa.RecordBatch.from_pydict({"batch": pa.array([r["batch"]]), "part": pa.array([part]), "counts": pa.array([squeezed(counts[at])], pa.binary()), "bits": pa.array([squeezed(cost[at])], pa.binary())})
 
     answers = vocabulary.select("part", "batch", "words", "counts").repartition(shares, "part").sortWithinPartitions("part")
     answers = answers.mapInArrow(coded, "batch long, part long, counts binary, bits binary")
@@ -442,16 +462,16 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
             for batch in np.unique(numbers):
                 rows = several.filter(pa.array(numbers == batch)).to_pylist()
                 whole = next(r for r in rows if r["part"] < 0)
-                part = np.frombuffer(whole["hashes"], np.uint32) % np.uint32(shares)
+                part = opened(whole["hashes"], np.uint32) % np.uint32(shares)
                 counts, bits = np.zeros(len(part), np.int64), np.zeros(len(part), np.float32)
                 order = np.argsort(part, kind="stable")
                 cuts = dict(zip(*np.unique(part[order], return_index=True), strict=True))
                 for r in rows:
                     if r["part"] >= 0:
-                        c = np.frombuffer(r["counts"], np.int64)
+                        c = opened(r["counts"], np.int64)
                         at = order[cuts[r["part"]] : cuts[r["part"]] + len(c)]
-                        counts[at], bits[at] = c, np.frombuffer(r["bits"], np.float32)
-                yield from pa.Table.from_pylist([whole | {"counts": counts.tobytes(), "bits": bits.tobytes()}], fields).to_batches()
+                        counts[at], bits[at] = c, opened(r["bits"], np.float32)
+                yield from pa.Table.from_pylist([whole | {"counts": squeezed(counts), "bits": squeezed(bits)}], fields).to_batches()
 
     waiting = gathered.filter("part < 0").select("batch", "part", "codes", "starts", "hashes", "doc_ids", "held", "sizes").unionByName(answers, allowMissingColumns=True)
     waiting = waiting.repartition("batch").sortWithinPartitions("batch", "part")
@@ -467,15 +487,15 @@ def score(docs: DataFrame, holdout: int = 10) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            counts, spelled = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["bits"], np.float32)
-            codes, starts = np.frombuffer(row["codes"], np.uint32).astype(np.int64), np.frombuffer(row["starts"], np.int64)
+            counts, spelled = opened(row["counts"], np.int64), opened(row["bits"], np.float32)
+            codes, starts = opened(row["codes"], np.uint32).astype(np.int64), opened(row["starts"], np.int64)
             k, length = len(starts) - 1, np.diff(starts)
             owner = np.repeat(np.arange(k), length)
             sums = np.bincount(owner, np.log10((counts + 0.1) / low)[codes], k) + np.log10((n_ends + 0.1) / low)
             known = np.bincount(owner, (counts > 0)[codes], k).astype(np.int64) + int(n_ends > 0)
             tokens, _ = _tokens(row, n_words, False)
             cost = word_paths.path_bits(tokens, tables.value, *mixer.value)
-            path = word_paths.paths(np.frombuffer(row["hashes"], np.uint32), counts, n_words).astype(np.int64)
+            path = word_paths.paths(opened(row["hashes"], np.uint32), counts, n_words).astype(np.int64)
             after = np.where(counts > 0, np.log2(np.maximum(alike[path], 1) / np.maximum(counts, 1)), spelled)
             mixed, end = np.exp2(-cost[tokens.is_word] - after[codes]), np.exp2(-cost[tokens.ends])
             place = np.arange(len(codes)) - np.repeat(starts[:-1], length)
