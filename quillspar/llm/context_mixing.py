@@ -258,8 +258,11 @@ def _learned(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     return found, np.ones(len(found))
 
 
-def added(rows: DataFrame, kind: str = "f8", finish: Callable[[np.ndarray], np.ndarray] = np.asarray) -> Iterator[tuple[int, bytes]]:
-    """The sums of blobs (numbers of `kind`) by block, from rows of block, task, sums; added up and finished in tasks."""
+def added(rows: DataFrame, kind: str = "f8", finish: Callable[[np.ndarray], np.ndarray] = np.asarray, tasks: int = 16) -> Iterator[tuple[int, bytes]]:
+    """The sums of blobs (numbers of `kind`) by block, from rows of block, task, sums; added up and finished in tasks.
+
+    The tasks reach the driver one after the other, so there are few; a single one is for sums of one block.
+    """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = None, None
@@ -272,7 +275,7 @@ def added(rows: DataFrame, kind: str = "f8", finish: Callable[[np.ndarray], np.n
         if last is not None:
             yield pa.RecordBatch.from_pydict({"block": pa.array([last]), "sums": pa.array([finish(total).tobytes()], pa.binary())})
 
-    dealt = rows.repartition("block").sortWithinPartitions("block", "task").mapInArrow(summed, "block long, sums binary")
+    dealt = rows.repartition(tasks, "block").sortWithinPartitions("block", "task").mapInArrow(summed, "block long, sums binary")
     for row in dealt.toLocalIterator(prefetchPartitions=True):
         yield row.block, row.sums
 
@@ -318,7 +321,7 @@ def train_mixer(shares: DataFrame, shared) -> Mixer:
         yield from _blocks(state, task, 1 << 20)
 
     out = Mixer()
-    for _, blob in added(shares.mapInArrow(learned, _BLOCKS)):  # one block
+    for _, blob in added(shares.mapInArrow(learned, _BLOCKS), tasks=1):
         sums = np.frombuffer(blob)
         moved = sums[GATES * ORDERS :][:GATES]
         seen = moved > 0
@@ -342,7 +345,7 @@ def path_sums(vocabulary: DataFrame, n_words: int) -> np.ndarray:
         yield from _blocks(sums, task, word_paths.PATHS)
 
     out = np.zeros(word_paths.PATHS)
-    for _, blob in added(vocabulary.filter("batch IS NULL").select("part", "words", "counts").mapInArrow(summed, _BLOCKS), "i8"):
+    for _, blob in added(vocabulary.filter("batch IS NULL").select("part", "words", "counts").mapInArrow(summed, _BLOCKS), "i8", tasks=1):
         out = np.frombuffer(blob)
     return out
 
@@ -397,7 +400,7 @@ def train_sequences(sequences: DataFrame, n_words: int, shared) -> tuple[np.ndar
             task = max(task, row["batch"])
         yield from _blocks(mixer.state(), task, 1 << 20)
 
-    found = [np.frombuffer(blob) for _, blob in added(sequences.mapInArrow(learned, _BLOCKS))]  # one block of 210 000 numbers
+    found = [np.frombuffer(blob) for _, blob in added(sequences.mapInArrow(learned, _BLOCKS), tasks=1)]  # one block of 210 000 numbers
     return word_paths.Mixer.prepared(found[0] if found else None)
 
 
