@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.llm import chat, context_mixing, cotraining, decontamination, divergence, licenses, line_rules, mixing, near_dedup, repeats, warc, whitening
+from quillspar.llm import chat, context_mixing, cotraining, decontamination, divergence, licenses, line_rules, mixing, near_dedup, private_data, repeats, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.locate(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cotraining": op1_cotraining, "op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op4_role_repair": op4_role_repair, "op5_warc_round_trip": op5_warc_round_trip, "op6_suffix_dedup": op6_suffix_dedup, "op7_source_mix": op7_source_mix, "op8_string_tiling": op8_string_tiling, "op9_license_scan": op9_license_scan, "op10_context_mixing": op10_context_mixing, "op11_source_divergence": op11_source_divergence, "op12_embedding_whitening": op12_embedding_whitening}
+    return {"op1_cotraining": op1_cotraining, "op2_lsh_forest": op2_lsh_forest, "op3_line_frequency": op3_line_frequency, "op4_role_repair": op4_role_repair, "op5_warc_round_trip": op5_warc_round_trip, "op6_suffix_dedup": op6_suffix_dedup, "op7_source_mix": op7_source_mix, "op8_string_tiling": op8_string_tiling, "op9_license_scan": op9_license_scan, "op10_context_mixing": op10_context_mixing, "op11_source_divergence": op11_source_divergence, "op12_embedding_whitening": op12_embedding_whitening, "op13_private_data": op13_private_data}
 
 
 def oracle_sql() -> dict[str, str]:
