@@ -36,17 +36,33 @@ def located(docs: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """`columns` of docs with the stable identity of each row: _file (hash of its path), _block (start of its split), _row.
 
     With a `prefix` the columns carry it, so that no name of theirs can clash with the operator's own. A frame that isn't
-    a plain scan is written to the scratch folder first, so that a later pass sees the same rows.
+    a plain scan is written to the scratch folder first; an operator that locates its rows twice settles them before.
     """
     light_batches(docs.sparkSession)
     meta = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.row_index").alias("_row")]
     picked = [quoted(c).alias(prefix + c) for c in columns]
+    if is_scan(docs):
+        return docs.select(*picked, *meta)
+    return write_table(docs.select(*picked), "rows").select(*[quoted(prefix + c) for c in columns], *meta)
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a file: a scan under projections and deterministic filters, nothing else."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
+        return False
     try:
-        out = docs.select(*picked, *meta)
-        out.schema  # noqa: B018  resolves the hidden columns
-        return out
+        docs.select("_metadata.file_path", "_metadata.file_block_start", "_metadata.row_index").schema  # noqa: B018  resolves the hidden columns
     except AnalysisException:
-        return write_table(docs.select(*picked), "rows").select(*[quoted(prefix + c) for c in columns], *meta)
+        return False
+    return True
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs if it is a plain scan, else its rows written to the scratch folder, so that all passes see the same ones."""
+    return docs if is_scan(docs) else write_table(docs, "rows")
 
 
 def quoted(name: str) -> Column:

@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspar.llm.common import MIX1, U64, Words, column, grams, hash_strings, located, mix64, narrow_join, plain_words, sized_batches, unprefixed
+from quillspar.llm.common import MIX1, U64, Words, column, grams, hash_strings, located, mix64, narrow_join, plain_words, settled, sized_batches, unprefixed
 from quillspar.session import write_table
 
-SEED, MIN_TILE, COVERAGE, FIRST_LENGTH = 5, 3, 0.8, 20
+MIN_TILE, COVERAGE, FIRST_LENGTH = 3, 0.8, 20
+#: A seed is as wide as the narrowest tile, so that no pair that tiling could cover goes unmet.
+SEED = MIN_TILE
 BLOCK_BYTES, BATCH_BYTES = 4 << 20, 3 << 20
 
 
@@ -211,6 +213,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, b
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """docs without the contaminated documents."""
+    docs = settled(docs)
     gone = write_table(tilings(docs, benchmark, coverage).filter("contaminated").select("_file", "_row"), "gone")
     names = docs.columns
     return unprefixed(narrow_join(located(docs, names, "d_").drop("_block"), gone, ["_file", "_row"], "left_anti"), names, "d_")

@@ -45,8 +45,8 @@ def rules() -> tuple[Rule, ...]:
     found = []
     for line in SIGNATURES.strip().split("\n"):
         label, keyword, priority, regex = line.split(" ", 3)
-        regex = re.sub(r"\blicense\b", "licen[cs]e", regex)
-        found.append(Rule(label, keyword, int(priority), WEIGHTS[int(priority)], re.compile(rf"(?<!\S)(?:{regex})(?!\S)")))
+        regex = re.sub(r"\blicense\b", "licen[cs]e", regex).replace(r"\S", "[^ ]")
+        found.append(Rule(label, keyword, int(priority), WEIGHTS[int(priority)], re.compile(rf"(?<![^ ])(?:{regex})(?![^ ])")))
     return tuple(sorted(found, key=lambda r: r.priority))
 
 
@@ -106,7 +106,7 @@ def detect(words: list[str], keywords: set[str]) -> list[tuple[int, int, Rule]]:
 
 def places(text: str, phrase: str) -> np.ndarray:
     """Character positions where the phrase's words stand consecutively in normalised text; places may overlap."""
-    return np.array([m.start() for m in re.finditer(rf"(?<!\S)(?={re.escape(phrase)}(?!\S))", text)], np.int64)
+    return np.array([m.start() for m in re.finditer(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))", text)], np.int64)
 
 
 def scan_batch(texts: pa.Array) -> dict[str, list]:

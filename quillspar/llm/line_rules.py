@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, quoted, sized_batches
+from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, quoted, settled, sized_batches
 from quillspar.session import write_table
 
 MIN_DOCUMENTS, MAX_SHARE, DEPLETED_PERCENT = 10, 0.01, 70
@@ -153,6 +153,7 @@ def _stripped(columns: list[str]):
 
 def clean(docs: DataFrame, **options: object) -> DataFrame:
     """The kept documents, with docs' columns, their texts without the removed lines."""
+    docs = settled(docs)
     verdicts = judge(docs, **options)
     touched = write_table(verdicts.filter(~F.col("kept") | (F.col("removed_words") > 0)).select("_file", "_row", "kept", "removed"), "touched")
     names = docs.columns

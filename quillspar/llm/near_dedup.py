@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, sized_batches, unprefixed, whole_groups
+from quillspar.llm.common import U64, Words, column, grams, hash_strings, located, mix64, narrow_join, settled, sized_batches, unprefixed, whole_groups
 from quillspar.llm.components import components
 from quillspar.session import write_table
 
@@ -298,6 +298,7 @@ def full_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int)
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: its identity (_file, _row), doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+    docs = settled(docs)
     kind = dict(docs.dtypes)["doc_id"]
     rows = located(docs, ["doc_id", "text"]).drop("_block")
     signed = write_table(rows.mapInArrow(_signed(width), f"doc_id {kind}, _file long, _row long, n_shingles long, node binary, signature binary"), "signed")
@@ -324,6 +325,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without near-duplicates: of each component the row of the smallest doc_id (of equal ones, one row)."""
+    docs = settled(docs)
     linked = write_table(link(docs, width, percent), "linked")
     first = linked.filter("kept AND n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct("_file", "_row")).alias("x"))
     twice = write_table(first.filter("n > 1"), "twice")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import MIX1, U64, column, located, mix64, narrow_join, quoted, sized_batches, whole_groups
+from quillspar.llm.common import MIX1, U64, column, located, mix64, narrow_join, quoted, settled, sized_batches, whole_groups
 from quillspar.session import fits_broadcast, write_table
 
 LENGTH, TUPLE, RATE = 200, 64, 32
@@ -308,6 +308,7 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated strings cut out of their texts; bytes of a character that a cut splits go too."""
+    docs = settled(docs)
     cuts = write_table(find(docs, length).filter("n_removed > 0").select("_file", "_row", "spans"), "cuts")
     names, schema = docs.columns, docs.schema
 
