@@ -1,13 +1,12 @@
-"""Streaming counterparts: debounced change feeds, token buckets and incremental rebuilds."""
+"""Streaming counterparts: debounced change feeds and token buckets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspar.operators.changes import Bucket
@@ -31,8 +30,3 @@ def rate_limited(calls: DataFrame, key: str, most: int, window_ms: int) -> DataF
         state.update((bucket.tokens, bucket.since))
 
     return calls.select(key, "event_id", "at_ms").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, at_ms long, allowed boolean", "tokens long, since long", "append", GroupStateTimeout.NoTimeout)
-
-
-def rebuild_on_change(files: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Call `rebuild` with the changed files of each micro-batch."""
-    return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(rebuild).start()
