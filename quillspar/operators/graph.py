@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
+from quillspar.session import drop_table, write_table
 
 MOST_CYCLES, LONGEST = 50, 20
 
@@ -40,18 +41,89 @@ def back_edges(order: list[str], out: dict[str, list[str]]) -> list[list[str]]:
     return found
 
 
+def _least_ahead(edges: DataFrame, seed: int) -> DataFrame:
+    """(node, least): of all nodes from which a path leads to a node, itself included, the one of least rank.
+
+    Ranks are hashes by `seed`. What is known spreads along the edges and jumps: the least of a node's least counts too,
+    so a long path takes about as many rounds as its length has bits.
+    """
+    own = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("rank"), F.col(c).alias("node"))
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    known = write_table(ends.select("node", own("node").alias("least")), "least")
+    while True:
+        ahead = edges.join(known, edges["src"] == known["node"]).select(F.col("dst").alias("node"), "least")
+        spread = known.unionByName(ahead).groupBy("node").agg(F.min("least").alias("least"))
+        via = known.select(F.col("node").alias("_via"), F.col("least").alias("_least"))
+        jumped = spread.join(via, spread["least"]["node"] == via["_via"], "left").select("node", F.least("least", "_least").alias("least"))
+        moved = write_table(jumped, "least")
+        settled = moved.exceptAll(known).isEmpty()
+        drop_table(known)
+        known = moved
+        if settled:
+            return known
+
+
+def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
+    """(node, root, size) of the nodes that lie on a cycle of edges (src, dst): their strongly connected component's least node and size.
+
+    In each round every node learns the node of least random rank that leads to it, and that it leads to. Where both are
+    one, the node is of that one's component; edges whose ends learned different nodes lie on no cycle. The random ranks
+    cut what is left near its middle, so some log2(nodes) rounds do. Before a round, nodes that nothing enters or
+    leaves go, a few times. A node with an edge to itself is on a cycle. Nulls are no nodes.
+    """
+    whole = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    found = write_table(whole.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root")), "loops")
+    left, seed = write_table(whole.filter("src <> dst"), "left"), 0
+    while True:
+        kept = left
+        for _ in range(trims):
+            kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = write_table(kept.select("src", "dst"), "left")
+        drop_table(left)
+        left = kept
+        if left.isEmpty():
+            break
+        to = _least_ahead(left, seed)
+        back = _least_ahead(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seed)
+        both = write_table(to.select("node", F.col("least.node").alias("to")).join(back.select("node", F.col("least.node").alias("back")), "node"), "both")
+        done = write_table(found.unionByName(both.filter("to = back").select("node", F.col("to").alias("root"))), "found")
+        open_ = both.filter("to <> back")
+        ends = [open_.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"), F.col("back").alias(f"back_{c}")) for c in ("src", "dst")]
+        kept = left.join(ends[0], "src").join(ends[1], "dst").filter("to_src = to_dst AND back_src = back_dst")
+        kept = write_table(kept.select("src", "dst"), "left")
+        for df in (found, left, to, back, both):
+            drop_table(df)
+        found, left, seed = done, kept, seed + 1
+    # a looped node may have been found twice, and a node alone in its component is on no cycle but its own loop
+    sized = found.groupBy("root").agg(F.count_distinct("node").alias("size"), F.min("node").alias("least"))
+    loops = whole.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
+    every = found.join(sized, "root").join(loops, "node", "left").filter("size > 1 OR loop")
+    return every.groupBy("node").agg(F.max_by(F.struct("least", "size"), "size").alias("c")).select("node", F.col("c.least").alias("root"), F.col("c.size").alias("size"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(repo, n, cycle) of edges (repo, src, dst, ord): depth-first by repository, which bounds a group by one repository."""
+    """(repo, n, cycle) of edges (repo, src, dst, ord): depth-first inside each strongly connected component.
+
+    Components come in the order of their first edges, and a component is walked from the source of its first edge; of a
+    repository the first MOST_CYCLES cycles are given. A group is a component, not a repository.
+    """
+    named = edges.select(F.struct("repo", F.col("src").alias("key")).alias("src"), F.struct("repo", F.col("dst").alias("key")).alias("dst"), "ord")
+    parts = strong_components(named).select("node", "root")
+    inner = named.join(parts.select(F.col("node").alias("src"), "root"), "src").join(parts.select(F.col("node").alias("dst"), F.col("root").alias("dst_root")), "dst").filter("root = dst_root")
+    inner = inner.select(F.col("src.repo").alias("repo"), F.col("root.key").alias("root"), F.col("src.key").alias("src"), F.col("dst.key").alias("dst"), "ord")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
         out: dict[str, list[str]] = {}
-        for s, d in zip(*(pdf.sort_values("ord")[c] for c in ("src", "dst")), strict=True):
+        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
             out.setdefault(s, []).append(d)
             out.setdefault(d, [])
         found = back_edges(list(out), out)
-        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(found), "n": range(len(found)), "cycle": [" > ".join(c) for c in found]})
+        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(found), "at": [int(pdf["ord"].iloc[0])] * len(found), "n": range(len(found)), "cycle": [" > ".join(c) for c in found]})
 
-    return edges.groupBy("repo").applyInPandas(run, "repo string, n long, cycle string")
+    walked = inner.groupBy("repo", "root").applyInPandas(run, "repo string, at long, n long, cycle string")
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("at", "n")).cast("long") - 1
+    return walked.withColumn("n", place).filter(F.col("n") < MOST_CYCLES).select("repo", "n", "cycle")
 
 
 def reachable(edges: DataFrame, hops: int) -> DataFrame:

@@ -12,7 +12,7 @@ from quillspar.operators import documents, graph, parsing
 from quillspar.plans.base import query, sql_first_match, sql_in
 from quillspar.plans.structure import FILES, MODULES, NODES, counted, files, measured
 from quillspar.sources import repository
-from quillspar.sources.adapters import EDGES, edges, quoted, read, sql_values, values
+from quillspar.sources.adapters import CODE_EDGES, EDGES, code, edges, quoted, read, sql_values, values
 
 CORPUS = [
     (0, "src/app.js", 'import { a } from "./lib/a";\nimport b from \'./lib/b.js\';\nconst c = require("../other/c");\nimport "node:fs";\nimport x from "@scope/pkg/deep";\nexport { y } from "lodash/fp";\napp.get("/users", h);\napp.post(\'/users\', h);\nrouter.route("/items").get(h).delete(h);\nfetch("https://api.github.com/x");\n'),
@@ -183,7 +183,32 @@ def reachable_nodes(spark, sf_dir):
 
 @query(f"WITH RECURSIVE r(src, dst, hop) AS (SELECT src, dst, 1 FROM {EDGES} UNION SELECT r.src, e.dst, hop + 1 FROM r JOIN {EDGES} e ON r.dst = e.src WHERE hop < 8) SELECT DISTINCT src AS key FROM r WHERE src = dst")
 def nodes_on_cycles(spark, sf_dir):
-    return graph.reachable(edges(spark, sf_dir), 8).filter("src = dst").select(F.col("src").alias("key"))
+    return graph.strong_components(edges(spark, sf_dir)).select(F.col("node").alias("key"))
+
+
+@query("""SELECT doc_id AS key, doc_id // 5 * 5 AS root, 5::BIGINT AS size FROM documents WHERE (doc_id // 5) % 2 = 0 AND doc_id // 5 * 5 + 4 <= (SELECT max(doc_id) FROM documents)
+UNION ALL SELECT doc_id, doc_id, 1 FROM documents WHERE (doc_id // 5) % 2 = 1 AND doc_id % 35 = 6""")
+def document_components(spark, sf_dir):
+    """Rows of five documents, every second closed to a ring, each row with an edge into a later one; some documents name themselves."""
+    d = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    row = F.floor(d / 5)
+    to = F.array(F.when(d % 5 < 4, d + 1), F.when((d % 5 == 4) & (row % 2 == 0), d - 4), F.when(d % 5 == 2, (row * 2 + 1) * 5), F.when((d % 35 == 6) & (row % 2 == 1), d))
+    links = docs.select(d.alias("src"), F.explode(F.array_compact(to)).alias("dst")).join(docs.withColumnRenamed("doc_id", "dst"), "dst", "left_semi")
+    return graph.strong_components(links).withColumnRenamed("node", "key")
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT src, dst FROM {CODE_EDGES} UNION SELECT 'src/m' || (a % 20) || '/f' || a, 'src/m' || (b % 20) || '/f' || b FROM (SELECT doc_id AS a, doc_id + 1 - 2 * (doc_id % 6) AS b FROM documents WHERE doc_id % 6 IN (0, 1)) WHERE b <= (SELECT max(doc_id) FROM documents)),
+r(src, dst, hop) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, hop + 1 FROM r JOIN e ON r.dst = e.src WHERE hop < 12) SELECT DISTINCT src AS key FROM r WHERE src = dst""")
+def files_on_cycles(spark, sf_dir):
+    """Files that import themselves by way of others: imports of `code`, and pairs of neighbours by id that name each other."""
+    known = parsing.import_edges(code(spark, sf_dir))
+    name = lambda x: F.concat(F.lit("src/m"), (x % 20).cast("string"), F.lit("/f"), x.cast("string"))
+    d, last = F.col("doc_id"), read(spark, sf_dir, "documents").agg(F.max("doc_id")).scalar()
+    pair = read(spark, sf_dir, "documents").filter((d % 6).isin(0, 1)).withColumn("other", d + 1 - 2 * (d % 6)).filter(F.col("other") <= last)
+    added = pair.select(name(d).alias("src"), name(F.col("other")).alias("dst"))
+    return graph.strong_components(known.union(added)).select(F.col("node").alias("key"))
 
 
 @query(golden([("a", 0, "x > y > x"), ("a", 1, "x > y > z > x"), ("b", 0, "p > p")], "repo, n, cycle"))
