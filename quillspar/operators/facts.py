@@ -52,11 +52,11 @@ def findings_in_place(files: DataFrame) -> DataFrame:
 
     def one(source: str) -> list[tuple]:
         plain = parsing.strip_comments(source)
-        rows, held = [], None
+        rows, held, place = [], None, parsing.line_of(plain)
         for i, category, severity, cwe, pattern in compiled:
             for m in pattern.finditer(plain):
                 held = plain.split("\n") if held is None else held
-                line = plain.count("\n", 0, m.start()) + 1
+                line = place(m.start())
                 snippet = "\n".join(held[max(0, line - 2) : line + 1]).strip()
                 rows.append((i, category, i.replace("-", " "), severity, cwe, line, snippet[:MOST_SNIPPET] + "..." * (len(snippet) > MOST_SNIPPET)))
         return rows

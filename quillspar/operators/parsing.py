@@ -1,14 +1,14 @@
 """Facts read from source text: routes, imports, exports, functions, findings, schemas and types.
 
 Patterns with alternations over characters are written with possessive quantifiers, so that long literals don't exhaust
-the JVM's stack. Positions are taken from the text before a match: each table function yields the matches in order.
+the JVM's stack. Matches with their places come from one pass over a text, by Arrow batches.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,15 +27,46 @@ IMPORTS = (
 )
 
 
+#: Matches of a batch on their way to the JVM.
+MATCHES = 8192
+
+
 def matches(df: DataFrame, content: str, pattern: str, group: int = 1) -> DataFrame:
-    """df exploded by the matches of `pattern` (leftmost, not overlapping): n from 0, hit, and its 1-based line."""
-    segments = F.regexp_extract_all(F.col(content), F.lit(f"(?s)(.*?)(?-s:{pattern})"), F.lit(0))
-    gaps = F.regexp_extract_all(F.col(content), F.lit(f"(?s)(.*?)(?-s:{pattern})"), F.lit(1))
-    hits = F.regexp_extract_all(F.col(content), F.lit(f"(?s)(.*?)(?-s:{pattern})"), F.lit(group + 1))
-    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    at = lambda i: F.aggregate(F.slice(segments, 1, i), F.lit(0), lambda acc, x: acc + newlines(x)) + newlines(F.element_at(gaps, i + 1)) + 1
-    rows = F.transform(hits, lambda hit, i: F.struct(i.alias("n"), hit.alias("hit"), at(i).alias("line")))
-    return df.withColumn("_m", F.explode(rows)).select("*", "_m.n", "_m.hit", "_m.line").drop("_m")
+    """A row for each match of `pattern` (leftmost, not overlapping): df's other columns, n from 0, hit, and its 1-based line.
+
+    One pass over a text, whose newlines are counted from match to match; the text itself isn't carried along.
+    """
+    rest = [c for c in df.columns if c != content]
+    schema = StructType([df.schema[c] for c in rest]).add("n", "integer").add("hit", "string").add("line", "integer")
+    compiled = re.compile(pattern, re.A)
+
+    def batch_of(batch: pa.RecordBatch, found: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
+        row, n, hit, line = zip(*found, strict=True)
+        columns = [batch.column(c).take(pa.array(row, pa.int64())) for c in rest]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(hit, pa.string()), pa.array(line, pa.int32())], names=[*rest, "n", "hit", "line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, str, int]] = []
+            for row, source in enumerate(batch.column(content).to_pylist()):
+                at, line = 0, 1
+                for n, m in enumerate(compiled.finditer(source or "")):
+                    line += source.count("\n", at, m.start())
+                    at = m.start()
+                    found.append((row, n, m[group] or "", line))
+                    if len(found) == MATCHES:
+                        yield batch_of(batch, found)
+                        found = []
+            if found:
+                yield batch_of(batch, found)
+
+    return df.select(*rest, content).mapInArrow(run, schema)
+
+
+def line_of(source: str) -> Callable[[int], int]:
+    """The 1-based line of a position, from one look at the text's newlines."""
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    return lambda at: bisect.bisect_left(breaks, at) + 1
 
 
 def strip_comments(source: str) -> str:
@@ -63,7 +94,8 @@ def functions_of(source: str) -> list[tuple[str, int, int]]:
     """(name, line, complexity) of each function; a body runs to the next function or the end."""
     found = sorted(((m.start(), k, m[1]) for k, p in enumerate(_FUNCTIONS) for m in re.finditer(p, source, re.A)), key=lambda x: x[:2])
     ends = [x[0] for x in found[1:]] + [len(source)] * bool(found)
-    return [(name, source.count("\n", 0, a) + 1, complexity(source[a:b])) for (a, _, name), b in zip(found, ends, strict=True)]
+    line = line_of(source)
+    return [(name, line(a), complexity(source[a:b])) for (a, _, name), b in zip(found, ends, strict=True)]
 
 
 def _per_row(df: DataFrame, function, ddl: str, names: list[str] | None = None) -> DataFrame:
@@ -100,7 +132,8 @@ def findings(files: DataFrame) -> DataFrame:
 
     def one(source: str) -> list[tuple]:
         plain = strip_comments(source)
-        return [(i, s, c, plain.count("\n", 0, m.start()) + 1) for i, s, c, p in compiled for m in p.finditer(plain)]
+        line = line_of(plain)
+        return [(i, s, c, line(m.start())) for i, s, c, p in compiled for m in p.finditer(plain)]
 
     return _per_row(files.filter(~F.col("path").rlike(rules.SKIPPED + "|" + rules.CONFIG_FILE)), one, "id string, severity string, cwe string, line long")
 
@@ -312,16 +345,17 @@ def _exported(source: str) -> Iterator[tuple[re.Match, str, dict | None]]:
 
 def exports_of(source: str) -> list[tuple]:
     """(name, kind, line, description, params, returns, deprecated): exports with the comment right before them."""
-    found = []
+    found, line = [], line_of(source)
     for m, kind, doc in _exported(source):
         params = ",".join(f"{p['name']}{'?' if p['optional'] else ''}:{p['type']}" for p in doc["params"]) if doc else None
-        found.append((m[1] or "default", kind, source.count("\n", 0, m.start()) + 1, doc and doc["description"], params, doc and doc["returns"] and doc["returns"]["type"], doc and doc["deprecated"]))
+        found.append((m[1] or "default", kind, line(m.start()), doc and doc["description"], params, doc and doc["returns"] and doc["returns"]["type"], doc and doc["deprecated"]))
     return found
 
 
 def documented(source: str) -> list[tuple[str, str, int, dict]]:
     """(name, kind, line, whole comment) of the exports that have one."""
-    return [(m[1] or "default", kind, source.count("\n", 0, m.start()) + 1, doc) for m, kind, doc in _exported(source) if doc]
+    line = line_of(source)
+    return [(m[1] or "default", kind, line(m.start()), doc) for m, kind, doc in _exported(source) if doc]
 
 
 def exports(files: DataFrame) -> DataFrame:

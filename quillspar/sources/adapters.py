@@ -59,7 +59,10 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What the files of `code` hold, told by their ids alone.
 CODE = "(SELECT doc_id AS d, 'src/m' || (doc_id % 20) || '/f' || doc_id AS key, doc_id % 3 + 1 AS nf FROM documents)"
 CODE_EDGES = f"(SELECT DISTINCT c.key AS src, t.key AS dst FROM {CODE} c, (VALUES (0), (1), (2)) AS v(i) JOIN {CODE} t ON t.d = c.d // (i + 2) WHERE c.d % 4 > i AND t.d < c.d)"
-CODE_FINDINGS = f"""(SELECT key || '.js' AS path, id, category, severity, cwe FROM {CODE}, (VALUES (5, 'eval-usage', 'Code Injection', 'high', 'CWE-95'), (3, 'shell-true', 'Command Injection', 'medium', 'CWE-78'),
+#: Lines before the functions of a file of `code`, and up to the end of its functions. A match of eval begins with the newline before it.
+CODE_HEAD = "(d % 4 + CASE WHEN d % 2 = 0 THEN 1 WHEN d % 10 = 1 THEN 5 ELSE 1 END)"
+CODE_BODY = f"({CODE_HEAD} + (d % 3 + 1) * (2 + d % 13) + (d % 3 + 1) * (d % 3) // 2)"
+CODE_FINDINGS = f"""(SELECT key || '.js' AS path, id, category, severity, cwe, {CODE_BODY} + CASE WHEN k = 5 THEN 0 ELSE 1 END + CASE WHEN k <> 5 AND d % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k = 7 AND d % 3 = 0 THEN 1 ELSE 0 END AS line FROM {CODE}, (VALUES (5, 'eval-usage', 'Code Injection', 'high', 'CWE-95'), (3, 'shell-true', 'Command Injection', 'medium', 'CWE-78'),
   (7, 'math-random-security', 'Insecure Randomness', 'low', 'CWE-330')) AS v(k, id, category, severity, cwe) WHERE d % k = 0)"""
 
 
@@ -89,3 +92,21 @@ def sql_values(rows: Sequence[tuple], names: str) -> str:
     literal = lambda x: str(x) if isinstance(x, int | float) and not isinstance(x, bool) else str(x).lower() if isinstance(x, bool) else "[" + ", ".join(map(literal, x)) + "]" if isinstance(x, list) else quoted(x)
     listed = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {listed}) AS v({names}))"
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, path, content): documents as server routes, page routes, schemas and type declarations by turns, told by their ids.
+
+    The document's text stands in a comment at the end.
+    """
+    d = F.col("doc_id")
+    n = lambda x: x.cast("string")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")), F.lit("\n"), F.lit("\n// "))
+    server = F.concat(F.lit('app.get("/r'), n(d % 7), F.lit("\", h);\napp.post('/r"), n(d % 7), F.lit("', h);\n\nrouter.route(\"/i"), n(d % 5), F.lit('").get(h).delete(h);\n'))
+    pages = F.concat(F.lit('import { Route } from "react-router";\n<Route path="/h'), n(d % 9), F.lit('" />\n<Route exact path="*" />\n  path: "/o'), n(d % 4), F.lit('",\n'))
+    schema = F.concat(F.lit("type T"), n(d), F.lit(" {\n  id: ID!\n  # note\n  f"), n(d % 3), F.lit("(a: Int): Int\n}\nenum E"), n(d), F.lit(" {\n  A\n  B\n}\nunion U"), n(d), F.lit(" = T"), n(d), F.lit(" | Other;\n"))
+    types = F.concat(F.lit("export interface A"), n(d), F.lit(" extends B"), n(d), F.lit(" { x: string }\ninterface B"), n(d), F.lit(" {}\ntype C"), n(d), F.lit(" = A"), n(d), F.lit(" | Map<string, B"), n(d), F.lit(">;\nclass K"), n(d), F.lit(" implements A"), n(d), F.lit(" {}\n"))
+    turn = d % 4
+    ending = F.when(turn == 0, ".js").when(turn == 1, ".tsx").when(turn == 2, ".graphql").otherwise(".ts")
+    content = F.concat(F.when(turn == 0, server).when(turn == 1, pages).when(turn == 2, schema).otherwise(types), F.lit("/* "), text, F.lit(" */"))
+    return read(spark, sf_dir, "documents").select(d.alias("ord"), F.concat(F.lit("src/s"), n(d), ending).alias("path"), content.alias("content"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,28 +9,24 @@ from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
 from quillspar.operators.changes import batches, change_status
+from quillspar.sources.tree import RepositorySource, glob_to_regex  # noqa: F401
 
 WARN_FILES, MOST_FILES = 10_000, 50_000
 
 
-def glob_to_regex(glob: str) -> str:
-    """** spans folders, * and ? stay in one, {a,b} is a choice."""
-    out = ""
-    for part in re.findall(r"\*\*/|\*\*|\*|\?|\{[^}]*\}|[^*?{]+", glob):
-        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or ("(?:" + "|".join(map(re.escape, part[1:-1].split(","))) + ")" if part[0] == "{" else re.escape(part))
-    return f"^{out}$"
+def tree(spark: SparkSession, root: str, include: list[str] = (), ignore: list[str] = (), content: bool = True) -> DataFrame:
+    """(path, size, content) of the files below root; globs and filters on path are applied while folders are listed."""
+    spark.dataSource.register(RepositorySource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"root": root, "include": "\n".join(include), "ignore": "\n".join(ignore), "content": str(content).lower()}
+    return spark.read.format("repository").options(**options).load()
 
 
 def scan(spark: SparkSession, root: str, include: list[str], ignore: list[str], most: int | None = MOST_FILES) -> DataFrame:
     """(ord, path, content) of the files below root that an include glob names and no ignore glob does; unreadable ones are empty."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    path = F.regexp_replace("path", "^" + re.escape(root if ":" in root else f"file:{root}").rstrip("/") + "/", "")
-    named = found.select(path.alias("path"), F.coalesce(F.try_to_binary(F.col("content").cast("string"), F.lit("utf-8")).cast("string"), F.lit("")).alias("content"))
-    kept = named.filter(F.col("path").rlike("|".join(map(glob_to_regex, include))))
-    if ignore:
-        kept = kept.filter(~F.col("path").rlike("|".join(map(glob_to_regex, ignore))))
+    kept = tree(spark, root, include, ignore).select("path", "content")
     if most is not None:
-        n = kept.select("path").count()
+        n = tree(spark, root, include, ignore, content=False).count()
         if n > most:
             raise ValueError(f"{n} files match, {most} is the most; narrow the globs")
         if n > WARN_FILES:

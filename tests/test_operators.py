@@ -43,6 +43,16 @@ def test_matches_give_lines(spark):
     assert [(r.n, r.hit, r.line) for r in parsing.matches(rows, "content", r"(x\d)").collect()] == [(0, "x1", 2), (1, "x2", 4), (2, "x3", 4)]
 
 
+def test_many_matches_take_one_pass(spark):
+    import time
+
+    source = "x1 y\n" * 100_000
+    rows = spark.createDataFrame([(7, source), (8, None)], "key int, content string")
+    began = time.perf_counter()
+    last = parsing.matches(rows, "content", r"(x\d)").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("n").alias("at")).first()
+    assert tuple(last) == (100_000, 100_000, 99_999) and time.perf_counter() - began < 30
+
+
 def test_globs():
     import re
 
