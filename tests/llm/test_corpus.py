@@ -270,6 +270,8 @@ def drawn(tree, r):
             out.append(drawn(arg[-1], r))
         elif op == "BRANCH":
             out.append(drawn(r.choice(arg[1]), r))
+        elif op == "NOT_LITERAL":
+            out.append(r.choice([c for c in "w\u00e9\u00a0" if c != chr(arg)]))
         else:
             assert op == "ASSERT_NOT", op
     return "".join(out)
