@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
 from quillspar.operators import context, modules, parsing
+from quillspar.session import write_table
 
 MOST_SNIPPET, SAMPLES = 200, 5
 
@@ -16,16 +17,15 @@ MOST_SNIPPET, SAMPLES = 200, 5
 def code_health(files: DataFrame) -> DataFrame:
     """Per analysed file (path, content): its measures, coupling, documentation, findings, score and grade.
 
-    Each side is grouped by file before it is joined, so every join is one row to at most one row.
+    Files are parsed once, into a narrow table; degrees come from its imports. No file is read or shuffled again.
     """
-    measured = parsing.measured(files.filter(~F.col("path").rlike(rules.SKIPPED)))
-    edges = parsing.import_edges(files)
-    ins = edges.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("fan_in"))
-    outs = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("fan_out"))
-    docs = parsing.coverage(parsing.exports(files)).select("path", "exports", F.col("share").alias("coverage"))
-    found = parsing.findings(files).groupBy("path").agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium")])
-    joined = measured.withColumn("key", text.file_key(F.col("path"))).join(ins, "key", "left").join(outs, "key", "left").join(docs, "path", "left").join(found, "path", "left")
-    whole = joined.fillna(0, ["fan_in", "fan_out", "exports", "findings", "high", "medium"]).fillna(1.0, ["coverage"])
+    known = write_table(parsing.file_facts(files), "facts")
+    edges = parsing.fact_edges(known)
+    end = lambda at, i, o: edges.select(F.col(at).alias("key"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    degrees = end("dst", 1, 0).unionByName(end("src", 0, 1)).groupBy("key").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
+    share = F.try_divide(F.col("documented").cast("double"), F.col("exports"))
+    joined = known.filter("analysed").withColumns({"key": text.file_key(F.col("path")), "coverage": share}).join(degrees, "key", "left")
+    whole = joined.fillna(0, ["fan_in", "fan_out"]).fillna(1.0, ["coverage"])
     scored = whole.withColumn("score", modules.file_health())
     return scored.select(
         F.col("path").alias("file"), "score", modules.grade(F.col("score")).alias("grade"), "lines", "complexity", "max_function", "fan_in", "fan_out",

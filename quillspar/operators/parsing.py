@@ -142,12 +142,65 @@ def imports(files: DataFrame) -> DataFrame:
     """(path, specifier, target, package): distinct imports of code files; target for relative ones, package for others."""
     found = files.filter(text.extension(F.col("path")).isin(*rules.CODE_EXTENSIONS))
     every = F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS]))
-    each = found.select("path", F.explode(every).alias("specifier"))
+    return resolved(found.select("path", F.explode(every).alias("specifier")))
+
+
+def resolved(each: DataFrame) -> DataFrame:
+    """(path, specifier) with the target of relative specifiers and the package of others."""
     s = F.col("specifier")
     relative = s.startswith("./") | s.startswith("../")
     return each.withColumns({"target": F.when(relative, text.resolve(F.col("path"), s)), "package": F.when(~relative & ~s.startswith("node:"), text.package_name(s))})
 
 
+#: What one parse tells of a file, counted.
+FACTS = "path string, analysed boolean, complexity long, lines long, functions long, max_function long, exports long, documented long, findings long, high long, medium long, specifiers array<string>"
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """One row for each file (path, content), all from one parse: its measures, counts of exports and findings, and its imports.
+
+    Skipped files (tests and the like) are not `analysed`: only their imports are read, the counts are null. Files of settings
+    have no findings. Null content is empty. Rows that repeat a path stay as they are.
+    """
+    p = F.col("path")
+    flagged = files.select(
+        "path", "content", F.coalesce(~p.rlike(rules.SKIPPED), F.lit(False)).alias("analysed"), F.coalesce(~p.rlike(rules.CONFIG_FILE), F.lit(False)).alias("checked"),
+        F.coalesce(text.extension(p).isin(*rules.CODE_EXTENSIONS), F.lit(False)).alias("code"),
+    )
+    severities = [(s, re.compile(pattern, re.A | re.M)) for _, _, s, _, pattern in rules.SECURITY]
+    importing = [re.compile(x, re.A) for x in IMPORTS]
+    schema = to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def one(path: str, source: str, analysed: bool, checked: bool, code: bool) -> tuple:
+        specifiers = list(dict.fromkeys(m[1] for x in importing for m in x.finditer(source))) if code else []
+        if not analysed:
+            return (path, False, *[None] * 9, specifiers)
+        each, exported = functions_of(source), [doc for *_, doc in _exported(source)]
+        plain = strip_comments(source) if checked else ""
+        found = [s for s, pattern in severities for _ in pattern.finditer(plain)]
+        return (
+            path, True, complexity(source), source.count("\n") + 1, len(each), max((c for *_, c in each), default=0),
+            len(exported), sum(d is not None for d in exported), len(found), found.count("high"), found.count("medium"), specifiers,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("path", "content", "analysed", "checked", "code")]
+            rows = [one(path, source or "", *flags) for path, source, *flags in zip(*columns, strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return flagged.mapInArrow(run, FACTS)
+
+
+def fact_edges(known: DataFrame) -> DataFrame:
+    """(src, dst): distinct edges between the keys of code files, from `file_facts`."""
+    p = F.col("path")
+    keys = known.filter(text.extension(p).isin(*rules.CODE_EXTENSIONS)).select(text.file_key(p).alias("dst")).distinct()
+    found = resolved(known.select("path", F.explode("specifiers").alias("specifier"))).filter("target IS NOT NULL")
+    return found.select(text.file_key(p).alias("src"), F.col("target").alias("dst")).distinct().join(keys, "dst", "left_semi")
+
+
 def import_edges(files: DataFrame) -> DataFrame:
     """(src, dst): distinct edges between known files' keys."""
     keys = files.filter(text.extension(F.col("path")).isin(*rules.CODE_EXTENSIONS)).select(text.file_key(F.col("path")).alias("dst")).distinct()

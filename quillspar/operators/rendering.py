@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspar.session import write_table
+
 #: Limits of the documents: fixed values.
 ROUTES, EXPORTS, HEALTH_ROWS, CYCLES, MAP_MODULES, DIFF_ROUTES, DIFF_MODULES, PACKAGES, LARGEST, HUB_ROWS = 200, 30, 50, 20, 30, 25, 40, 20, 10, 5
 TABLE = "table"
@@ -171,7 +173,7 @@ def architecture_drift(drifts: DataFrame) -> DataFrame:
 
 def code_health(health: DataFrame, functions: DataFrame) -> DataFrame:
     """From health as `facts.code_health` gives it, and functions (path, name, line, complexity)."""
-    worst = ["score", "file"]
+    health, functions, worst = write_table(health, "health"), write_table(functions, "functions"), ["score", "file"]  # sections read them again
     grades = health.groupBy("grade").agg(F.count("*").alias("n"))
     return document("code_health", "Code health", [
         Section("Grades", grades, ["grade"], cells("grade", "n"), None, header("Grade", "Files")),
@@ -183,6 +185,7 @@ def code_health(health: DataFrame, functions: DataFrame) -> DataFrame:
 
 def security_hotspots(findings: DataFrame, categories: Sequence[str]) -> DataFrame:
     """From findings (path, category, name, severity, cwe, line), a section for each category."""
+    findings = write_table(findings, "findings")  # each section reads them again
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     counted = findings.groupBy("severity").agg(F.count("*").alias("n"))
     sections = [Section("Severities", counted, [rank], cells("severity", "n"), None, header("Severity", "Findings"))]

@@ -10,7 +10,7 @@ from quillspar.plans.base import query, sql_first_match
 from quillspar.plans.sources_and_text import golden
 from quillspar.plans.structure import _GRADE, _SCORE
 from quillspar.sources import repository
-from quillspar.sources.adapters import CODE, CODE_EDGES, CODE_FINDINGS, CODE_HEAD, EDGES, FILES, code, edges, files, quoted, read, sql_values, values
+from quillspar.sources.adapters import CODE, CODE_EDGES, CODE_FINDINGS, CODE_HEAD, CODE_SNIPPET, EDGES, FILES, code, edges, files, quoted, read, sql_values, values
 
 _FACTS = f"""(SELECT key || '.js' AS file, key, 1 + nf * (d % 13) + nf * (nf - 1) // 2 AS complexity, d % 13 + nf AS max_function, fan_in, fan_out, nf AS exports,
   CASE WHEN d % 2 = 1 THEN 1.0::DOUBLE / nf ELSE 0.0::DOUBLE END AS coverage, CAST(d % 5 = 0 AS BIGINT) AS high, CAST(d % 3 = 0 AS BIGINT) AS medium, CAST(d % 5 = 0 AS BIGINT) + CAST(d % 3 = 0 AS BIGINT) + CAST(d % 7 = 0 AS BIGINT) AS findings
@@ -51,11 +51,9 @@ def code_packages(spark, sf_dir):
     return parsing.external_packages(code(spark, sf_dir))
 
 
-@query(f"""SELECT path, id, category, replace(id, '-', ' ') AS name, severity, cwe, line, CASE id WHEN 'eval-usage' THEN 'eval(x);' WHEN 'shell-true' THEN 'run({{ shell: true }});' ELSE 'const r = Math.random();' END AS hit FROM {CODE_FINDINGS}""")
+@query(f"""SELECT path, id, category, replace(id, '-', ' ') AS name, severity, cwe, line, {CODE_SNIPPET} AS snippet FROM {CODE_FINDINGS}""")
 def findings_in_place(spark, sf_dir):
-    lines = {"eval-usage": "eval(x);", "shell-true": "run({ shell: true });", "math-random-security": "const r = Math.random();"}
-    hit = F.coalesce(*[F.when((F.col("id") == i) & F.col("snippet").contains(line), line) for i, line in lines.items()])
-    return facts.findings_in_place(code(spark, sf_dir)).select("path", "id", "category", "name", "severity", "cwe", "line", hit.alias("hit"))
+    return facts.findings_in_place(code(spark, sf_dir))
 
 
 @query(f"""SELECT *, findings || ' findings · ' || high || ' high · ' || medium || ' medium · ' || low || ' low · in ' || files || ' files' AS summary FROM (

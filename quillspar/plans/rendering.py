@@ -13,7 +13,7 @@ from quillspar.plans.base import ORACLES, query, sql_first_match
 from quillspar.plans.contexts import _SHOWN
 from quillspar.plans.sources_and_text import corpus
 from quillspar.plans.structure import DOMAINED, counted, with_domain
-from quillspar.sources.adapters import CODE, CODE_EDGES, CODE_FINDINGS, code, quoted, read, sql_values, values
+from quillspar.sources.adapters import CODE, CODE_EDGES, CODE_FINDINGS, CODE_HEAD, code, quoted, read, sql_values, values
 
 
 def sql_section(number: int, title: str, facts_sql: str, order: str, line: str, most: int | None = None, head: tuple[str, ...] = ()) -> str:
@@ -211,22 +211,19 @@ def drift_document(spark, sf_dir):
     return placed(rendering.architecture_drift(f.saved_drift(spark, sf_dir)))
 
 
-_FUNCTIONS = f"(SELECT key || '.js' AS path, 'f' || i AS name, i, 1 + d % 13 + i AS complexity FROM {CODE}, (VALUES (0), (1), (2)) AS v(i) WHERE i < nf)"
+_FUNCTIONS = f"(SELECT key || '.js' AS path, 'f' || i AS name, i, {CODE_HEAD} + 1 + i * (2 + d % 13) + i * (i - 1) // 2 AS line, 1 + d % 13 + i AS complexity FROM {CODE}, (VALUES (0), (1), (2)) AS v(i) WHERE i < nf)"
 _HEALTH = f"(SELECT *, CASE WHEN exports > 0 THEN CAST(floor(coverage * 100 + 0.5) AS BIGINT) END AS doc_percent FROM {f.HEALTH})"
 
 
 @query(sql_document("code_health", "Code health", [
     sql_section(1, "Grades", f"(SELECT grade, count(*) AS n FROM {_HEALTH} GROUP BY 1)", "grade", sql_cells("grade", "n"), None, rendering.header("Grade", "Files")),
     sql_section(2, "Hotspots", f"(SELECT * FROM {_HEALTH} WHERE score < 60)", "score, file", sql_cells(tick("file"), "score", "grade", "complexity", "(fan_in || ' in, ' || fan_out || ' out')", "doc_percent", "findings"), 20, rendering.header("File", "Score", "Grade", "Complexity", "Coupling", "Documented", "Findings")),
-    sql_section(3, "Most complex functions", _FUNCTIONS, "complexity DESC, path, i", "'| `' || name || '` | `' || path || '` | ' || complexity || ' |'", 15, rendering.header("Function", "File", "Complexity")),
+    sql_section(3, "Most complex functions", _FUNCTIONS, "complexity DESC, path, i", "'| `' || name || '` | `' || path || '` | ' || line || ' | ' || complexity || ' |'", 15, rendering.header("Function", "File", "Line", "Complexity")),
     sql_section(4, "Files by health", _HEALTH, "score, file", sql_cells(tick("file"), "score", "grade", "complexity", "fan_in", "fan_out"), 50, rendering.header("File", "Score", "Grade", "Complexity", "Importers", "Imports")),
 ]))
 def health_document(spark, sf_dir):
     files = code(spark, sf_dir)
-    rows = placed(rendering.code_health(facts.code_health(files), parsing.functions(files)))
-    # the SQL doesn't know line numbers: they are taken out of the functions' table
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\| \d+ (\| \d+ \|)$", "$1"), r"\| Line ", ""), r"\|---\|---\|---\|---\|$", "|---|---|---|")
-    return rows.withColumn("text", F.when(F.col("section") == 3, bare).otherwise(F.col("text")))
+    return placed(rendering.code_health(facts.code_health(files), parsing.functions(files)))
 
 
 _RISKS = tuple(dict.fromkeys(c for _, c, *_ in rules.SECURITY))
@@ -235,13 +232,11 @@ _FOUND = f"(SELECT *, replace(id, '-', ' ') AS name FROM {CODE_FINDINGS})"
 
 @query(sql_document("security_hotspots", "Security hotspots", [
     sql_section(1, "Severities", f"(SELECT severity, count(*) AS n FROM {_FOUND} GROUP BY 1)", "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END", sql_cells("severity", "n"), None, rendering.header("Severity", "Findings")),
-    *[sql_section(i, c, f"(SELECT * FROM {_FOUND} WHERE category = {quoted(c)})", "path, name", sql_cells(tick("path"), "name", "severity", "cwe"), None, rendering.header("File", "Pattern", "Severity", "CWE")) for i, c in enumerate(_RISKS, 2)],
+    *[sql_section(i, c, f"(SELECT * FROM {_FOUND} WHERE category = {quoted(c)})", "path, line, name", sql_cells(tick("path"), "line", "name", "severity", "cwe"), None, rendering.header("File", "Line", "Pattern", "Severity", "CWE")) for i, c in enumerate(_RISKS, 2)],
     sql_section(2 + len(_RISKS), "Affected files", f"(SELECT path, count(*) AS n FROM {_FOUND} GROUP BY 1)", "path", "'- `' || path || '`: ' || n"),
 ]))
 def security_document(spark, sf_dir):
-    rows = placed(rendering.security_hotspots(facts.findings_in_place(code(spark, sf_dir)), _RISKS))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"^(\| `[^`]+` \|) \d+ \|", "$1"), r"\| Line ", ""), r"^\|---\|---\|---\|---\|---\|$", "|---|---|---|---|")
-    return rows.withColumn("text", F.when(F.col("section").between(2, 1 + len(_RISKS)), bare).otherwise(F.col("text")))
+    return placed(rendering.security_hotspots(facts.findings_in_place(code(spark, sf_dir)), _RISKS))
 
 
 _FLOWS = [("Auth Flow", True, "lib/auth"), ("Blog Flow", False, ""), ("API Flow", False, "3 endpoints")]

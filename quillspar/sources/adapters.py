@@ -62,9 +62,14 @@ CODE_EDGES = f"(SELECT DISTINCT c.key AS src, t.key AS dst FROM {CODE} c, (VALUE
 #: Lines before the functions of a file of `code`, and up to the end of its functions. A match of eval begins with the newline before it.
 CODE_HEAD = "(d % 4 + CASE WHEN d % 2 = 0 THEN 1 WHEN d % 10 = 1 THEN 5 ELSE 1 END)"
 CODE_BODY = f"({CODE_HEAD} + (d % 3 + 1) * (2 + d % 13) + (d % 3 + 1) * (d % 3) // 2)"
-CODE_FINDINGS = f"""(SELECT key || '.js' AS path, id, category, severity, cwe, {CODE_BODY} + CASE WHEN k = 5 THEN 0 ELSE 1 END + CASE WHEN k <> 5 AND d % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k = 7 AND d % 3 = 0 THEN 1 ELSE 0 END AS line FROM {CODE}, (VALUES (5, 'eval-usage', 'Code Injection', 'high', 'CWE-95'), (3, 'shell-true', 'Command Injection', 'medium', 'CWE-78'),
+CODE_FINDINGS = f"""(SELECT d, key || '.js' AS path, id, category, severity, cwe, {CODE_BODY} + CASE WHEN k = 5 THEN 0 ELSE 1 END + CASE WHEN k <> 5 AND d % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k = 7 AND d % 3 = 0 THEN 1 ELSE 0 END AS line FROM {CODE}, (VALUES (5, 'eval-usage', 'Code Injection', 'high', 'CWE-95'), (3, 'shell-true', 'Command Injection', 'medium', 'CWE-78'),
   (7, 'math-random-security', 'Insecure Randomness', 'low', 'CWE-330')) AS v(k, id, category, severity, cwe) WHERE d % k = 0)"""
 
+#: A finding's line with its neighbours: the file's last lines from the one before its last brace on, of which the finding's place is known.
+CODE_SNIPPET = """trim(array_to_string(list_filter([CASE WHEN d % 13 + d % 3 > 0 THEN '  if (a > 1) { b(); }' ELSE 'export function f0(a) {' END, '}', CASE WHEN d % 5 = 0 THEN 'eval(x);' END, CASE WHEN d % 3 = 0 THEN 'run({ shell: true });' END,
+  CASE WHEN d % 7 = 0 THEN 'const r = Math.random();' END], lambda x: x IS NOT NULL)[CASE id WHEN 'eval-usage' THEN 1 WHEN 'shell-true' THEN 2 + CAST(d % 5 = 0 AS INT) ELSE 2 + CAST(d % 5 = 0 AS INT) + CAST(d % 3 = 0 AS INT) END :
+  CASE id WHEN 'eval-usage' THEN 3 WHEN 'shell-true' THEN 4 + CAST(d % 5 = 0 AS INT) ELSE 4 + CAST(d % 5 = 0 AS INT) + CAST(d % 3 = 0 AS INT) END], chr(10)))"""
+
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): each customer nation with the three supplier nations it orders most from, itself left out."""

@@ -178,6 +178,23 @@ def test_health_counts_tests_as_importers_but_not_as_files(spark):
     assert (out["src/b.js"].findings, out["src/b.js"].high, out["src/b.js"].score, out["src/b.js"].doc_percent) == (2, 2, 80, None)
 
 
+def test_facts_come_from_one_parse(spark, tmp_path):
+    rows = [("src/a.js", "/** Does. */\nexport function f(x) { return x && 1; }\nexport function g() {}"), ("src/a.test.js", 'import { f } from "./a"; eval("x");'), ("src/n.md", 'import "./a"'), ("src/null.js", None), ("src/app.config.js", 'eval("x");'), ("src/b.ts", 'import "./a"; import "./a"; require("pkg"); eval("y");')]
+    spark.createDataFrame(rows, "path string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    facts_of = parsing.file_facts(files)
+    plan = facts_of._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    got = {r.path: r for r in facts_of.collect()}
+    assert len(got) == len(rows) and (got["src/a.js"].exports, got["src/a.js"].documented, got["src/b.ts"].findings, got["src/app.config.js"].findings) == (2, 1, 1, 0)
+    assert not got["src/a.test.js"].analysed and got["src/a.test.js"].findings is None and got["src/n.md"].specifiers == [] and got["src/b.ts"].specifiers == ["./a", "pkg"]
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(parsing.fact_edges(facts_of).select("src", "dst")) == pairs(parsing.import_edges(files).select("src", "dst"))
+    plan = facts.code_health(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "content" not in plan
+    assert facts.code_health(files.limit(0)).count() == 0
+
+
 def test_documentation_comments():
     doc = parsing.parse_doc("/**\n * Adds a\n * and b.\n * @param {number} a - the first\n *   of two\n * @arg [b] x\n * @returns sum\n * @throws {E} if odd\n * @exception other\n * @example\n * add(1)\n * @deprecated\n * @see other @here\n * @since 1.2\n */")
     assert doc["description"] == "Adds a and b." and [p["description"] for p in doc["params"]] == ["the first of two", "x"] and doc["params"][1]["optional"]
