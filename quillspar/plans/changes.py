@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
 from quillspar.operators import changes as c
+from quillspar.operators import spelling
 from quillspar.plans.base import query, sql_in
 from quillspar.plans.structure import FILES, files
 from quillspar.sources.adapters import quoted, read, sql_values, values
@@ -176,6 +177,18 @@ def closest_keys(spark, sf_dir):
     return c.closest(values(spark, _WORDS, "word string"), _KNOWN)
 
 
+_VOCABULARY = "(SELECT DISTINCT unnest(regexp_extract_all({}, '[A-Za-z]+')) AS {} FROM {})"
+
+
+@query(f"""SELECT word, CASE WHEN min(d) <= 3 THEN arg_min(key, (d, key)) END AS suggestion, CASE WHEN min(d) <= 3 THEN CAST(min(d) AS INT) END AS distance
+FROM (SELECT word, key, levenshtein(lower(word), lower(key)) AS d FROM {_VOCABULARY.format('text', 'word', 'benchmark')}, {_VOCABULARY.format('text', 'key', 'conversations')}) GROUP BY word""")
+def closest_words(spark, sf_dir):
+    """For each word of the benchmark the closest word of the conversations."""
+    found = lambda t, name: read(spark, sf_dir, t).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias(name)).distinct()
+    known = found("conversations", "key")
+    return spelling.closest_known(found("benchmark", "word"), known.select(F.col("key").alias("ord"), "key"))
+
+
 _VERSIONS = [("1.2.3", "1.2.3"), ("1.2", "1.2.1"), ("2.0.0", "1.9.9"), ("1.10.0", "1.9.0")]
 
 

@@ -10,6 +10,7 @@ from quillspar.plans.base import query
 from quillspar.session import scratch_root
 from quillspar.sources import versions
 from quillspar.sources.adapters import CODE, code, read
+from quillspar.streaming.outbox import Outbox, Policy
 from quillspar.streaming.rebuild import LiveFacts
 
 
@@ -41,3 +42,24 @@ def upserted_pages(spark, sf_dir):
     versions.upsert(store, "pages", pages.withColumn("state", F.lit("created")))
     at = versions.upsert(store, "pages", pages.filter("page_id % 3 = 0").withColumn("state", F.lit("updated")))
     return store.read("pages", at)
+
+
+def _answer(key: str, payload: str, attempt: int) -> tuple[int | None, float | None]:
+    """A receiver that takes half of what it gets, by key and attempt."""
+    turn = (int(key) * 7 + attempt * 3) % 10
+    return (200, None) if turn < 5 else {5: (503, None), 6: (500, None), 7: (429, 7.0), 8: (404, None), 9: (502, None)}[turn]
+
+
+@query("""WITH RECURSIVE calls AS (SELECT event_id AS id, 0 AS attempt, CAST(0 AS BIGINT) AS due_ms FROM events UNION ALL
+SELECT id, attempt + 1, CAST(10000 * attempt + CASE WHEN (id * 7 + attempt * 3) % 10 = 7 THEN 7000 ELSE least(4000, 500 * pow(2, attempt)) + CAST('0x' || substr(md5(id || ':' || attempt), 1, 8) AS BIGINT) % 250 END AS BIGINT)
+FROM calls WHERE attempt < 3 AND (id * 7 + attempt * 3) % 10 IN (5, 6, 7, 9))
+SELECT CAST(id AS VARCHAR) AS key, CASE WHEN turn < 5 THEN 'sent' ELSE 'dead' END AS state, attempt + 1 AS attempts, CASE turn WHEN 5 THEN 503 WHEN 6 THEN 500 WHEN 7 THEN 429 WHEN 8 THEN 404 WHEN 9 THEN 502 ELSE 200 END AS status, due_ms, CAST(10000 * attempt AS BIGINT) AS at_ms
+FROM (SELECT *, (id * 7 + attempt * 3) % 10 AS turn FROM calls) WHERE turn < 5 OR turn = 8 OR attempt = 3""")
+def deliveries(spark, sf_dir):
+    """All events sent to a receiver that fails by turns, looked at every ten seconds until none is left."""
+    box = Outbox(spark, _folder(spark, "outbox"), _answer, Policy(retries=3, base_ms=500, most_ms=4000, jitter_ms=250))
+    box.add(read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("payload")), 0, 0)
+    for now in range(0, 40_000, 10_000):
+        box.deliver(now)
+    sent, dead = (box.table(t).select("key", F.lit(t).alias("state"), "attempts", "status", "due_ms", "at_ms") for t in ("sent", "dead"))
+    return sent.unionByName(dead)

@@ -117,6 +117,25 @@ def test_streaming_rate_limit_matches_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, changes.rate_limited(calls, "user_id", 2, 1000).collect()))
 
 
+def test_rate_limits_forget_idle_keys(spark, tmp_path):
+    """State is gone a window after a key's last call; decisions are those of the batch twin, before and after."""
+    triggers = [[(1, i, i * 100) for i in range(5)] + [(2, 9, 450)], [(2, 10, 5000)], [(2, 11, 5100), (2, 12, 5200)], [(1, 13, 6000), (1, 14, 6001), (1, 15, 6002), (2, 16, 6003)]]
+    ddl = "user_id long, event_id long, at_ms long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+    q = feeds.rate_limited(stream, "user_id", 2, 1000, "1 millisecond").writeStream.format("memory").queryName("forgetful").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    held = []
+    for rows in triggers:
+        spark.createDataFrame(rows, ddl).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        state = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "bucket").load()
+        held.append({r[0][0] for r in state.select("key").collect()})
+    q.stop()
+    assert held[0] == {1, 2} and held[2] == {2} and held[3] == {1, 2}
+    every = spark.createDataFrame([r for rows in triggers for r in rows], ddl)
+    assert sorted(map(tuple, spark.table("forgetful").collect())) == sorted(map(tuple, changes.rate_limited(every, "user_id", 2, 1000).collect()))
+
+
 def test_streaming_debounce(spark, tmp_path):
     spark.sql("SELECT 'r' AS root, timestamp_millis(m) AS ts, p AS path FROM VALUES (0, 'a'), (300, 'b'), (700, 'node_modules/x'), (900, 'c'), (100000, 'd') AS v(m, p)").repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("root string, ts timestamp, path string").parquet(str(tmp_path / "in"))
