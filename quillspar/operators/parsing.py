@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quillspar.functions import rules, text
+from quillspar.operators import lexing
 
 QUOTED = r"['\"`]([^'\"`]+)['\"`]"
 IMPORTS = (
@@ -79,10 +80,14 @@ _BLANKS = ((r"`[^`]*`", '""'), (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""'), (r"'[^'\\
 _DECISIONS = (r"\bif\s*\(", r"\bfor\s*\(", r"\bwhile\s*\(", r"\bcase\s+", r"\bcatch\s*\(", r"(?<!\?)\?\s*(?![.?])", r"&&", r"\|\|", r"\?\?")
 
 
-def complexity(source: str) -> int:
-    """Cyclomatic complexity: 1 and one for each decision outside comments and literals; else-if counts once."""
-    plain = strip_comments(source)
-    for pattern, to in _BLANKS:
+def complexity(source: str, exact: bool = False) -> int:
+    """Cyclomatic complexity: 1 and one for each decision outside comments and literals; else-if counts once.
+
+    Comments are told first and literals after them, so marks of comments in literals count as comments; with `exact`
+    one automaton tells both.
+    """
+    plain = lexing.code_of(source) if exact else strip_comments(source)
+    for pattern, to in _BLANKS if not exact else ():
         plain = re.sub(pattern, to, plain)
     return 1 + sum(len(re.findall(p, plain, re.A)) for p in _DECISIONS)
 
@@ -90,12 +95,12 @@ def complexity(source: str) -> int:
 _FUNCTIONS = (r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(", r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>")
 
 
-def functions_of(source: str) -> list[tuple[str, int, int]]:
+def functions_of(source: str, exact: bool = False) -> list[tuple[str, int, int]]:
     """(name, line, complexity) of each function; a body runs to the next function or the end."""
     found = sorted(((m.start(), k, m[1]) for k, p in enumerate(_FUNCTIONS) for m in re.finditer(p, source, re.A)), key=lambda x: x[:2])
     ends = [x[0] for x in found[1:]] + [len(source)] * bool(found)
     line = line_of(source)
-    return [(name, line(a), complexity(source[a:b])) for (a, _, name), b in zip(found, ends, strict=True)]
+    return [(name, line(a), complexity(source[a:b], exact)) for (a, _, name), b in zip(found, ends, strict=True)]
 
 
 def _per_row(df: DataFrame, function, ddl: str, names: list[str] | None = None) -> DataFrame:
@@ -112,12 +117,12 @@ def _per_row(df: DataFrame, function, ddl: str, names: list[str] | None = None)
     return df.select("path", "content").mapInArrow(run, f"path string, {ddl}")
 
 
-def measured(files: DataFrame) -> DataFrame:
+def measured(files: DataFrame, exact: bool = False) -> DataFrame:
     """(path, complexity, lines, functions, max_function) of each file."""
 
     def one(source: str) -> list[tuple]:
-        each = functions_of(source)
-        return [(complexity(source), source.count("\n") + 1, len(each), max((c for *_, c in each), default=0))]
+        each = functions_of(source, exact)
+        return [(complexity(source, exact), source.count("\n") + 1, len(each), max((c for *_, c in each), default=0))]
 
     return _per_row(files, one, "complexity long, lines long, functions long, max_function long")
 
