@@ -4,19 +4,19 @@ Writing: one record per page, its payload the html in UTF-8 (null: empty). Among
 the one with the smallest page_id is a response, others are revisits that refer to it; rows that share that page_id are
 all responses, as are all rows of a group without any page_id.
 
-Reading: a task looks at an archive by chunks of `CHUNK` bytes and emits every offset where a record might begin, with
-the offset of its successor; magic inside a payload is such a candidate too. Within a chunk each candidate is followed to
-the offset where its chain leaves the chunk; pointer jumping over these exits, from offset 0 of each file, finds the
-entry of each chunk, and only records on the chain from there are kept. A header may have any length; an archive whose
-chain doesn't end at its last byte is an error.
+Reading: an archive is dealt out in byte ranges of `CHUNK`, of which a task opens only its own. It emits every offset where a
+record might begin, with the offset of its successor; magic inside a payload is such a candidate too. Within a range each
+candidate is followed to the offset where its chain leaves the range; pointer jumping over these exits, from offset 0 of
+each file, finds the entry of each range, and only records on the chain from there are kept and their payloads read. A
+header may have any length, and is read on beyond its range as long as its lines are fields; an archive whose chain
+doesn't end at its last byte is an error. Archives are opened through pyarrow's file systems (local, HDFS, S3, GCS).
 
 page_id may be of any type that a text can be cast back to; it is percent-encoded in the record's id, and an id that can't
 be read back is an error. Null page_ids and urls become urn:page and urn:none; control characters and spaces in urls are
 percent-encoded, each as itself. Empty tables give none. Repeated rows are written and read back each.
 
-Memory: a task holds one archive file. The writer deals its records in turn to as many files as make FILE_BYTES each,
-so a file holds about that or its longest record; files of others are read whole as well, up to the 2 GB that one
-row can hold.
+Memory: a task holds one range, a header, or a piece of a payload, which is hashed piece by piece; archives may have any size.
+The writer begins a new file after as many records as make FILE_BYTES on average, and doesn't shuffle pages for it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote_plus
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ from quillspar.session import drop_path, drop_table, scratch_root, write_table
 
 MAGIC = b"WARC/1."
 CHUNK = 4 << 20
-FILE_BYTES = 32 << 20
+#: Ranges of a task, and bytes of a payload that are held at a time.
+RANGES, PIECE = 8, 1 << 20
+FILE_BYTES = 256 << 20
 #: Bytes of a record's header, without its url, as far as the number of files goes.
 HEAD_BYTES = 500
 END = "\r\n\r\n"
@@ -61,15 +64,11 @@ def plain_url(url: Column) -> Column:
     return F.coalesce(url, F.lit("urn:none"))
 
 
-def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", parts: int = 1) -> DataFrame:
-    """One column, the text of each page's record without the four bytes that end it; dealt in turn to `parts`, if they are several."""
-
-    def read(dealt: DataFrame) -> DataFrame:
-        rows = dealt.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-        return rows.withColumns({"size": F.octet_length("html"), "digest": base32_sha1(F.encode("html", "UTF-8"))})
-
-    rows = read(pages.select("page_id", "url", "html").repartition(parts) if parts > 1 else pages)
-    groups = read(pages).filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """One column, the text of each page's record without the four bytes that end it."""
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumns({"size": F.octet_length("html"), "digest": base32_sha1(F.encode("html", "UTF-8"))})
+    groups = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
     groups = write_table(groups.filter("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"), "copies")
     rows = narrow_join(rows, groups, ["digest"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_bytes)
@@ -93,30 +92,85 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write archives with Spark's own committer, so that lost executors' tasks are simply run again."""
     size, n = pages.select(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))), F.count("*")).first()
-    files = 1 + ((size or 0) + n * HEAD_BYTES) // file_bytes
-    records(pages, min_bytes, parts=files).write.option("lineSep", END).text(path)
+    most = max(1, n * file_bytes // ((size or 0) + n * HEAD_BYTES + 1))
+    records(pages, min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
-
-
-def parse_candidate(data: bytes, at: int) -> tuple[int, dict] | None:
-    """The successor and the fields of the record that might begin at `at`, or None if it can't be one."""
-    if at and data[at - 4 : at] != b"\r\n\r\n":  # so the headers of two candidates never overlap, and all are read in one pass
+_VERSION = re.compile(rb"WARC/1\.\d+\r\n")
+_BREAK = END.encode()
+
+
+class Archive:
+    """One archive, read by ranges; the range last read is kept."""
+
+    def __init__(self, path: str, length: int):
+        system, at = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        self.file, self.length, self.start, self.data = system.open_input_file(at), length, 0, b""
+
+    def hold(self, start: int, stop: int) -> None:
+        self.start = max(0, start)
+        self.data = self.file.read_at(min(stop, self.length) - self.start, self.start)
+
+    def bytes(self, start: int, stop: int) -> bytes:
+        stop = min(stop, self.length)
+        if self.start <= start and stop <= self.start + len(self.data):
+            return self.data[start - self.start : stop - self.start]
+        return self.file.read_at(max(0, stop - start), start)
+
+    def header(self, at: int) -> bytes | None:
+        """The header that begins at `at`, the blank line after it included; None if what stands there is none."""
+        inside = self.data.find(_BREAK, at - self.start)
+        if inside >= 0:
+            return self.data[at - self.start : inside + 4]
+        size, seen, line = 1 << 16, b"", 0
+        while True:
+            seen = self.bytes(at, at + size)
+            stop = seen.find(_BREAK)
+            ended = at + len(seen) >= self.length
+            whole = seen if stop < 0 else seen[: stop + 2]
+            while (end := whole.find(b"\n", line)) >= 0:  # lines must be fields, so a payload isn't read to its end
+                now = whole[line:end]
+                if not (_VERSION.fullmatch(now + b"\n") if line == 0 else b":" in now or now[:1] in (b" ", b"\t")):
+                    return None
+                line = end + 1
+            if stop >= 0:
+                return seen[: stop + 4]
+            if ended:
+                return None
+            size *= 2
+
+    def payload(self, body: int, end: int) -> tuple[int, str]:
+        """Bytes and digest of what follows the first blank line of a body, of the whole body if it has none."""
+        begins, tail = body, b""
+        for at in range(body, end, PIECE):
+            piece = tail + self.bytes(at, min(at + PIECE, end))
+            if (k := piece.find(_BREAK)) >= 0:
+                begins = at - len(tail) + k + 4
+                break
+            tail = piece[-3:]
+        digest = hashlib.sha1()
+        for at in range(begins, end, PIECE):
+            digest.update(self.bytes(at, min(at + PIECE, end)))
+        return end - begins, base64.b32encode(digest.digest()).decode()
+
+
+def parse_candidate(archive: Archive, at: int) -> tuple[int, int, dict] | None:
+    """The body, the successor and the fields of the record that might begin at `at`, or None if it can't be one."""
+    if at and archive.bytes(at - 4, at) != _BREAK:
         return None
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    header = archive.header(at)
+    if header is None:
         return None
-    fields = {k.lower(): v for k, v in _FIELD.findall(data[at:stop])}
+    fields = {k.lower(): v for k, v in _FIELD.findall(header)}
     length = fields.get(b"content-length", b"")
     if not length.isdigit() or b"warc-type" not in fields:
         return None
-    body = stop + 4
-    end = body + int(length)
-    if end + 4 > len(data) or data[end : end + 4] != b"\r\n\r\n":
-        return None
-    split = data.find(b"\r\n\r\n", body, end)
-    return end + 4, {"fields": fields, "payload": (split + 4 if split >= 0 else body, end)}
+    body = at + len(header)
+    after = body + int(length) + 4
+    if after > archive.length or after == archive.length and archive.bytes(after - 4, after) != _BREAK:
+        return None  # what ends other records is seen before their successors
+    return body, after, fields
 
 
 def _page(urn: bytes | None) -> str | None:
@@ -128,46 +182,63 @@ def _page(urn: bytes | None) -> str | None:
 
 RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 _RECORD = pa.struct([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
-_CHUNK = pa.schema([("path", pa.string()), ("chunk", pa.int64()), ("offs", pa.list_(pa.int64())), ("nexts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("found", pa.list_(_RECORD))])
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk of each archive: its candidates, their successors, and where each one's chain leaves the chunk."""
-    for batch in batches:
-        for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            data = data.as_py()
-            chunks: dict[int, dict[str, list]] = {}
-            at = data.find(MAGIC)
-            while at >= 0:
-                if got := parse_candidate(data, at):
-                    fields, (a, b) = got[1]["fields"], got[1]["payload"]
-                    kind = fields[b"warc-type"].decode("latin1")
-                    stated = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin1")
-                    computed = base64.b32encode(hashlib.sha1(memoryview(data)[a:b]).digest()).decode() if kind == "response" else stated
-                    size = b - a if kind == "response" else int(fields.get(b"x-payload-length", b"0") or 0)
-                    c = chunks.setdefault(at // CHUNK, {"offs": [], "nexts": [], "found": []})
-                    c["offs"].append(at)
-                    c["nexts"].append(got[0])
-                    c["found"].append((_page(fields.get(b"warc-record-id")), size, computed, kind, _page(fields.get(b"warc-refers-to")) if kind == "revisit" else None))
-                at = data.find(MAGIC, at + 1)
-            for k, c in sorted(chunks.items()):
-                exits: dict[int, int] = {}
-                for off, nxt in zip(reversed(c["offs"]), reversed(c["nexts"]), strict=True):
-                    exits[off] = nxt if nxt // CHUNK != k else exits.get(nxt, nxt)
-                rows = {"path": [path], "chunk": [k], "offs": [c["offs"]], "nexts": [c["nexts"]], "exits": [[exits[o] for o in c["offs"]]], "found": [[dict(zip((f.name for f in _RECORD), r, strict=True)) for r in c["found"]]]}
-                yield from pa.table(rows, schema=_CHUNK).to_batches()
-
-
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            where = {o: i for i, o in enumerate(r["offs"])}
-            at = r["entry"]
-            while at in where:
-                rows.append(r["found"][where[at]])
-                at = r["nexts"][where[at]]
-        yield pa.RecordBatch.from_struct_array(pa.array(rows, _RECORD))
+_FOUND = pa.struct([*_RECORD, ("body", pa.int64())])
+_CHUNK = pa.schema([("path", pa.string()), ("length", pa.int64()), ("chunk", pa.int64()), ("offs", pa.list_(pa.int64())), ("nexts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("found", pa.list_(_FOUND))])
+CHUNKS = f"path string, length long, chunk long, offs array<long>, nexts array<long>, exits array<long>, found array<struct<{RECORD.replace(' ', ':').replace(',:', ',')},body:long>>"
+
+
+def _candidates(chunk: int):
+    """Per range of an archive: its candidates, their successors, and where each one's chain leaves the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, k in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "chunk")), strict=True):
+                archive = Archive(path, length)
+                first, stop = k * chunk, min((k + 1) * chunk, length)
+                archive.hold(first - 4, stop + len(MAGIC) - 1)
+                offs, nexts, found = [], [], []
+                at = archive.data.find(MAGIC, first - archive.start)
+                while at >= 0:
+                    off = archive.start + at
+                    if got := parse_candidate(archive, off):
+                        body, after, fields = got
+                        kind = fields[b"warc-type"].decode("latin1")
+                        stated = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin1")
+                        refers = _page(fields.get(b"warc-refers-to")) if kind == "revisit" else None
+                        offs.append(off)
+                        nexts.append(after)
+                        found.append((_page(fields.get(b"warc-record-id")), int(fields.get(b"x-payload-length", b"0") or 0), stated, kind, refers, body))
+                    at = archive.data.find(MAGIC, at + 1)
+                if offs:
+                    exits: dict[int, int] = {}
+                    for off, after in zip(reversed(offs), reversed(nexts), strict=True):
+                        exits[off] = after if after // chunk != k else exits.get(after, after)
+                    rows = {"path": [path], "length": [length], "chunk": [k], "offs": [offs], "nexts": [nexts], "exits": [[exits[o] for o in offs]], "found": [[dict(zip((f.name for f in _FOUND), r, strict=True)) for r in found]]}
+                    yield from pa.table(rows, schema=_CHUNK).to_batches()
+
+    return run
+
+
+def _walked(chunk: int):
+    """The records on the chain from a range's entry; the payloads of responses are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                archive, rows = Archive(r["path"], r["length"]), []
+                archive.hold(r["chunk"] * chunk, (r["chunk"] + 1) * chunk)
+                where = {o: k for k, o in enumerate(r["offs"])}
+                at = r["entry"]
+                while at in where:
+                    record = r["found"][where[at]]
+                    body, at = record.pop("body"), r["nexts"][where[at]]
+                    if record["record_type"] == "response":
+                        record["payload_bytes"], record["payload_digest"] = archive.payload(body, at - 4)
+                    rows.append(record)
+                yield pa.RecordBatch.from_struct_array(pa.array(rows, _RECORD))
+
+    return run
 
 
 def chunk_entries(chunks: DataFrame) -> DataFrame:
@@ -194,15 +265,17 @@ def chunk_entries(chunks: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under `path`: page_id, payload_bytes, payload_digest, record_type, refers_to; ids as text."""
-    files = spark.read.format("binaryFile").load(path)
-    found = "path string, chunk long, offs array<long>, nexts array<long>, exits array<long>, found array<struct<page_id:string,payload_bytes:long,payload_digest:string,record_type:string,refers_to:string>>"
-    chunks = write_table(files.select("path", "content").mapInArrow(_candidates, found), "chunks")
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / CHUNK))).alias("chunk"))
+    tasks = 1 + ranges.count() // RANGES
+    chunks = write_table(ranges.repartition(tasks, "path", "chunk").mapInArrow(_candidates(CHUNK), CHUNKS), "chunks")
     entries = chunk_entries(chunks)
-    ends = files.filter("length > 0").select("path", F.col("length").alias("entry"))
+    ends = files.select("path", F.col("length").alias("entry"))
     if broken := ends.join(entries, ["path", "entry"], "left_anti").first():
         raise ValueError(f"archive of {broken.entry} bytes whose records don't reach its end: {broken.path}")
     entries = entries.withColumn("chunk", F.floor(F.col("entry") / CHUNK).cast("long"))
-    return chunks.join(entries, ["path", "chunk"]).select("offs", "nexts", "found", "entry").mapInArrow(_walked, RECORD)
+    reached = chunks.join(entries, ["path", "chunk"]).select("path", "length", "chunk", "offs", "nexts", "found", "entry")
+    return reached.repartition(tasks, "path", "chunk").mapInArrow(_walked(CHUNK), RECORD)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
