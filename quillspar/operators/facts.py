@@ -106,13 +106,26 @@ def documentation(files: DataFrame) -> DataFrame:
 
 
 def documentation_text() -> Column:
-    """The Markdown of one row of `documentation`."""
-    listed = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"**{title}:**\n"), F.array_join(lines, "\n")))
-    params = F.transform("params", lambda p: F.concat(F.lit("- `"), p["name"], F.lit("` (`"), p["type"], F.lit("`)"), F.when(p["optional"], " *(optional)*").otherwise(""), F.lit(": "), p["description"]))
-    returns = F.when(F.col("returns").isNotNull(), F.concat(F.lit("**Returns:** `"), F.col("returns.type"), F.lit("` - "), F.col("returns.description")))
-    examples = F.transform("examples", lambda x: F.concat(F.lit("```javascript\n"), x, F.lit("\n```")))
-    parts = [F.nullif("description", F.lit("")), F.concat(F.lit("> **Deprecated**: "), "deprecated"), listed("Parameters", params), returns, listed("Throws", F.transform("throws", lambda x: F.concat(F.lit("- "), x))), listed("Example", examples), F.concat(F.lit("*Since: "), F.nullif("since", F.lit("")), F.lit("*"))]
-    return F.concat_ws("\n\n", *parts)
+    """The Markdown of one row of `documentation`: a table of what its comment states, then the description and examples.
+
+    Line breaks in a cell become blanks, and bars are escaped.
+    """
+    cell = lambda x: F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
+    row = lambda what, kind, note: F.concat(F.lit("| "), what, F.lit(" | "), cell(kind), F.lit(" | "), cell(note), F.lit(" |"))
+    nothing = F.lit("")
+    param = lambda p: row(F.concat(F.when(p["optional"], "optional input ").otherwise("input "), F.lit("`"), p["name"], F.lit("`")), p["type"], p["description"])
+    stated = F.concat(
+        F.array_compact(F.array(
+            F.when(F.col("deprecated").isNotNull(), row(F.lit("deprecated"), nothing, F.col("deprecated"))),
+            F.when(F.col("since") != "", row(F.lit("since"), nothing, F.col("since"))),
+        )),
+        F.transform("params", param),
+        F.array_compact(F.array(F.when(F.col("returns").isNotNull(), row(F.lit("result"), F.col("returns.type"), F.col("returns.description"))))),
+        F.transform("throws", lambda x: row(F.lit("error"), nothing, x)),
+    )
+    table = F.when(F.size(stated) > 0, F.concat(F.lit("| Part | Type | Note |\n|---|---|---|\n"), F.array_join(stated, "\n")))
+    examples = F.transform("examples", lambda x: F.concat(F.lit("    "), F.replace(x, F.lit("\n"), F.lit("\n    "))))
+    return F.concat_ws("\n\n", table, F.nullif("description", nothing), examples)
 
 
 def export_doc(documented: DataFrame, name: str) -> DataFrame:
@@ -245,16 +258,6 @@ def documents_for(plan: DataFrame, audience: str | None = None, generated: bool
     return plan
 
 
-def migrated_workflow(content: Column, tool: str, package: str) -> Column:
-    """A workflow without the tool's old folder and install, that runs the package's newest release on a set-up runtime."""
-    name = re.escape(tool)
-    out = F.regexp_replace(content, rf"(?i)cd\s+tools/{name}\s*\n?", "")
-    out = F.when(content.rlike(rf"(?i)cd\s+tools/{name}"), F.regexp_replace(out, r"(run:\s*\|[^\n]*\n(?:\s+[^\n]*\n)*?\s+)npm\s+(?:ci|install)\s*\n\s*", "$1")).otherwise(out)
-    out = F.regexp_replace(out, rf"npx\s+{name}\s+", f"npx {package}@latest ")
-    step = "$1\n\n      - name: Setup Node.js\n        uses: actions/setup-node@v4\n        with:\n          node-version: 20"
-    return F.when(out.contains("actions/setup-node@"), out).otherwise(F.regexp_replace(out, r"(- name: Checkout repository\s+uses: actions/checkout@v\d+)", step))
-
-
 def bullet_list(values: Column) -> Column:
     """Values as bullets; nulls and blanks are left out, structs and lists stand as JSON."""
     return F.array_join(F.transform(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")), lambda x: F.concat(F.lit("- "), x)), "\n")

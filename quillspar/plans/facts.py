@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules
-from quillspar.operators import baselines, context, documents, facts, graph, modules, parsing
+from quillspar.operators import baselines, context, documents, facts, graph, modules, parsing, workflows
 from quillspar.plans.base import query, sql_first_match
 from quillspar.plans.sources_and_text import golden
 from quillspar.plans.structure import _GRADE, _SCORE
@@ -77,7 +77,7 @@ def deprecated_exports(spark, sf_dir):
     return facts.deprecated_exports(parsing.exports(code(spark, sf_dir)))
 
 
-@query(f"""SELECT key || '.js' AS path, 'f0' AS name, CASE WHEN d % 10 = 1 THEN 'Does it.' || chr(10) || chr(10) || '> **Deprecated**: use another' || chr(10) || chr(10) || '**Parameters:**' || chr(10) || '- `a` (`number`): the input' ELSE 'Does it.' END AS text FROM {CODE} WHERE d % 2 = 1""")
+@query(f"""SELECT key || '.js' AS path, 'f0' AS name, CASE WHEN d % 10 = 1 THEN '| Part | Type | Note |' || chr(10) || '|---|---|---|' || chr(10) || '| deprecated |  | use another |' || chr(10) || '| input `a` | number | the input |' || chr(10) || chr(10) || 'Does it.' ELSE 'Does it.' END AS text FROM {CODE} WHERE d % 2 = 1""")
 def documentation_texts(spark, sf_dir):
     return facts.documentation(code(spark, sf_dir)).select("path", "name", facts.documentation_text().alias("text"))
 
@@ -214,7 +214,50 @@ _NEW = "steps:\n      - name: Checkout repository\n        uses: actions/checkou
 @query(golden([(1, _NEW), (2, "actions/setup-node@v4 npx @scope/tool@latest x")], "id, content"))
 def migrated_workflows(spark, sf_dir):
     rows = values(spark, [(1, _OLD), (2, "actions/setup-node@v4 npx tool x")], "id int, content string")
-    return rows.select("id", facts.migrated_workflow(F.col("content"), "tool", "@scope/tool").alias("content"))
+    return rows.select("id", workflows.migrated_workflow(F.col("content"), workflows.Tool("tool", "@scope/tool")).alias("content"))
+
+
+_TOOL = workflows.Tool("tool", "@scope/tool", ("PAGE_TOKEN", "PAGE_PARENT"), (("MODEL_KEY", "${{ secrets.MODEL_KEY }}"), ("MODEL_NAME", "small")))
+_CHECKOUT = "    steps:\n      - name: Checkout repository\n        uses: actions/checkout@v4\n"
+_SETUP = "      - name: Setup Node.js\n        uses: actions/setup-node@v4\n        with:\n          node-version: 20\n"
+_SECRETS = "        env:\n          PAGE_TOKEN: ${{ secrets.PAGE_TOKEN }}\n          PAGE_PARENT: ${{ secrets.PAGE_PARENT }}\n"
+_SETTINGS = "          MODEL_KEY: ${{ secrets.MODEL_KEY }}\n          MODEL_NAME: small\n"
+
+
+def _workflow(pick, text, join, old: bool):
+    """A document's workflow before and after: whether it sets up the runtime, has variables, enters the folder, by its id."""
+    step = "      - name: Publish documentation\n"
+    script = "        run: |\n          " + ("cd tools/tool\n          npm ci\n          npx tool publish\n" if old else "npx @scope/tool@latest publish\n")
+    one = "        run: npx " + ("tool" if old else "@scope/tool@latest") + " publish\n"
+    return join(
+        _CHECKOUT, pick(2, _SETUP, "" if old else "\n" + _SETUP), step,
+        pick(3, _SECRETS if old else _SECRETS + _SETTINGS, "" if old else _SECRETS + _SETTINGS), pick(5, one, script), "      # ", text, "\n",
+    )
+
+
+def _sql_text(x: str) -> str:
+    return "replace(" + quoted(x.replace("\n", "^")) + ", '^', chr(10))"
+
+
+_CLEAN = "replace(replace(coalesce(text, ''), chr(10), ' '), 'env:', 'env ')"
+_SQL_WORKFLOW = _workflow(lambda k, a, b: f"CASE doc_id % {k} WHEN 0 THEN {_sql_text(a)} ELSE {_sql_text(b)} END", _CLEAN, lambda *xs: " || ".join(x if x.startswith(("CASE", "replace(")) else _sql_text(x) for x in xs), False)
+
+
+def _workflow_files(spark, sf_dir):
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("env:"), F.lit("env "))
+    pick = lambda k, a, b: F.when(F.col("doc_id") % k == 0, a).otherwise(b)
+    return read(spark, sf_dir, "documents").select("doc_id", _workflow(pick, text, lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs]), True).alias("content"))
+
+
+@query(f"SELECT doc_id, {_SQL_WORKFLOW} AS content FROM documents")
+def workflows_of_documents(spark, sf_dir):
+    """Workflows of all kinds, each with a document's text as a comment, brought up to date."""
+    return _workflow_files(spark, sf_dir).select("doc_id", workflows.migrated_workflow(F.col("content"), _TOOL).alias("content"))
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 > 0 THEN 'tools folder' END, CASE WHEN doc_id % 5 > 0 THEN 'install without latest' END, 'run without latest', CASE WHEN doc_id % 2 > 0 THEN 'no node setup' END, CASE WHEN doc_id % 3 > 0 THEN 'no environment' END) AS found FROM documents""")
+def workflow_patterns(spark, sf_dir):
+    return _workflow_files(spark, sf_dir).select("doc_id", F.array_join(context.legacy_patterns(F.col("content"), "tool"), ",").alias("found"))
 
 
 @query(golden([(1, "- a\n- b")], "id, text"))
