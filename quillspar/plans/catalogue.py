@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspar.plans import base, changes, contexts, facts, lexing, live, rendering, snippets, sources_and_text, structure  # noqa: F401  importing a module registers its queries
+from quillspar.plans import base, changes, contexts, facts, lexing, live, rendering, settings, snippets, sources_and_text, structure  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict[str, base.Query]:
