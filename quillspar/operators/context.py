@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspar.functions import rules, text
+from quillspar.operators import graph
 
 
 def module_edges(modules: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,6 +48,20 @@ def patterns(modules: DataFrame, measured: DataFrame | None = None) -> DataFrame
     return found.select(F.explode(rows).alias("r")).select("r.pattern", "r.verified")
 
 
+#: Fixed value: edges beyond which a graph without cycles counts as layered.
+LEAST_EDGES = 10
+
+
+def structural_patterns(edges: DataFrame) -> DataFrame:
+    """(pattern, n): `layered` with the number of distinct edges (src, dst) where none lies on a cycle, or `cyclic` with the number
+    of strongly connected components that hold a cycle; no row for a small graph without cycles.
+    """
+    total = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().agg(F.count("*").alias("edges"))
+    knots = graph.strong_components(edges).agg(F.count_distinct("root").alias("knots"))
+    one = F.when(F.col("knots") > 0, F.struct(F.lit("cyclic").alias("pattern"), F.col("knots").alias("n"))).when(F.col("edges") > LEAST_EDGES, F.struct(F.lit("layered").alias("pattern"), F.col("edges").alias("n")))
+    return total.join(knots).select(one.alias("one")).filter("one IS NOT NULL").select("one.*")  # one row each
+
+
 def graph_verdicts() -> dict[str, Column]:
     """Verdicts over columns files, externals, cycles, orphans, top_hub (importers of the largest hub)."""
     return {

@@ -9,7 +9,7 @@ from quillspar.operators import context, parsing
 from quillspar.plans.base import query
 from quillspar.plans.sources_and_text import golden
 from quillspar.plans.structure import DEGREES, DOMAINED, MODULES, NODES, _URL, counted, measured, with_domain
-from quillspar.sources.adapters import EDGES, edges, quoted, read, sql_values, values
+from quillspar.sources.adapters import CODE_EDGES, EDGES, code, edges, quoted, read, sql_values, values
 
 _FILE_EDGES = [("src/a/x", "src/b/y"), ("src/a/x", "src/a/z"), ("lib/q", "src/b/y"), ("src/b/y", "lib/q"), ("src/b/w", "lib/q"), ("src/util/u", "src/b/y")]
 _MODS = [("src/a",), ("src/b",), ("lib",), ("none",)]
@@ -34,6 +34,17 @@ def verified_patterns(spark, sf_dir):
     return context.patterns(rows, rows)
 
 
+@query(f"""WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM {EDGES} UNION SELECT r.src, e.dst FROM r JOIN {EDGES} e ON r.dst = e.src),
+knots AS (SELECT count(DISTINCT root) AS n FROM (SELECT a.src, min(a.dst) AS root FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src))
+SELECT 'nations' AS graph, CASE WHEN n > 0 THEN 'cyclic' ELSE 'layered' END AS pattern, CASE WHEN n > 0 THEN n ELSE (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM {EDGES})) END AS n FROM knots
+UNION ALL SELECT 'files', 'layered', count(*) FROM {CODE_EDGES}""")
+def structural_patterns(spark, sf_dir):
+    """Whether the nations' orders and the files' imports form layers; an import leads to a smaller id, so files do."""
+    found = {"nations": edges(spark, sf_dir), "files": parsing.import_edges(code(spark, sf_dir))}
+    nations, of_files = (context.structural_patterns(e).select(F.lit(k).alias("graph"), "pattern", "n") for k, e in found.items())
+    return nations.union(of_files)
+
+
 _STATS = [(1, 100, 40, 0, 0, 10), (2, 100, 60, 2, 11, 31), (3, 100, 100, 0, 10, 30)]
 
 

@@ -58,3 +58,10 @@ def declared_relations(spark, sf_dir):
 SELECT kind, count(*) AS names FROM (SELECT 'interface' AS kind FROM s UNION ALL SELECT 'interface' FROM s UNION ALL SELECT 'alias' FROM s UNION ALL SELECT 'class' FROM s) GROUP BY kind""")
 def declared_kinds(spark, sf_dir):
     return parsing.type_edges(snippets(spark, sf_dir))[0].groupBy("kind").agg(F.count("*").alias("names"))
+
+
+@query("SELECT CASE doc_id % 4 WHEN 0 THEN 'src/s' || doc_id || '.js' WHEN 1 THEN 'src/s' || doc_id || '.tsx' WHEN 2 THEN 'src/s' || doc_id || '.graphql' ELSE 'src/s' || doc_id || '.ts' END AS path, doc_id % 4 = 0 AS server, doc_id % 4 = 1 AS react, false AS vue FROM documents")
+def routers_of_files(spark, sf_dir):
+    """Which frameworks' routes each file shows."""
+    c = F.col("content")
+    return snippets(spark, sf_dir).select("path", parsing.express_files(c).alias("server"), parsing.react_files(c).alias("react"), parsing.vue_files(c).alias("vue"))

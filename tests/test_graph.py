@@ -50,3 +50,15 @@ def test_cycles_are_walked_inside_components(spark):
 def test_no_edges(spark):
     assert graph.strong_components(spark.createDataFrame([], "src long, dst long")).collect() == []
     assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).collect() == []
+
+
+def test_structural_patterns(spark):
+    from quillspar.operators import context
+
+    def found(pairs):
+        return [tuple(r) for r in context.structural_patterns(spark.createDataFrame(pairs, "src string, dst string")).collect()]
+
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(11)]
+    assert found(chain + chain) == [("layered", 11)]
+    assert found(chain[:10]) == [] and found([]) == []
+    assert found([*chain, ("n3", "n1"), ("n9", "n8")]) == [("cyclic", 2)]
