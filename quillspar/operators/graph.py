@@ -41,6 +41,11 @@ def back_edges(order: list[str], out: dict[str, list[str]]) -> list[list[str]]:
     return found
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle whatever its sides' sizes: many rounds of small broadcasts would add up on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _least_ahead(edges: DataFrame, seed: int) -> DataFrame:
     """(node, least): of all nodes from which a path leads to a node, itself included, the one of least rank.
 
@@ -49,18 +54,19 @@ def _least_ahead(edges: DataFrame, seed: int) -> DataFrame:
     """
     own = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("rank"), F.col(c).alias("node"))
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    known = write_table(ends.select("node", own("node").alias("least")), "least")
+    known = write_table(ends.select("node", own("node").alias("least"), F.lit(True).alias("moved")), "least")
     while True:
-        ahead = edges.join(known, edges["src"] == known["node"]).select(F.col("dst").alias("node"), "least")
-        spread = known.unionByName(ahead).groupBy("node").agg(F.min("least").alias("least"))
+        ahead = _met(edges, known, edges["src"] == known["node"]).select(F.col("dst").alias("node"), "least")
+        spread = known.select("node", "least", F.col("least").alias("old")).unionByName(ahead, allowMissingColumns=True)
+        spread = spread.groupBy("node").agg(F.min("least").alias("least"), F.max("old").alias("old"))
         via = known.select(F.col("node").alias("_via"), F.col("least").alias("_least"))
-        jumped = spread.join(via, spread["least"]["node"] == via["_via"], "left").select("node", F.least("least", "_least").alias("least"))
-        moved = write_table(jumped, "least")
-        settled = moved.exceptAll(known).isEmpty()
+        jumped = _met(spread, via, spread["least"]["node"] == via["_via"], "left").select("node", F.least("least", "_least").alias("least"), "old")
+        now = write_table(jumped.select("node", "least", (F.col("least") != F.col("old")).alias("moved")), "least")
+        settled = now.filter("moved").isEmpty()
         drop_table(known)
-        known = moved
+        known = now
         if settled:
-            return known
+            return known.drop("moved")
 
 
 def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
@@ -71,33 +77,33 @@ def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
     cut what is left near its middle, so some log2(nodes) rounds do. Before a round, nodes that nothing enters or
     leaves go, a few times. A node with an edge to itself is on a cycle. Nulls are no nodes.
     """
-    whole = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    whole = write_table(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     found = write_table(whole.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root")), "loops")
-    left, seed = write_table(whole.filter("src <> dst"), "left"), 0
+    loops = found.select("node", F.lit(True).alias("loop"))
+    left, seed, used = whole.filter("src <> dst"), 0, [whole]
     while True:
-        kept = left
         for _ in range(trims):
-            kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = write_table(kept.select("src", "dst"), "left")
-        drop_table(left)
-        left = kept
+            left = _met(_met(left, left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = write_table(left.select("src", "dst"), "left")
+        for df in used:
+            drop_table(df)
         if left.isEmpty():
             break
         to = _least_ahead(left, seed)
         back = _least_ahead(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seed)
-        both = write_table(to.select("node", F.col("least.node").alias("to")).join(back.select("node", F.col("least.node").alias("back")), "node"), "both")
-        done = write_table(found.unionByName(both.filter("to = back").select("node", F.col("to").alias("root"))), "found")
+        both = write_table(_met(to.select("node", F.col("least.node").alias("to")), back.select("node", F.col("least.node").alias("back")), "node"), "both")
+        done = both.filter("to = back").select("node", F.col("to").alias("root"))
+        found = found.unionByName(write_table(done, "found"))
         open_ = both.filter("to <> back")
         ends = [open_.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"), F.col("back").alias(f"back_{c}")) for c in ("src", "dst")]
-        kept = left.join(ends[0], "src").join(ends[1], "dst").filter("to_src = to_dst AND back_src = back_dst")
+        kept = _met(_met(left, ends[0], "src"), ends[1], "dst").filter("to_src = to_dst AND back_src = back_dst")
         kept = write_table(kept.select("src", "dst"), "left")
-        for df in (found, left, to, back, both):
+        for df in (to, back, both, left):
             drop_table(df)
-        found, left, seed = done, kept, seed + 1
+        left, seed, used = kept, seed + 1, [kept]
     # a looped node may have been found twice, and a node alone in its component is on no cycle but its own loop
     sized = found.groupBy("root").agg(F.count_distinct("node").alias("size"), F.min("node").alias("least"))
-    loops = whole.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
-    every = found.join(sized, "root").join(loops, "node", "left").filter("size > 1 OR loop")
+    every = _met(_met(found, sized, "root"), loops, "node", "left").filter("size > 1 OR loop")
     return every.groupBy("node").agg(F.max_by(F.struct("least", "size"), "size").alias("c")).select("node", F.col("c.least").alias("root"), F.col("c.size").alias("size"))
 
 

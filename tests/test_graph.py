@@ -62,3 +62,19 @@ def test_structural_patterns(spark):
     assert found(chain + chain) == [("layered", 11)]
     assert found(chain[:10]) == [] and found([]) == []
     assert found([*chain, ("n3", "n1"), ("n9", "n8")]) == [("cyclic", 2)]
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    write = graph.write_table
+
+    def written(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(graph, "write_table", written)
+    pairs = [(i, i + 1) for i in range(40)] + [(40, 20), (7, 7), (10, 5)]
+    found = graph.strong_components(spark.createDataFrame(pairs, "src long, dst long"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r.node, r.root, r.size) for r in found.collect()} == {*((i, 5, 6) for i in range(5, 11)), *((i, 20, 21) for i in range(20, 41))}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
