@@ -219,3 +219,38 @@ def test_documentation_comments():
     assert doc["description"] == "Adds a and b." and [p["description"] for p in doc["params"]] == ["the first of two", "x"] and doc["params"][1]["optional"]
     assert doc["returns"] == {"type": "void", "description": "sum"} and doc["throws"] == ["{E} if odd", "other"] and doc["examples"] == ["add(1)"]
     assert doc["deprecated"] == parsing.NO_REASON and doc["see"] == ["other @here"] and doc["since"] == "1.2"
+
+
+def test_long_comments_are_not_searched_space_by_space():
+    import random
+    import re
+
+    from quillspar.functions import rules
+
+    rng, parts = random.Random(3), ["/*", "*/", "//", ":", "\n", " ", "\t", "function ", "async ", "export ", "f(", "const x = a =>", "if (", "? ", "&&", "'", '"', "`", "\\", "eval(", "x" * 20, 'token = "', "SELECT ", "+ a"]
+    stripped = lambda s: re.sub(r"(?<!:)//.*$", "", re.sub(r"/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), s, flags=re.S), flags=re.M)
+    for _ in range(2000):
+        source = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        whole, short = parsing.strip_comments(source), parsing.strip_comments(source, parsing.WIDE)
+        assert whole == stripped(source) and short.count("\n") == whole.count("\n")
+        for _, _, _, _, pattern in rules.SECURITY:
+            at = [[parsing.line_of(t)(m.start()) for m in re.finditer(pattern, t, re.A | re.M)] for t in (whole, short)]
+            assert at[0] == at[1], source
+        found = [(m.start(), m[1]) for m in re.finditer(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(", source, re.A)]
+        assert [(source.count("\n", 0, a) + 1, n) for a, n in found] == [(line, n) for n, line, _ in parsing.functions_of(source) if n != "x"]
+    assert len(parsing.strip_comments("/*" + "a" * 1000 + "\n" + "b" * 1000 + "*/", parsing.WIDE)) == 2 * parsing.WIDE + 1
+
+
+@pytest.mark.parametrize("name", ["summary_document", "health_document"])
+def test_a_document_is_rendered_from_one_parse(spark, monkeypatch, name):
+    from quillspar.operators import rendering
+    from quillspar.plans import catalogue
+    from quillspar.plans import rendering as plans
+
+    seen = []
+    for module in (facts, rendering, plans):
+        write = module.write_table
+        monkeypatch.setattr(module, "write_table", lambda df, tag, write=write: [seen.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, tag)][1])
+    out = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("eval(x);" in p for p in seen) == 1  # plans that build the files' content
