@@ -12,6 +12,8 @@ batch that failed half-way is done again from the version before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,10 +38,12 @@ TABLES = {
 PARSED = ("imports", "measures", "findings", "exports")
 
 
-def parse(files: DataFrame) -> dict[str, DataFrame]:
-    """The facts of files (path, content), by table."""
-    kept = files.filter(~F.col("path").rlike(rules.SKIPPED))
-    return {"imports": parsing.imports(files), "measures": parsing.measured(kept), "findings": parsing.findings(files), "exports": parsing.exports(files)}
+def parse(files: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = write_table) -> dict[str, DataFrame]:
+    """The facts of files (path, content), by table, from one parse that `keep` writes."""
+    known = keep(parsing.parsed(files), "parsed")
+    each = lambda c: known.select("path", F.explode(c).alias("x")).select("path", "x.*")
+    imports = parsing.resolved(known.select("path", F.explode("specifiers").alias("specifier")))
+    return {"imports": imports, "measures": known.filter("analysed").select("path", "measures.*"), "findings": each("findings"), "exports": each("exports")}
 
 
 def code_key(path: Column) -> Column:
@@ -72,9 +76,9 @@ class LiveFacts:
         held = self.store.near("files", base, last).select("path", F.col("hash").alias("old_hash"), F.col("key").alias("old_key"))
         both = last.join(held, "path", "left")
         moved = both.filter((F.col("deleted") & F.col("old_hash").isNotNull()) | (~F.col("deleted") & ~F.col("hash").eqNullSafe(F.col("old_hash"))))
-        moved = kept(moved.withColumn("key", F.when(~F.col("deleted"), code_key(F.col("path")))), "moved")
+        fresh = parse(moved.filter("NOT deleted").select("path", "content"), kept)
+        moved = kept(moved.drop("content").withColumn("key", F.when(~F.col("deleted"), code_key(F.col("path")))), "moved")
         gone, live = moved.select("path"), moved.filter("NOT deleted")
-        fresh = parse(live.select("path", "content"))
         fresh["imports"] = kept(fresh["imports"], "imports")
         where = self.store.touched("files", gone)
 

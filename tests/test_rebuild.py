@@ -93,3 +93,14 @@ def test_a_stream_of_changes(spark, tmp_path):
     version = live.store.snapshot().version
     live.follow(stream(), str(tmp_path / "check")).awaitTermination()  # nothing new
     assert live.store.snapshot().version == version == 2
+
+
+def test_all_tables_of_a_batch_come_from_one_parse(spark):
+    rows = [("src/a.js", 'import "./b"; eval("x");\n/** Says. */\nexport function f(a) { return a && 1; }'), ("src/b.test.js", 'import "./a"; eval("y"); export function g() {}'), ("src/app.config.js", "eval(1)"), ("docs/c.md", 'import "./a"'), ("src/n.js", None)]
+    files, kept = spark.createDataFrame(rows, "path string, content string"), []
+    out = rebuild.parse(files, lambda df, tag: kept.append(rebuild.write_table(df, tag)) or kept[-1])
+    assert len(kept) == 1 and not any("MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString() for df in out.values())
+    plain = {"imports": parsing.imports(files), "measures": parsing.measured(files.filter("path <> 'src/b.test.js'")), "findings": parsing.findings(files), "exports": parsing.exports(files)}
+    for name, want in plain.items():
+        assert out[name].columns == want.columns
+        assert sorted(map(tuple, out[name].collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
