@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from quillspar.llm.common import U64, Words, column, hash_strings, located, mix64, narrow_join, sized_batches
+from quillspar.llm.common import U64, Words, column, hash_strings, located, mix64, narrow_join, release, sized_batches
 from quillspar.session import drop_table, write_table
 
 MAX_LABELLED, MAX_GIVEN = 12_000, 8_000 // 6
@@ -39,6 +39,8 @@ DIM, EPOCHS, STEP, DECAY, RARE, TELLING = 1 << 18, 12, 0.1, 1e-4, 3, 3.0
 TOXIC_CUT = 0.3
 BATCH_BYTES = 3 << 20
 SKIP = 65535
+#: Rows unpacked at a time, and parts in which they come to the driver.
+UNPACKED, PARTS = 256, 48
 TARGETS = ("quality", "toxic")
 _COUNTED = (("upper", "[A-Z]"), ("pipe", "[|]"), ("shout", "[!]"), ("digit", "[0-9]"), ("symbol", "[#*$%&<>]"), ("other", r"[{}\[\]=;/\\@_~^]"))
 
@@ -121,22 +123,30 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Rows:
-    """Sparse 0/1 rows, looked at one by one or some hundred at a time."""
+    """Sparse 0/1 rows, held packed and unpacked some hundred at a time."""
 
     def __init__(self):
-        self.each: list[np.ndarray] = []
+        self.each: list[bytes] = []
 
     def add(self, blob: bytes) -> None:
-        self.each.append(unpacked([blob])[1].astype(np.int32))
+        self.each.append(blob)
+
+    def features(self, which: np.ndarray) -> Iterator[np.ndarray]:
+        """The features of each of the given rows."""
+        for a in range(0, len(which), UNPACKED):
+            blobs = [self.each[i] for i in which[a : a + UNPACKED].tolist()]
+            owner, feature = unpacked(blobs)
+            ends = np.searchsorted(owner, np.arange(len(blobs) + 1))
+            yield from (feature[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
     def scores(self, weights: np.ndarray, which: np.ndarray) -> np.ndarray:
-        return weights[-1] + np.array([weights[self.each[i]].sum() for i in which.tolist()])
+        return weights[-1] + np.array([weights[at].sum() for at in self.features(which)])
 
     def often(self, which: np.ndarray, worth: np.ndarray) -> np.ndarray:
         """What the rows with each feature are worth."""
         out = np.zeros(DIM)
-        for i, w in zip(which.tolist(), worth.tolist(), strict=True):
-            out[self.each[i]] += w
+        for at, w in zip(self.features(which), worth.tolist(), strict=True):
+            out[at] += w
         return out
 
 
@@ -157,15 +167,14 @@ def fit(rows: Rows, which: np.ndarray, y: np.ndarray, worth: np.ndarray) -> np.n
     common = (total >= min(RARE, max(1, len(which) // 100))) & (apart >= TELLING)
     share = np.clip(y.mean(), 0.01, 0.99) if len(y) else 0.5
     weights[-1] = np.log(share / (1 - share))
+    told = [at[common[at]].astype(np.int32) for at in rows.features(which)]
     random = np.random.RandomState(7)
     for _ in range(EPOCHS):
         order = random.permutation(len(which))
         for a in range(0, len(order), 256):
             batch = order[a : a + 256]
-            at = [rows.each[r] for r in which[batch].tolist()]
+            at = [told[r] for r in batch.tolist()]
             owner, flat = np.repeat(np.arange(len(batch)), [len(x) for x in at]), np.concatenate(at)
-            keep = common[flat]
-            owner, flat = owner[keep], flat[keep]
             miss = (squash(weights[-1] + np.bincount(owner, weights[flat], len(batch))) - y[batch]) * worth[batch]
             used, place = np.unique(flat, return_inverse=True)
             slope = np.bincount(place, miss[owner], len(used)) / len(batch) + DECAY * weights[used]
@@ -283,10 +292,13 @@ def pass_on(rows: DataFrame, views: list[Rows], exchanges: dict[str, Exchange],
     fresh = sorted({i for *_, ids in found for i in ids if i not in places})
     if fresh:
         wanted = rows.sparkSession.createDataFrame(fresh, "_file long, _row long")
-        for row in rows.join(F.broadcast(wanted), ["_file", "_row"]).select("_file", "_row", "v0", "v1").orderBy("_file", "_row").collect():
+        picked = write_table(rows.join(F.broadcast(wanted), ["_file", "_row"]).select("_file", "_row", "v0", "v1"), "picked")
+        for row in in_parts(picked, "_file", "_row"):
             places[row._file, row._row] = len(views[0].each)
             for k in range(2):
                 views[k].add(bytes(row[f"v{k}"]))
+        drop_table(picked)
+    release()
     for e in exchanges.values():
         e.given = [{} for _ in e.given]
     for t, k, verdict, worth, ids in found:
@@ -294,13 +306,18 @@ def pass_on(rows: DataFrame, views: list[Rows], exchanges: dict[str, Exchange],
             exchanges[t].given[k].setdefault(places[i], (verdict, worth))
 
 
+def in_parts(rows: DataFrame, *order: str) -> Iterator[Row]:
+    """Rows in their order, a part at a time: neither the JVM nor Python holds all of them."""
+    return rows.repartitionByRange(PARTS, *order).sortWithinPartitions(*order).toLocalIterator()
+
+
 def learned(rows: DataFrame, max_given: int) -> tuple[dict[str, Exchange], bool]:
     """The exchange of each target after its rounds, and whether there was any label."""
     views, y = [Rows(), Rows()], {t: [] for t in TARGETS}
     sampled = rows.filter(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS))
     sampled = sampled.groupBy("doc_id").agg(F.min(F.struct("v0", "v1", "_file", "_row", *TARGETS)).alias("x")).select("doc_id", "x.*")
     places: dict[tuple[int, int], int] = {}
-    for row in write_table(sampled, "fitted").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
+    for row in in_parts(write_table(sampled, "fitted").withColumn("_md5", F.md5(F.col("doc_id").cast("string"))), "_md5", "doc_id"):
         places[row._file, row._row] = len(places)
         for k in range(2):
             views[k].add(bytes(row[f"v{k}"]))
