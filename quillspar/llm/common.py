@@ -89,8 +89,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def hash_strings(values: pa.Array) -> np.ndarray:
     """64-bit hashes of a string or binary array (vocabulary-sized: one call per value)."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(v) for v in values.to_pylist()), U64, len(values))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values.to_numpy(zero_copy_only=False)), U64, len(values))
 
 
 #: Bytes that end a word become a space, A-Z become a-z; bytes from 0x80 on belong to words.

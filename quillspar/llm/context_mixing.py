@@ -45,8 +45,11 @@ GATES = 8 * 8 * 4
 RATE, FIRST_WEIGHT, STEP = 0.01, 0.2, 16384
 STEPS, LIMIT = 24, 8.0
 ADAPT = (100.0, 1000.0, 10_000.0, 100_000.0)
+#: How much has been seen in the contexts of four bytes and of all of the word picks the gate.
+SEEN = {3: (0.5, 8, 512), 5: (0.5, 2, 4, 8, 32, 256, 4096)}
 _SALTS = np.array([0x1B873593, 0xCC9E2D51, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint32)
-CHUNK_WORDS = 16384
+#: Words at a time, where that decides steps of learning, and where it doesn't.
+CHUNK_WORDS, FEW_WORDS = 16384, 1024
 
 
 class Coded:
@@ -79,12 +82,13 @@ class Coded:
                 c = (self.contexts[i] + np.uint32(i + 1)) * salt
                 self.contexts[i] = c ^ (c >> np.uint32(15))
 
-    def bit(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots (one row for each predictor), outcomes, and the part of the byte known so far, at bit b."""
-        node = (np.uint32(1 << b) | self.bytes >> np.uint32(8 - b)) if b else np.ones(len(self.bytes), np.uint32)
+    def bit(self, b: int, part: slice = slice(None)) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots (of each predictor), outcomes, and the part of the byte known so far, at bit b of some bytes."""
+        own = self.bytes[part]
+        node = (np.uint32(1 << b) | own >> np.uint32(8 - b)) if b else np.ones(len(own), np.uint32)
         mixed = node * np.uint32(0x9E3779B1)
-        slots = np.stack([((c + mixed) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - TABLE_BITS)).astype(np.int64) for c in self.contexts])
-        return slots, (self.bytes >> np.uint32(7 - b) & np.uint32(1)).astype(np.int64), node.astype(np.int64)
+        slots = [((c[part] + mixed) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - TABLE_BITS)).astype(np.int64) for c in self.contexts]
+        return slots, (own >> np.uint32(7 - b) & np.uint32(1)).astype(np.int64), node.astype(np.int64)
 
 
 def count_bits(words: list[bytes], weights: np.ndarray, tables: np.ndarray) -> None:
@@ -98,22 +102,28 @@ def count_bits(words: list[bytes], weights: np.ndarray, tables: np.ndarray) -> N
                 np.add.at(tables[i].reshape(-1), slots[i] * 2 + bits, each)
 
 
-def stretch_all(tables: np.ndarray, slots: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each predictor and how much each has seen; with `bits`, one occurrence of them is taken out first."""
-    odds = np.empty(slots.shape, np.float32)
-    seen = np.empty(slots.shape, np.float32)
-    for i in range(ORDERS):
-        zero, one = tables[i, :, 0][slots[i]], tables[i, :, 1][slots[i]]
-        if bits is not None:
-            one = np.maximum(one - bits, 0)
-            zero = np.maximum(zero - (1 - bits), 0)
-        odds[i] = np.log((one + 0.02) / (zero + 0.02))
-        seen[i] = zero + one
-    return np.clip(odds, -LIMIT, LIMIT), seen
+class Odds:
+    """What the spelling predictors say in each slot, worked out once; with `without`, also less one 0 and less one 1."""
 
+    def __init__(self, tables: np.ndarray, without: bool):
+        kinds, self.gates = (0, 1) if without else (None,), []
+        self.wide, self.odds = len(kinds), np.empty((ORDERS, tables.shape[1], len(kinds)), np.float32)
+        for i in range(ORDERS):
+            seen = np.empty((tables.shape[1], len(kinds)), np.float32)
+            for k, own in enumerate(kinds):
+                zero, one = (np.maximum(tables[i, :, bit] - 1, 0) if own == bit else tables[i, :, bit] for bit in (0, 1))
+                self.odds[i, :, k] = np.log((one + 0.02) / (zero + 0.02))
+                seen[:, k] = zero + one
+            if i in SEEN:
+                self.gates.append(sum((seen >= x).astype(np.uint8) for x in SEEN[i]).reshape(-1))
+        np.clip(self.odds, -LIMIT, LIMIT, out=self.odds)
+        self.odds = self.odds.reshape(ORDERS, -1)
 
-def gate(b: int, seen: np.ndarray) -> np.ndarray:
-    return (b * 8 + np.digitize(seen[5], (0.5, 2, 4, 8, 32, 256, 4096))) * 4 + np.digitize(seen[3], (0.5, 8, 512))
+    def at(self, slots: list[np.ndarray], bits: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Log-odds of each predictor, and gates within the bit's place."""
+        slots = [(x << 1) + bits for x in slots] if self.wide == 2 else slots
+        rough, fine = (np.take(g, slots[i]) for g, i in zip(self.gates, sorted(SEEN), strict=True))
+        return [np.take(o, at) for o, at in zip(self.odds, slots, strict=True)], fine * np.uint8(4) + rough
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -128,28 +138,39 @@ class Mixer:
         self.moved = np.zeros(GATES)
         self.refined = np.zeros((STEPS + 1, 256, 2))
 
-    def learn(self, words: list[bytes], counts: np.ndarray, tables: np.ndarray) -> None:
+    def learn(self, words: list[bytes], counts: np.ndarray, tables: np.ndarray | Odds) -> None:
+        """From words and their counts; bits are brought together by gate, as in `word_paths`."""
+        known = tables if isinstance(tables, Odds) else Odds(tables, True)
         order = np.random.RandomState(len(words)).permutation(len(words))  # neighbours in order share their contexts
         words, counts = [words[i] for i in order.tolist()], counts[order]
         for a in range(0, len(words), CHUNK_WORDS):
             coded = Coded(words[a : a + CHUNK_WORDS])
             each = np.repeat(counts[a : a + CHUNK_WORDS].astype(np.float64), coded.lengths)
             for b in range(8):
-                slots, bits, node = coded.bit(b)
-                odds, seen = stretch_all(tables, slots, bits)
-                gates = gate(b, seen)
-                for x in range(0, len(bits), STEP):
-                    part = slice(x, x + STEP)
-                    g, s, y, w = gates[part], odds[:, part], bits[part], each[part]
-                    mixed = np.einsum("ij,ji->j", s, self.weights[g])
+                weights, places, placed = self.weights[b * 32 : b * 32 + 32], [], []
+                for x in range(0, len(each), STEP):
+                    slots, bits, node = coded.bit(b, slice(x, x + STEP))
+                    found, gates = known.at(slots, bits)
+                    order = np.argsort(gates, kind="stable")
+                    odds = np.stack([np.take(s, order) for s in found])
+                    w = np.take(each[x : x + STEP], order)
+                    place = np.take((node << 1) + bits, order)
+                    sizes, mixed = np.bincount(gates, minlength=32), np.empty(len(order), np.float32)
+                    ends = np.cumsum(sizes)
+                    met = [(g, slice(ends[g] - sizes[g], ends[g])) for g in np.flatnonzero(sizes).tolist()]
+                    for g, own in met:
+                        mixed[own] = weights[g].astype(np.float32) @ odds[:, own]
                     p = squash(mixed)
-                    miss, spread = (y - p) * w, p * (1 - p) * w
-                    for i in range(ORDERS):
-                        # a damped Newton step for each weight of a gate
-                        self.weights[:, i] += RATE * np.bincount(g, miss * s[i], GATES) / (np.bincount(g, spread * s[i] ** 2, GATES) + 1)
-                    self.moved += np.bincount(g, w, GATES)
-                    at = np.rint((np.clip(mixed, -LIMIT, LIMIT) + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64)
-                    np.add.at(self.refined, (at, node[part], y), w)
+                    light = w.astype(np.float32)
+                    miss, spread = ((place & 1).astype(np.float32) - p) * light, p * (1 - p) * light
+                    squares = odds * odds
+                    for g, own in met:  # a damped Newton step for each weight of a gate
+                        weights[g] += RATE * (odds[:, own] @ miss[own]) / (squares[:, own] @ spread[own] + 1)
+                        self.moved[b * 32 + g] += w[own].sum()
+                    at = np.rint((np.clip(mixed, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))).astype(np.int64)
+                    places.append(at * 512 + place)
+                    placed.append(w)
+                self.refined += np.bincount(np.concatenate(places), np.concatenate(placed), self.refined.size).reshape(self.refined.shape)
 
     def prepared(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights, and the refined log-odds for each step of mixed log-odds and known part of the byte."""
@@ -161,14 +182,17 @@ class Mixer:
 
 def word_bits(words: list[bytes], tables: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """Bits that coding each word takes."""
-    out = []
-    for a in range(0, len(words), CHUNK_WORDS):
-        coded = Coded(words[a : a + CHUNK_WORDS])
+    out, known = [], Odds(tables, False) if words else None
+    for a in range(0, len(words), FEW_WORDS):
+        coded = Coded(words[a : a + FEW_WORDS])
         cost = np.zeros(len(coded.bytes))
         for b in range(8):
             slots, bits, node = coded.bit(b)
-            odds, seen = stretch_all(tables, slots, None)
-            mixed = np.clip(np.einsum("ij,ji->j", odds, weights[gate(b, seen)]), -LIMIT, LIMIT)
+            odds, gates = known.at(slots, bits)
+            mixed = np.zeros(len(bits))
+            for x, w in zip(odds, weights[b * 32 : b * 32 + 32].T, strict=True):
+                mixed += x * np.take(w, gates)
+            mixed = np.clip(mixed, -LIMIT, LIMIT)
             at = (mixed + LIMIT) * (STEPS / (2 * LIMIT))
             low = np.minimum(at.astype(np.int64), STEPS - 1)
             share = at - low
@@ -192,8 +216,10 @@ def opened(blob: bytes, kind: type | str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
-def _joined(words: list[bytes]) -> bytes:
-    return squeezed(np.frombuffer(b" ".join(words), np.uint8))
+def _joined(words: pa.Array, cuts: np.ndarray) -> list[bytes]:
+    """The words between any two cuts, as one blob."""
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), b" ")
+    return [squeezed(np.frombuffer(x.as_buffer(), np.uint8)) for x in texts]
 
 
 def _split(blob: bytes) -> list[bytes]:
@@ -209,18 +235,18 @@ def _gathered(shares: int, kind: pa.DataType):
         for table in sized_batches(batches, "text", BATCH_BYTES):
             words = Words(column(table, "text"))
             held = column(table, "held_out").to_numpy(zero_copy_only=False)
-            hashes = (hash_strings(words.vocabulary) >> U64(32)).astype(np.uint32)
+            vocabulary = words.vocabulary.cast(pa.binary())
+            hashes = (hash_strings(vocabulary) >> U64(32)).astype(np.uint32)
             part = (hashes % np.uint32(shares)).astype(np.int64)
             learned = np.repeat(~held, np.diff(words.starts))
             counts = np.bincount(words.codes[learned], minlength=len(part)).astype(np.int32)
             number = table.column("_file")[0].as_py() ^ (table.column("_row")[0].as_py() * 0x9E3779B97F4A7C15 & (1 << 63) - 1)
             rows = [{"batch": number, "part": -1, "codes": squeezed(words.codes.astype(np.uint32)), "starts": squeezed(words.starts.astype(np.int64)), "hashes": squeezed(hashes), "doc_ids": column(table, "doc_id").to_pylist(), "held": held.tolist(), "sizes": pc.binary_length(pc.fill_null(column(table, "text"), "")).to_numpy().astype(np.int64).tobytes()}]
-            texts = np.array([v.encode() for v in words.vocabulary.to_pylist()], object)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(shares + 1))
+            texts = _joined(vocabulary.take(pa.array(order)), cuts)
             for p in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[p] : cuts[p + 1]]
-                rows.append({"batch": number, "part": p, "words": _joined(texts[own].tolist()), "counts": squeezed(counts[own])})
+                rows.append({"batch": number, "part": p, "words": texts[p], "counts": squeezed(counts[order[cuts[p] : cuts[p + 1]]])})
             yield from pa.Table.from_pylist(rows, fields).to_batches(32)
 
     return run
@@ -232,22 +258,18 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = column(several, "part").to_numpy()
         for part in np.unique(numbers).tolist():
             table = several.filter(pa.array(numbers == part))
-            blobs = column(table, "words").to_pylist()
-            split = [_split(x) for x in blobs]
-            flat = [w for x in split for w in x]
-            coded = pa.array(flat, pa.binary()).dictionary_encode()
+            split = pc.split_pattern(pa.array([opened(x, np.uint8).tobytes() for x in column(table, "words").to_pylist()], pa.binary()), " ")
+            coded = pc.list_flatten(split).dictionary_encode()
             counts = np.concatenate([opened(x, np.int32) for x in column(table, "counts").to_pylist()])
-            codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            order = sorted(range(len(words)), key=words.__getitem__)
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
-            sums = np.bincount(place[codes], counts, len(words)).astype(np.int64)
-            rows = [{"part": part, "batch": None, "words": _joined([words[i] for i in order]), "counts": squeezed(sums), "n": int(sums.sum()), "v": int((sums > 0).sum())}]
-            at = 0
-            for batch, x in zip(column(table, "batch").to_pylist(), split, strict=True):
-                k = len(x)
-                rows.append({"part": part, "batch": batch, "words": squeezed(place[codes[at : at + k]]), "counts": None, "n": 0, "v": 0})
-                at += k
+            order = pc.array_sort_indices(coded.dictionary)
+            place = np.empty(len(order), np.int32)
+            place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+            places, words = place[coded.indices.to_numpy()], coded.dictionary.take(order)
+            sums = np.bincount(places, counts, len(order)).astype(np.int64)
+            rows = [{"part": part, "batch": None, "words": _joined(words, np.array([0, len(words)]))[0], "counts": squeezed(sums), "n": int(sums.sum()), "v": int((sums > 0).sum())}]
+            cuts = split.offsets.to_numpy()
+            for batch, a, b in zip(column(table, "batch").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows.append({"part": part, "batch": batch, "words": squeezed(places[a:b]), "counts": None, "n": 0, "v": 0})
             fields = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
             yield from pa.Table.from_pylist(rows, fields).to_batches(64)
 
@@ -312,10 +334,10 @@ def train_mixer(shares: DataFrame, shared) -> Mixer:
     """Each task learns online over its words in order; the tasks' weights are averaged by what they saw of a gate."""
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, task = Mixer(), 0
+        mixer, task, known = Mixer(), 0, Odds(shared.value, True)
         for batch in batches:
             for part, w, c in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "counts")), strict=True):
-                mixer.learn(*_learned(w, c), shared.value)
+                mixer.learn(*_learned(w, c), known)
                 task = max(task, part)
         state = np.concatenate([(mixer.weights * mixer.moved[:, None]).ravel(), mixer.moved, mixer.refined.ravel()])
         yield from _blocks(state, task, 1 << 20)
@@ -373,15 +395,15 @@ def sequence_tables(sequences: DataFrame, n_words: int) -> tuple[np.ndarray, np.
     size = word_paths.table_bits(n_words)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, task = np.zeros((word_paths.CONTEXTS, 1 << size, 2), np.int32), 0
+        leaves, task = np.zeros((word_paths.CONTEXTS, 1 << size), np.int32), 0
         for row in _rows(batches):
-            word_paths.count(*_tokens(row, n_words, True), tables)
+            word_paths.count_leaves(*_tokens(row, n_words, True), leaves)
             task = max(task, row["batch"])
-        yield from _blocks(tables.reshape(-1), task, 2 * BLOCK)
+        yield from _blocks(leaves.reshape(-1), task, BLOCK)
 
     out, without = np.zeros(word_paths.CONTEXTS << size, np.int16), np.zeros(word_paths.CONTEXTS << size + 1, np.int16)
     def finished(sums: np.ndarray) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in word_paths.predictors(sums.reshape(-1, 2))])
+        return np.concatenate([x.reshape(-1) for x in word_paths.predictors(word_paths.nodes(sums))])
 
     for block, blob in added(sequences.mapInArrow(counted, _BLOCKS), "i4", finished):
         now, *less = np.split(np.frombuffer(blob, np.int16), 3)
@@ -406,7 +428,7 @@ def train_sequences(sequences: DataFrame, n_words: int, shared) -> tuple[np.ndar
 
 def earlier_counts(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often each token's word occurred before it in its document."""
-    order = np.lexsort((codes, owner))
+    order = np.argsort(owner * (codes.max(initial=0) + 1) + codes, kind="stable")
     c, o = codes[order], owner[order]
     new = np.ones(len(c), bool)
     new[1:] = (c[1:] != c[:-1]) | (o[1:] != o[:-1])

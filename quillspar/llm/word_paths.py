@@ -26,6 +26,8 @@ GATES = DEPTH * 4 * 4
 STEPS, LIMIT = 24, 8.0
 RATE, FIRST_WEIGHT = 0.02, 0.3
 BLOCK = 1 << 14
+#: Tokens that are scored at a time: few, so that their lines stay in the processor's cache.
+SCORED = 1 << 13
 #: Log-odds are held in 1/1024, with two bits below them for how much has been seen.
 ODDS_UNIT, PRIOR = 1024, 0.05
 _SALTS = np.array([0, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -70,34 +72,52 @@ class Tokens:
     def __len__(self) -> int:
         return len(self.words)
 
-    def bits(self, size: int, kept: np.ndarray | None = None):
-        """For each block of tokens (kept ones) and depth: depth, tokens, path so far, bit, and the contexts' slots."""
+    def groups(self, size: int, kept: np.ndarray | None = None, block: int = BLOCK):
+        """For each four bits and block of tokens (kept ones): first depth, tokens, their paths, and a line for each context.
+
+        All blocks of the first four bits come first; a block of the others has those of its tokens that have hash bits.
+        """
         chosen = np.arange(len(self)) if kept is None else np.flatnonzero(kept)
+        cuts = np.append(np.arange(0, len(chosen), block), len(chosen))
         shift = np.uint32(32 - size + 4)
-        for a in range(0, len(chosen), BLOCK):
-            at = chosen[a : a + BLOCK]
-            deep = at[self.paths[at] < END << HASH_BITS]
-            for part in range(0, DEPTH, 4):
-                group = deep if part >= CLASS_BITS else at
-                if not len(group):
-                    continue
-                path = self.paths[group]
-                mark = (np.uint32(1 << part) | path >> np.uint32(DEPTH - part)) * np.uint32(0x7FEB352D)
-                lines = [(((k[group] ^ mark) * np.uint32(0x846CA68B)) >> shift).astype(np.int64) << 4 for k in self.keys]
-                for b in range(part, part + 4):
-                    node = (np.uint32(1 << b) | path >> np.uint32(DEPTH - b)).astype(np.int64)
-                    bit = (path >> np.uint32(DEPTH - 1 - b) & np.uint32(1)).astype(np.int64)
-                    inside = node & (1 << b - part) - 1 | 1 << b - part
-                    yield b, group, node, bit, [node, *(line + inside for line in lines)]
+        for part in range(0, DEPTH, 4):
+            if part == CLASS_BITS:
+                deep = self.paths[chosen] < END << HASH_BITS
+                cuts, chosen = np.append(0, np.cumsum(deep))[cuts], chosen[deep]
+            if part <= CLASS_BITS:
+                paths, keys = self.paths[chosen], [k[chosen] for k in self.keys]
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if z > a:
+                    path = paths[a:z]
+                    node = np.uint32(1 << part) | path >> np.uint32(DEPTH - part)
+                    mark = node * np.uint32(0x7FEB352D)
+                    lines = [((k[a:z] ^ mark) * np.uint32(0x846CA68B) >> shift).astype(np.int64) for k in keys]
+                    yield part, chosen[a:z], path.astype(np.int64), [node.astype(np.int64), *lines]
+
+
+def count_leaves(tokens: Tokens, kept: np.ndarray, leaves: np.ndarray) -> None:
+    """Add the kept tokens to leaves[context, 16 * line + four bits]; `nodes` tells what that means for each bit."""
+    size, ones = leaves.shape[1].bit_length() - 1, np.ones(BLOCK, leaves.dtype)
+    for part, _, path, lines in tokens.groups(size, kept):
+        four = path >> DEPTH - 4 - part & 15
+        for table, line in zip(leaves, lines, strict=True):
+            np.add.at(table, line << 4 | four, ones[: len(four)])
+
+
+def nodes(leaves: np.ndarray) -> np.ndarray:
+    """How often 0 and 1 followed in each slot (a line and the bits so far after a leading 1), from counts of four bits."""
+    level, out = leaves.reshape(-1, 16), np.zeros((leaves.size // 16, 16, 2), leaves.dtype)
+    for k in (8, 4, 2, 1):
+        out[:, k : 2 * k] = level.reshape(-1, k, 2)
+        level = out[:, k : 2 * k].sum(axis=2, dtype=leaves.dtype)
+    return out.reshape(*leaves.shape, 2)
 
 
 def count(tokens: Tokens, kept: np.ndarray, tables: np.ndarray) -> None:
     """Add the kept tokens' bits to tables[context, slot, bit]."""
-    size, ones = tables.shape[1].bit_length() - 1, np.ones(BLOCK, tables.dtype)
-    flat = [t.reshape(-1) for t in tables]
-    for _, _, _, bit, slots in tokens.bits(size, kept):
-        for table, slot in zip(flat, slots, strict=True):
-            np.add.at(table, slot * 2 + bit, ones[: len(bit)])
+    leaves = np.zeros(tables.shape[:2], tables.dtype)
+    count_leaves(tokens, kept, leaves)
+    tables += nodes(leaves)
 
 
 def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -113,31 +133,10 @@ def predictors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return log_odds(zero, one), without
 
 
-def _odds(tables: np.ndarray, slots: list[np.ndarray], own: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Log-odds by each predictor and how much it has seen; with `own`, an occurrence of that bit is taken out first."""
-    odds, seen = [], []
-    for i, slot in enumerate(slots):
-        x = np.take(tables[i], slot if own is None else slot * 2 + own)
-        odds.append((x >> 2).astype(np.float32) * np.float32(1 / ODDS_UNIT))
-        seen.append(x & 3)
-    return odds, seen
-
-
-def _gate(b: int, seen: list[np.ndarray]) -> np.ndarray:
-    return (b * 16 + seen[1] * 4 + seen[2]).astype(np.int64)
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _mix(odds: list[np.ndarray], weights: np.ndarray, gates: np.ndarray) -> np.ndarray:
-    out = odds[0] * np.take(weights[:, 0], gates)
-    for i in range(1, CONTEXTS):
-        out += odds[i] * np.take(weights[:, i], gates)
-    return out
-
-
 class Mixer:
     """Gated weights and the refinement table; `state` is a row of sums that can be added up over tasks."""
 
@@ -147,20 +146,42 @@ class Mixer:
         self.refined = np.zeros((STEPS + 1, PATHS, 2))
 
     def learn(self, tokens: Tokens, kept: np.ndarray, tables: np.ndarray) -> None:
-        """From the kept tokens, by tables[context, slot * 2 + bit] without one such bit."""
-        size, ones = (tables.shape[1] // 2).bit_length() - 1, np.ones(BLOCK)
-        for b, _, node, y, slots in tokens.bits(size, kept):
-            odds, seen = _odds(tables, slots, y)
-            g = _gate(b, seen)
-            mixed = np.clip(_mix(odds, self.weights[b * 16 : b * 16 + 16].astype(np.float32), g - b * 16), -LIMIT, LIMIT)
-            p = _squash(mixed)
-            miss, spread = y - p, p * (1 - p)
-            for i in range(CONTEXTS):  # a damped Newton step for each weight of a gate
-                pull = miss * odds[i]
-                self.weights[:, i] += RATE * np.bincount(g, pull, GATES) / (np.bincount(g, spread * odds[i] ** 2, GATES) + 1)
-            self.moved += np.bincount(g, minlength=GATES)
-            at = np.rint((mixed + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64)
-            np.add.at(self.refined.reshape(-1), (at * PATHS + node) * 2 + y, ones[: len(y)])
+        """From the kept tokens, by tables[context, slot * 2 + bit] without one such bit.
+
+        A block's bits are brought together by gate, so that a gate's sums are products of a matrix and a vector.
+        """
+        size = (tables.shape[1] // 2).bit_length() - 1
+        places: dict[int, list[np.ndarray]] = {b: [] for b in range(DEPTH)}
+        for part, _, path, lines in tokens.groups(size, kept):
+            starts = [line << 5 for line in lines]
+            odds, squares = np.empty((CONTEXTS, len(path)), np.float32), np.empty((CONTEXTS, len(path)), np.float32)
+            mixed = np.empty(len(path), np.float32)
+            for b in range(part, part + 4):
+                inside = path >> DEPTH - 1 - b & (2 << b - part) - 1 | 2 << b - part  # the bits so far and this one
+                found = [np.take(table, start + inside) for table, start in zip(tables, starts, strict=True)]
+                gates = ((found[1] & 3) << 2 | found[2] & 3).astype(np.uint8)
+                order = np.argsort(gates, kind="stable")
+                for x, into in zip(found, odds, strict=True):
+                    np.multiply(np.take(x, order) >> 2, np.float32(1 / ODDS_UNIT), out=into)
+                np.multiply(odds, odds, out=squares)
+                weights, sizes = self.weights[b * 16 : b * 16 + 16], np.bincount(gates, minlength=16)
+                ends = np.cumsum(sizes)
+                met = [(g, slice(ends[g] - sizes[g], ends[g])) for g in np.flatnonzero(sizes).tolist()]
+                for g, own in met:
+                    mixed[own] = weights[g].astype(np.float32) @ odds[:, own]
+                np.clip(mixed, -LIMIT, LIMIT, out=mixed)
+                place = np.take(path >> DEPTH - 1 - b | 2 << b, order)
+                p = _squash(mixed)
+                miss, spread = (place & 1).astype(np.float32) - p, p * (1 - p)
+                for g, own in met:  # a damped Newton step for each weight of a gate
+                    weights[g] += RATE * (odds[:, own] @ miss[own]) / (squares[:, own] @ spread[own] + 1)
+                self.moved[b * 16 : b * 16 + 16] += sizes
+                at = np.rint((mixed + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))).astype(np.int64)
+                places[b].append((at << b + 1) + place - (2 << b))
+        for b, found in places.items():
+            if found:
+                sums = np.bincount(np.concatenate(found), minlength=STEPS + 1 << b + 1)
+                self.refined[:, 1 << b : 2 << b] += sums.reshape(STEPS + 1, 1 << b, 2)
 
     def state(self) -> np.ndarray:
         return np.concatenate([(self.weights * self.moved[:, None]).ravel(), self.moved, self.refined.ravel()])
@@ -182,14 +203,32 @@ class Mixer:
 def path_bits(tokens: Tokens, tables: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """Bits that coding the path of each token takes, by tables[context, slot]."""
     size = tables.shape[1].bit_length() - 1
-    cost, grid = np.zeros(len(tokens)), refined.reshape(-1)
-    for b, group, node, bit, slots in tokens.bits(size):
-        odds, seen = _odds(tables, slots, None)
-        mixed = np.clip(_mix(odds, weights, _gate(b, seen)), -LIMIT, LIMIT)
-        at = (mixed + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))
-        low = np.minimum(at.astype(np.int64), STEPS - 1)
-        share, place = at - low.astype(np.float32), low * PATHS + node
-        below = np.take(grid, place)
-        final = (mixed + below + (np.take(grid, place + PATHS) - below) * share) * np.float32(0.5)
-        cost[group] += np.log(1 + np.exp(final * (1 - 2 * bit).astype(np.float32)))
+    cost, scale = np.zeros(len(tokens)), np.float32(1 / ODDS_UNIT)
+    pairs = np.empty((STEPS, PATHS), np.complex64)  # what is refined at a step, and how far it is to the next one
+    pairs.real, pairs.imag = refined[:-1], refined[1:] - refined[:-1]
+    pairs = pairs.reshape(-1)
+    first = (tables[0, :PATHS * 2].reshape(-1, 16) >> 2).astype(np.float32) * scale  # the lines of the context of nothing
+    for part, group, path, lines in tokens.groups(size, None, SCORED):
+        line = [x << 4 for x in lines]
+        total = np.zeros(len(path)) if part == 0 else cost[group]
+        for b in range(part, part + 4):
+            own = weights[b * 16 : b * 16 + 16].T
+            inside = path >> DEPTH - b & (1 << b - part) - 1 | 1 << b - part
+            found = [np.take(table, start + inside) for table, start in zip(tables[1:], line[1:], strict=True)]
+            gates = ((found[0] & 3) << 2 | found[1] & 3).astype(np.int64)
+            plain = np.multiply.outer(first[1 << part : 2 << part, 1 << b - part : 2 << b - part].reshape(-1), own[0])
+            prefix = path >> DEPTH - b
+            mixed = np.take(plain.reshape(-1), prefix << 4 | gates)
+            for x, w in zip(found, own[1:] * scale, strict=True):
+                mixed += (x >> 2) * np.take(w, gates)
+            np.clip(mixed, -LIMIT, LIMIT, out=mixed)
+            at = (mixed + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))
+            low = np.minimum(at.astype(np.int64), STEPS - 1)
+            near = np.take(pairs, low * PATHS + (prefix | 1 << b))
+            at -= low.astype(np.float32)
+            at *= near.imag
+            at += near.real + mixed
+            at *= (path >> DEPTH - 1 - b & 1).astype(np.float32) * np.float32(-1) + np.float32(0.5)
+            total += np.log(np.exp(at) + 1)
+        cost[group] = total
     return cost / np.log(2)
