@@ -14,6 +14,9 @@ they are sent to all executors, so they are bounded, and beyond that contexts sh
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 
 CLASS_BITS, HASH_BITS = 4, 8
@@ -151,35 +154,35 @@ class Mixer:
         A block's bits are brought together by gate, so that a gate's sums are products of a matrix and a vector.
         """
         size = (tables.shape[1] // 2).bit_length() - 1
-        places: dict[int, list[np.ndarray]] = {b: [] for b in range(DEPTH)}
-        for part, _, path, lines in tokens.groups(size, kept):
-            starts = [line << 5 for line in lines]
-            odds, squares = np.empty((CONTEXTS, len(path)), np.float32), np.empty((CONTEXTS, len(path)), np.float32)
-            mixed = np.empty(len(path), np.float32)
-            for b in range(part, part + 4):
-                inside = path >> DEPTH - 1 - b & (2 << b - part) - 1 | 2 << b - part  # the bits so far and this one
-                found = [np.take(table, start + inside) for table, start in zip(tables, starts, strict=True)]
-                gates = ((found[1] & 3) << 2 | found[2] & 3).astype(np.uint8)
-                order = np.argsort(gates, kind="stable")
-                for x, into in zip(found, odds, strict=True):
-                    np.multiply(np.take(x, order) >> 2, np.float32(1 / ODDS_UNIT), out=into)
-                np.multiply(odds, odds, out=squares)
-                weights, sizes = self.weights[b * 16 : b * 16 + 16], np.bincount(gates, minlength=16)
-                ends = np.cumsum(sizes)
-                met = [(g, slice(ends[g] - sizes[g], ends[g])) for g in np.flatnonzero(sizes).tolist()]
-                for g, own in met:
-                    mixed[own] = weights[g].astype(np.float32) @ odds[:, own]
-                np.clip(mixed, -LIMIT, LIMIT, out=mixed)
-                place = np.take(path >> DEPTH - 1 - b | 2 << b, order)
-                p = _squash(mixed)
-                miss, spread = (place & 1).astype(np.float32) - p, p * (1 - p)
-                for g, own in met:  # a damped Newton step for each weight of a gate
-                    weights[g] += RATE * (odds[:, own] @ miss[own]) / (squares[:, own] @ spread[own] + 1)
-                self.moved[b * 16 : b * 16 + 16] += sizes
-                at = np.rint((mixed + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))).astype(np.int64)
-                places[b].append((at << b + 1) + place - (2 << b))
-        for b, found in places.items():
-            if found:
+        for part, blocks in groupby(tokens.groups(size, kept), key=itemgetter(0)):
+            places: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for _, _, path, lines in blocks:
+                starts = [line << 5 for line in lines]
+                odds, squares = np.empty((CONTEXTS, len(path)), np.float32), np.empty((CONTEXTS, len(path)), np.float32)
+                mixed = np.empty(len(path), np.float32)
+                for b in range(part, part + 4):
+                    inside = path >> DEPTH - 1 - b & (2 << b - part) - 1 | 2 << b - part  # the bits so far and this one
+                    found = [np.take(table, start + inside) for table, start in zip(tables, starts, strict=True)]
+                    gates = ((found[1] & 3) << 2 | found[2] & 3).astype(np.uint8)
+                    order = np.argsort(gates, kind="stable")
+                    for x, into in zip(found, odds, strict=True):
+                        np.multiply(np.take(x, order) >> 2, np.float32(1 / ODDS_UNIT), out=into)
+                    np.multiply(odds, odds, out=squares)
+                    weights, sizes = self.weights[b * 16 : b * 16 + 16], np.bincount(gates, minlength=16)
+                    ends = np.cumsum(sizes)
+                    met = [(g, slice(ends[g] - sizes[g], ends[g])) for g in np.flatnonzero(sizes).tolist()]
+                    for g, own in met:
+                        mixed[own] = weights[g].astype(np.float32) @ odds[:, own]
+                    np.clip(mixed, -LIMIT, LIMIT, out=mixed)
+                    place = np.take(path >> DEPTH - 1 - b | 2 << b, order)
+                    p = _squash(mixed)
+                    miss, spread = (place & 1).astype(np.float32) - p, p * (1 - p)
+                    for g, own in met:  # a damped Newton step for each weight of a gate
+                        weights[g] += RATE * (odds[:, own] @ miss[own]) / (squares[:, own] @ spread[own] + 1)
+                    self.moved[b * 16 : b * 16 + 16] += sizes
+                    at = np.rint((mixed + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT))).astype(np.int64)
+                    places[b - part].append(((at << b + 1) + place - (2 << b)).astype(np.int32))
+            for b, found in enumerate(places, part):
                 sums = np.bincount(np.concatenate(found), minlength=STEPS + 1 << b + 1)
                 self.refined[:, 1 << b : 2 << b] += sums.reshape(STEPS + 1, 1 << b, 2)
 
